@@ -1,11 +1,64 @@
-"""Corpus pipeline over `documents`."""
+"""From raw `documents` to a training mixture, in five stages.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept; all but the
+last return the columns of ``documents``.  ``run`` writes each stage's result to the shared
+checkpoint folder and reads it again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.llm import decontaminate as contamination
+from tallyloom.llm import language_id, line_dedup, mixing, simhash
+from tallyloom.llm.common import materialize
+from tallyloom.llm.queries import fold, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language (null text or no letter) go."""
+    model = language_id.fit(docs, "text", "lang", fold(3) != 1)
+    return language_id.identify(docs, model, keep_text=True).where(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines whose key stands in ten documents or more go; n_chars follows the text."""
+    kept = line_dedup.dedup_lines(docs, min_docs=10)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more is benchmark passages go."""
+    return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mixture draws, with the words it takes and the shards and places they go to."""
+    return mixing.mix_sources(docs).where("taken > 0")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_common_lines),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("mix_sources", mix),
+]
+
+#: Fingerprints, a fitted classifier and seeded draws have no SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs)
     return docs
