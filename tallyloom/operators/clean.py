@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,11 @@ def tags_of(caption: Column, tags: Column, aliases: dict[str, str] | None = None
 
 def infer_brand(given: Column, tags: Column, prefixes: dict[str, list[str]]) -> Column:
     """The given brand (trimmed, lower-cased), else the one whose tag prefix occurs, ``both`` for several, else null."""
-    seen = {b: F.exists(tags, lambda t, p=p: F.coalesce(sum((t.startswith(x).cast("int") for x in p), F.lit(0)) > 0, F.lit(False))) for b, p in prefixes.items()}
+
+    def begins(heads: list[str]) -> Column:
+        return F.exists(tags, lambda t: t.rlike("^(?:" + "|".join(map(re.escape, heads)) + ")"))
+
+    seen = {b: F.coalesce(begins(p), F.lit(False)) for b, p in prefixes.items()}
     count = sum((c.cast("int") for c in seen.values()), F.lit(0))
     found = F.when(count > 1, "both")
     for brand, c in seen.items():

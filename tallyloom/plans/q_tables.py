@@ -242,9 +242,9 @@ def _(spark, sf):
     return ag.sentiment_by_label(comments(spark, sf), measured(spark, sf), "product_lines", by=["topic"])
 
 
-@query("ag33_on_every_brand", "SELECT p_name AS level, count(DISTINCT p_brand) AS n_groups FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = (SELECT count(DISTINCT p_brand) FROM part)")
+@query("ag33_on_every_brand", "SELECT p_name AS level, count(DISTINCT p_type) AS n_groups FROM part GROUP BY p_name HAVING count(DISTINCT p_type) = (SELECT count(DISTINCT p_type) FROM part)")
 def _(spark, sf):
-    return ag.on_every_group(table(spark, sf, "part").select(F.col("p_name").alias("level"), "p_brand"), "level", "p_brand")
+    return ag.on_every_group(table(spark, sf, "part").select(F.col("p_name").alias("level"), "p_type"), "level", "p_type")
 
 
 LAYER = "CASE WHEN topic IN ('price_value', 'fit_comfort', 'availability') THEN 'substantive' ELSE 'social' END"
