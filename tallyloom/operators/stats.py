@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,15 +11,39 @@ from ..functions.numbers import normal_tail
 from .tables import levels_of
 
 
+def before_counts(cells: DataFrame, by: list[str], value: str, count: str, name: str = "before", buckets: int = 200) -> DataFrame:
+    """Sum of ``count`` over the smaller values of the group, on every row; values are distinct per group.
+
+    A global order without a single task: approximate quantiles cut each group into ranges, the
+    running sum stays inside a range, and the ranges' totals (a few hundred rows a group) give
+    the offsets.  The result is exact whatever the cuts are.
+    """
+    cuts = F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 2000)
+    if by:
+        edges = cells.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]).agg(cuts.alias("_e"))
+        same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+        rows = cells.join(edges, reduce(lambda a, b: a & b, same)).drop(*[f"_k{i}" for i in range(len(by))])
+    else:
+        rows = cells.crossJoin(F.broadcast(cells.agg(cuts.alias("_e"))))  # one row
+    rows = rows.withColumn("_b", F.size(F.filter(F.array_distinct("_e"), lambda e: e < F.col(value)))).drop("_e")
+    totals = rows.groupBy(*by, "_b").agg(F.sum(count).alias("_t"))
+    offset = F.coalesce(F.sum("_t").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_b"])]
+    offsets = totals.withColumn("_o", offset).select(*keys, "_o")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "_b"])]
+    inside = F.coalesce(F.sum(count).over(Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("_in", inside).join(offsets, reduce(lambda a, b: a & b, same))
+    return placed.withColumn(name, F.col("_o") + F.col("_in")).drop("_b", "_o", "_in", *[f"_k{i}" for i in range(len(by) + 1)])
+
+
 def rank_sums(df: DataFrame, by: list[str], value: str, inside: str) -> DataFrame:
     """Mann-Whitney of the rows inside against the rest, per group: n, medians, U, tie-corrected normal p, rank-biserial.
 
-    Ranks come from counts per (group, value), so a window sees distinct values only.
+    Ranks come from counts per (group, value), ordered range by range.
     """
     rows = df.where(F.col(value).isNotNull())
     cells = rows.groupBy(*by, value).agg(F.sum(F.col(inside).cast("long")).alias("a"), F.count("*").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.withColumn("rank", before + (F.col("t") + 1) / 2)
+    cells = before_counts(cells, by, value, "t").withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     t = F.col("t").cast("double")
     out = cells.groupBy(*by).agg(
         F.sum("a").alias("n1"), (F.sum("t") - F.sum("a")).alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(t * t * t - t).alias("ties"),
@@ -45,8 +71,7 @@ def category_tests(df: DataFrame, label: str, value: str, brand: str = "brand",
     """
     rows = df.where(F.col(brand).isNotNull() & F.col(value).isNotNull())
     whole = rows.groupBy(brand, value).agg(F.count("*").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(brand).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = whole.withColumn("rank", before + (F.col("t") + 1) / 2)
+    whole = before_counts(whole, [brand], value, "t").withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     mine = levels_of(rows, label).groupBy(brand, F.col(label).alias("category"), value).agg(F.count_distinct(key).alias("a"))
     t = F.col("t").cast("double")
     totals = whole.groupBy(brand).agg(F.sum("t").alias("n"), F.sum(t * t * t - t).alias("ties"))
@@ -73,8 +98,8 @@ def adjust(df: DataFrame, p: str, name: str = "p_adj", *ties: str) -> DataFrame:
 
 def average_ranks(df: DataFrame, value: str, name: str, by: list[str] = ()) -> DataFrame:
     cells = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_t"))
-    before = F.coalesce(F.sum("_t").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(cells.withColumn(name, before + (F.col("_t") + 1) / 2).drop("_t"), [*by, value], "left")
+    ranks = before_counts(cells, list(by), value, "_t").withColumn(name, F.col("before") + (F.col("_t") + 1) / 2)
+    return df.join(ranks.drop("_t", "before"), [*by, value], "left")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -29,12 +29,14 @@ def group_distinct(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
 def top_percent(df: DataFrame, value: str, name: str = "top_percent") -> DataFrame:
     """Place from the top in percent, rounded up, 1 at least; null for a null value.
 
-    Ranks come from the histogram of values: a window over distinct values, not over all rows.
+    Ranks come from the histogram of values, ordered range by range, so no task sees all rows.
     """
+    from .stats import before_counts
+
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_t"))
-    above = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.crossJoin(F.broadcast(total)).select("_v", F.greatest(F.lit(1), F.ceil((above + 1) * 100 / F.col("_t"))).cast("long").alias(name))  # one row
+    above = F.col("_t") - F.col("before") - F.col("_n")
+    ranks = before_counts(counts, [], "_v", "_n").crossJoin(F.broadcast(total)).select("_v", F.greatest(F.lit(1), F.ceil((above + 1) * 100 / F.col("_t"))).cast("long").alias(name))  # one row
     return df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
