@@ -52,22 +52,38 @@ def cover_positions(at: np.ndarray, period: int, size: int) -> tuple[np.ndarray,
     return (inner + at[row])[chosen], row[chosen]
 
 
+#: Widths that a column of a message may have; the narrowest that holds its values is taken (fixed values).
+WIDTHS = ["u1", "u2", "u4", "u8"]
+
+
 def _pack(*columns: np.ndarray) -> bytes:
-    return b"".join([np.int64(len(columns[0])).tobytes(), *(np.ascontiguousarray(c).tobytes() for c in columns)])
+    """Columns of unsigned integers as one message: the length, then each column's width and values."""
+    n = len(columns[0])
+    parts = [np.int64(n).tobytes()]
+    for c in columns:
+        most = int(c.max()) if n else 0
+        width = next(i for i, k in enumerate(WIDTHS) if most < 1 << 8 * int(k[1]))
+        parts += [bytes([width]), c.astype(WIDTHS[width]).tobytes()]
+    return b"".join(parts)
+
+
+def _length(data: pa.Scalar) -> int:
+    return int(np.frombuffer(data.as_buffer(), np.int64, 1)[0])
 
 
-def _unpack(data: pa.Scalar, *kinds: str) -> list[np.ndarray]:
+def _unpack(data: pa.Scalar, columns: int) -> list[np.ndarray]:
     raw = data.as_buffer()
-    n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
-    for kind in kinds:
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += out[-1].nbytes
+    n, at, out = _length(data), 8, []
+    for _ in range(columns):
+        kind = WIDTHS[raw[at]]
+        out.append(np.frombuffer(raw, kind, n, at + 1).astype(U64))
+        at += 1 + n * int(kind[1])
     return out
 
 
-def _unpack_all(table: pa.Table, *kinds: str) -> list[np.ndarray]:
-    parts = [_unpack(x, *kinds) for x in table.column("data")]
-    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, k) for k in kinds]
+def _unpack_all(table: pa.Table, columns: int) -> list[np.ndarray]:
+    parts = [_unpack(x, columns) for x in table.column("data")]
+    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, U64)] * columns
 
 
 def _dealt(key: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -86,12 +102,16 @@ def _messages(rows: list[tuple[int, int, bytes]]) -> list[pa.Array]:
     return [pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(d, pa.binary())]
 
 
-def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Ids as integers; null counts as larger than any."""
-    return np.array([LAST if x is None else x for x in column.to_pylist()], np.int64)
+SIGN = U64(1 << 63)
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 13, chunk_bytes: int = 6_000_000, bucket_bytes: int = 16_000_000) -> DataFrame:
+def _ids(column: pa.ChunkedArray | pa.Array, negative: bool) -> np.ndarray:
+    """Ids as unsigned integers in the same order (shifted where the table has negative ones); null is larger than any."""
+    ids = np.array([LAST if x is None else x for x in column.to_pylist()], np.int64).view(U64)
+    return ids ^ SIGN if negative else ids
+
+
+def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 13, chunk_bytes: int = 3_000_000, bucket_bytes: int = 16_000_000) -> DataFrame:
     """Each row with its kept words joined by one space, plus n_words and n_removed.
 
     Windows are judged on the input, not on what is left.  Rows with the same id are one
@@ -102,10 +122,15 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     df = without(df, ADDED)
     period = min(7, window)
     size = window - period + 1
-    total = int(df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+    size_row = df.agg(F.sum(F.octet_length(text_col)), F.min(id_col)).first()
+    total, negative = int(size_row[0] or 0), (size_row[1] or 0) < 0
     chunks, buckets = max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
     keyed = df.withColumn("_chunk", F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int"))
 
+    def anchor_keys(h: np.ndarray) -> np.ndarray:
+        """Bucket and upper half of a hash: 32 bits within a bucket of bounded size only ever let too many through."""
+        return (h % U64(buckets)) << U64(32) | h >> U64(32)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors to their buckets; those that two documents of a batch share are answered at once."""
         for batch in batches:
@@ -125,11 +150,12 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                 group = np.cumsum(first) - 1
                 several = np.bincount(group, minlength=1)[group] > 1 if len(h) else first
                 out = []
-                # one entry for each anchor, with its chunk, or -1 if its documents are answered here
-                sent, to = h[first], np.where(several[first], -1, chunk[i:j][row[first]]).astype(np.int32)
-                for b, at_b in _dealt((sent % U64(buckets)).astype(np.int64), buckets):
-                    out.append((b, -1, _pack(sent[at_b], to[at_b])))
-                known, where = h[several], chunk[i:j][row[several]]
+                # one entry for each anchor, with its chunk + 1, or 0 if its documents are answered here
+                keys = anchor_keys(h)
+                sent, to = keys[first], np.where(several[first], 0, chunk[i:j][row[first]] + 1)
+                for b, at_b in _dealt((sent >> U64(32)).astype(np.int64), buckets):
+                    out.append((b, -1, _pack(sent[at_b] & U64(0xFFFFFFFF), to[at_b])))
+                known, where = keys[several], chunk[i:j][row[several]]
                 for c, at_c in _dealt(where, chunks):
                     out.append((c % buckets, c, _pack(np.unique(known[at_c]))))
                 yield pa.RecordBatch.from_arrays(_messages(out), ["bucket", "chunk", "data"])
@@ -137,15 +163,14 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     def answer(table: pa.Table) -> pa.Table:
         """Of a bucket's anchors, those that more than one document holds, to the chunks that asked."""
         forward = table.filter(pa.compute.greater_equal(table.column("chunk"), 0))
-        h, to = _unpack_all(table.filter(pa.compute.less(table.column("chunk"), 0)), "u8", "i4")
-        order = np.argsort(h)
-        h, to = h[order], to[order]
-        same = np.zeros(len(h) + 1, bool)
-        same[1:-1] = h[1:] == h[:-1]
-        again = (same[1:] | same[:-1]) & (to >= 0)
-        h, to = h[again], to[again]
-        out = [(0, c, _pack(h[at])) for c, at in _dealt(to.astype(np.int64), chunks)]
-        _, c, d = _messages(out)
+        low, to = _unpack_all(table.filter(pa.compute.less(table.column("chunk"), 0)), 2)
+        order = np.argsort(low)
+        low, to = low[order], to[order].astype(np.int64)
+        same = np.zeros(len(low) + 1, bool)
+        same[1:-1] = low[1:] == low[:-1]
+        again = (same[1:] | same[:-1]) & (to > 0)
+        keys, to = low[again] | U64(table.column("bucket")[0].as_py() << 32), to[again] - 1
+        _, c, d = _messages([(0, c, _pack(keys[at])) for c, at in _dealt(to, chunks)])
         return pa.concat_tables([forward.select(["chunk", "data"]), pa.table([c, d], ["chunk", "data"])])
 
     def extend(docs: pa.Table, anchors: pa.Table) -> pa.Table:
@@ -153,11 +178,11 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         out = []
         if docs.num_rows and anchors.num_rows:
             chunk = docs.column("_chunk")[0].as_py()
-            ids = _ids(docs.column(id_col))
+            ids = _ids(docs.column(id_col), negative)
             buf, offsets = text_buffer(docs.column(text_col))
             words, at = _words(buf, offsets)
             pos, row = cover_positions(at, period, size)
-            pos = pos[np.isin(window_hashes(words, pos, size), _unpack_all(anchors, "u8")[0])]
+            pos = pos[np.isin(anchor_keys(window_hashes(words, pos, size)), _unpack_all(anchors, 1)[0])]
             near = np.zeros(len(words) + 1, np.int64)
             np.add.at(near, np.maximum(pos - period + 1, 0), 1)
             np.add.at(near, pos + 1, -1)
@@ -190,8 +215,8 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         """The smallest id of each of a bucket's windows, to the chunks whose own smallest is larger."""
         forward = table.filter(pa.compute.greater_equal(table.column("chunk"), 0)).select(["chunk", "data"])
         asked = table.filter(pa.compute.less(table.column("chunk"), 0))
-        h, owner = _unpack_all(asked, "u8", "i8")
-        sizes = [int(np.frombuffer(x.as_buffer(), np.int64, 1)[0]) for x in asked.column("data")]
+        h, owner = _unpack_all(asked, 2)
+        sizes = [_length(x) for x in asked.column("data")]
         chunk = np.repeat(-1 - asked.column("chunk").to_numpy().astype(np.int64), sizes)
         order = np.lexsort((owner, h))
         h, owner, chunk = h[order], owner[order], chunk[order]
@@ -207,13 +232,13 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     schema = T.StructType(kept + [T.StructField(n, T.LongType()) for n in ADDED])
 
     def rebuild(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        ids = _ids(docs.column(id_col))
+        ids = _ids(docs.column(id_col), negative)
         texts = docs.column(text_col)
         buf, offsets = text_buffer(texts)
         words, at = _words(buf, offsets)
         gone = np.zeros(len(words), bool)
         if answers.num_rows:
-            h, least = _unpack_all(answers, "u8", "i8")
+            h, least = _unpack_all(answers, 2)
             order = np.lexsort((least, h))
             h, least = h[order], least[order]
             first = np.ones(len(h), bool)
