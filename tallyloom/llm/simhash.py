@@ -104,11 +104,12 @@ def links(classes: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     counts = materialize(signed.groupBy("sig").agg(parts.alias("parts")))  # at most 17^4 rows
     packed = signed.join(F.broadcast(counts), "sig").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int"))
     tiles = materialize(packed.groupBy("sig", "part").agg(F.sort_array(F.collect_list("fp")).alias("fps")))
-    # tile pairs: own signature and those above it within the radius
+    # tile pairs: own signature and those above it within the radius, as far as they exist
     steps = [sum(s * 32**q for q, s in enumerate(d)) for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius]
-    near = counts.select(F.col("sig").alias("sig"), F.explode(F.array(*[F.lit(s) for s in sorted(steps) if s >= 0])).alias("step")).withColumn("other", F.col("sig") + F.col("step"))
-    near = near.join(F.broadcast(counts.select(F.col("sig").alias("other"), F.col("parts").alias("n"))), "other").select("sig", "other", "n")
-    pairs = tiles.join(F.broadcast(near), "sig").select("sig", "part", F.col("fps").alias("left"), "other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at")).where("other > sig or at >= part")
+    ahead = F.explode(F.array(*[F.lit(s) for s in sorted(steps) if s >= 0]))
+    other = F.broadcast(counts.select(F.col("sig").alias("other"), F.col("parts").alias("n")))
+    pairs = tiles.select("sig", "part", F.col("fps").alias("left"), ahead.alias("step")).withColumn("other", F.col("sig") + F.col("step")).join(other, "other")
+    pairs = pairs.select("sig", "part", "left", "other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at")).where("other > sig or at >= part")
     right = tiles.select(F.col("sig").alias("other"), F.col("part").alias("at"), F.col("fps").alias("right"))
     met = pairs.join(right, ["other", "at"]).select("left", "right", ((F.col("sig") == F.col("other")) & (F.col("part") == F.col("at"))).alias("own"))
 
