@@ -89,7 +89,9 @@ def fit(rows: list, k: int = 4, features: int = 512, least_g: float = 15.0, step
     none = FactorizationMachine(bias, np.zeros(1), np.zeros((1, k)), feature_of)
     if not (n1 and n0):
         return none
-    df1, df0 = (np.bincount(np.concatenate([s for s, label in zip(sets, y, strict=True) if label == v]), minlength=1 << TERM_BITS) for v in (1, 0))
+    df1, df0 = np.zeros(1 << TERM_BITS), np.zeros(1 << TERM_BITS)
+    for s, label in zip(sets, y, strict=True):
+        (df1 if label else df0)[s] += 1
     # likelihood ratio of each bucket's 2 x 2 table
     seen, n = df1 + df0, n1 + n0
     part = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0)
@@ -99,12 +101,16 @@ def fit(rows: list, k: int = 4, features: int = 512, least_g: float = 15.0, step
     if not len(chosen):
         return none
     feature_of[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    for i, s in enumerate(sets):
+    # rows with the same features and label count as one with a weight
+    times: dict[tuple[bytes, float], int] = {}
+    for s, label in zip(sets, y, strict=True):
         f = feature_of[s]
-        x[i, f[f >= 0]] = 1
-    used, inverse, times = np.unique(np.column_stack([x, y]), axis=0, return_inverse=True, return_counts=True)
-    x, y, weight = used[:, :-1].astype(np.float32), used[:, -1], times / n
+        key = np.sort(f[f >= 0]).tobytes(), label
+        times[key] = times.get(key, 0) + 1
+    x = np.zeros((len(times), len(chosen)), np.float32)
+    for i, (f, _) in enumerate(times):
+        x[i, np.frombuffer(f, np.int32)] = 1
+    y, weight = np.array([label for _, label in times]), np.array(list(times.values())) / n
     rng = np.random.default_rng(seed)
     theta = [np.array([bias]), np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), k))]
     mean, square = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
