@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import language_id, oracle, toxicity
 from .decontaminate import benchmark_overlap, is_contaminated
 from .html_extract import extract
 from .line_dedup import dedup_lines
@@ -32,7 +32,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     found = benchmark_overlap(docs, items, keep=["doc_id"])
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), is_contaminated().alias("contaminated"), "longest_match", "longest_item")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": oracle.OP1, "op3_line_dedup": oracle.OP3, "op7_substring_dedup": oracle.OP7, "op9_quality_rules": oracle.OP9}
