@@ -48,8 +48,9 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector at length 1; null for an empty, zero or non-finite one."""
-    n = norm(a)
-    return F.when(valid_vector(a) & (n > 0), F.transform(a, lambda x: x.cast("double") / n))
+    # as a lambda's variable the norm is computed once, not once per element
+    scaled = F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)))
+    return F.when(valid_vector(a), scaled[0])
 
 
 def valid_vector(a: Column) -> Column:
