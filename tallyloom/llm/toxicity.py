@@ -112,7 +112,9 @@ def fit(rows: list, k: int = 4, features: int = 512, least_g: float = 15.0, step
         x[i, np.frombuffer(f, np.int32)] = 1
     y, weight = np.array([label for _, label in times]), np.array(list(times.values())) / n
     rng = np.random.default_rng(seed)
-    theta = [np.array([bias]), np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), k))]
+    # linear weights begin at half the log ratio of a term's rates, so a term that mostly comes with others isn't left to its pairs
+    start = 0.5 * (np.log((df1[chosen] + 0.5) / (n1 + 1)) - np.log((df0[chosen] + 0.5) / (n0 + 1)))
+    theta = [np.array([bias]), start, rng.normal(0, 0.05, (len(chosen), k))]
     mean, square = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     for step in range(1, steps + 1):
         b, w, v = theta
@@ -120,7 +122,7 @@ def fit(rows: list, k: int = 4, features: int = 512, least_g: float = 15.0, step
         z = b[0] + x @ w + 0.5 * (s**2 - (x @ (v**2))).sum(1)
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         xd = x.T @ d
-        grads = [np.array([d.sum()]), xd + 1e-4 * w, x.T @ (d[:, None] * s) - v * xd[:, None] + 1e-4 * v]
+        grads = [np.array([d.sum()]), xd + 1e-5 * w, x.T @ (d[:, None] * s) - v * xd[:, None] + 1e-4 * v]
         for t, m, q, gr in zip(theta, mean, square, grads, strict=True):
             m *= 0.9
             m += 0.1 * gr
