@@ -54,7 +54,8 @@ def to_target(c: Column, how: str) -> Column:
 
 
 def from_target(c: Column, how: str) -> Column:
-    return F.greatest(F.lit(0.0), {"raw": c, "log1p": F.expm1(c), "log": F.exp(c) - 1e-6}[how])
+    back = {"raw": c, "log1p": F.expm1(c), "log": F.exp(c) - 1e-6}[how]
+    return F.when(back.isNotNull(), F.greatest(F.lit(0.0), back))  # greatest() skips nulls
 
 
 # --- train-only statistics --------------------------------------------------------------------
@@ -107,7 +108,7 @@ class FoldFeatures:
         check_leakage([*self.numbers, *self.angles, *self.flags, *self.lists, *self.categories, *self.vectors])
 
     def _columns(self, df: DataFrame) -> DataFrame:
-        new = {f"f_{c}": F.coalesce(F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))), F.lit(-1.0)) for c in self.numbers}
+        new = {f"f_{c}": F.when(F.col(c).isNotNull(), F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0)))).otherwise(-1.0) for c in self.numbers}
         for c, period in self.angles.items():
             angle = F.col(c) * (2 * 3.141592653589793 / period)
             new |= {f"f_{c}_sin": F.coalesce(F.sin(angle), F.lit(0.0)), f"f_{c}_cos": F.coalesce(F.cos(angle), F.lit(0.0))}

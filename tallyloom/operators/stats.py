@@ -54,7 +54,7 @@ def rank_sums(df: DataFrame, by: list[str], value: str, inside: str) -> DataFram
     u = F.col("r1") - n1 * (n1 + 1) / 2
     variance = n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1)))
     z = F.try_divide(F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)), F.nullif(F.sqrt(variance), F.lit(0.0)))
-    return out.select(*by, "n1", "n2", "median_in", "median_out", u.alias("u"), F.least(F.lit(1.0), normal_tail(z)).alias("p_value"), (1 - F.try_divide(2 * u, F.nullif(n1 * n2, F.lit(0.0)))).alias("rank_biserial"))
+    return out.select(*by, "n1", "n2", "median_in", "median_out", u.alias("u"), F.when(z.isNotNull(), F.least(F.lit(1.0), normal_tail(z))).alias("p_value"), (1 - F.try_divide(2 * u, F.nullif(n1 * n2, F.lit(0.0)))).alias("rank_biserial"))
 
 
 def compare_two(df: DataFrame, group: str, a: str, b: str, value: str) -> DataFrame:
@@ -81,7 +81,7 @@ def category_tests(df: DataFrame, label: str, value: str, brand: str = "brand",
     u = F.col("r1") - n1 * (n1 + 1) / 2
     variance = n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1)))
     z = F.try_divide(F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)), F.nullif(F.sqrt(variance), F.lit(0.0)))
-    out = out.select(F.col(brand).alias("brand"), "category", "n_category", "n_other", "median_category", u.alias("u"), F.least(F.lit(1.0), normal_tail(z)).alias("p_value"), (1 - 2 * u / (n1 * n2)).alias("rank_biserial"))
+    out = out.select(F.col(brand).alias("brand"), "category", "n_category", "n_other", "median_category", u.alias("u"), F.when(z.isNotNull(), F.least(F.lit(1.0), normal_tail(z))).alias("p_value"), (1 - 2 * u / (n1 * n2)).alias("rank_biserial"))
     return adjust(out, "p_value")
 
 
