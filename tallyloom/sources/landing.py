@@ -114,8 +114,8 @@ def read_features(spark: SparkSession, path: str, columns: list[str] | None = No
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str] = ("brand",)) -> None:
-    """Parquet by partition columns; null or missing values go to ``__unknown__``.  Rows are dealt by key and a
-    random salt, so one large partition value is written by many tasks."""
+    """Parquet by partition columns; null or missing values go to ``__unknown__``.  Every task writes the rows it
+    holds, without a shuffle, so one large partition value is written by many tasks."""
     for c in by:
         df = df.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) if c in df.columns else F.lit(UNKNOWN))
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
