@@ -12,24 +12,27 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import decontaminate as contamination
 from tallyloom.llm import language_id, line_dedup, mixing, simhash
-from tallyloom.llm.common import materialize
+from tallyloom.llm.common import materialize, small_batches
 from tallyloom.llm.queries import fold, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language (null text or no letter) go."""
+    small_batches(spark)
     model = language_id.fit(docs, "text", "lang", fold(3) != 1)
     return language_id.identify(docs, model, keep_text=True).where(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines whose key stands in ten documents or more go; n_chars follows the text."""
+    small_batches(spark)
     kept = line_dedup.dedup_lines(docs, min_docs=10)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -40,6 +43,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture draws, with the words it takes and the shards and places they go to."""
+    small_batches(spark)
     return mixing.mix_sources(docs).where("taken > 0")
 
 

@@ -37,6 +37,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of this session hold at most ``rows`` rows (fewer stay fewer): texts make rows heavy, and a
+    Python worker holds a batch and its result at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without columns that an operator is about to add (an operator's own column wins a clash)."""
     return df.drop(*[c for c in df.columns if c in names])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, oracle, toxicity
+from .common import small_batches
 from .decontaminate import benchmark_overlap, is_contaminated
 from .html_extract import extract
 from .line_dedup import dedup_lines
@@ -20,6 +21,7 @@ from .token_counts import count_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
