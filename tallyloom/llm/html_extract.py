@@ -6,10 +6,11 @@ host are equal form an equivalence class.  A vector is known by its support and
 hashes of (page, count), so classes come out of one map-side combined aggregation and a hot
 host is never gathered in one place.  A class is valid if it is frequent enough and its
 elements occur a fixed number of times per page; paths nest, so the valid classes form a tree,
-the template.  What is not template is slots; the walk from the root to the deepest once-only
-element that still holds most of the text finds the slot of the article, and what a page has
-there, less menus, adverts, forms, comments and the runs of the root's own class, is its text.
-Hosts with few pages use the template of all hosts together.
+the template.  What is not template is slots, and all of them are kept: the root is the deepest
+once-only element that holds the whole text of the host's pages, never one inside an article or
+main element.  What a page has in its article and main elements (below the root, where these
+don't hold most of the page's text), less menus, adverts, forms, comments and the runs of the
+root's own class, is its text.  Hosts with few pages use the template of all hosts together.
 
 Templates are small (bounded by the tokens that a fixed share of a host's pages have); they are
 broadcast below a checked size and joined by host beyond it.
@@ -51,6 +52,7 @@ FURNITURE = re.compile(
     re.I,
 )
 TOO_FEW = 3
+MARKED = re.compile(r"/(?:article|main)(?:\.[^/]*)?(?=/|$)")
 FIELDS = "host string, token long, element string, pages long, uses long, low long, high long, chars long"
 
 
@@ -195,20 +197,20 @@ def deduce_templates(vectors: DataFrame, support: float = 0.5) -> DataFrame:
     # the runs that every page has belong to the class of the page itself
     whole = (F.col("low") == F.col("all_low")) & (F.col("high") == F.col("all_high")) & (F.col("pages") >= 5)
     by_host = grouped.groupBy("host", "host_pages", "host_chars").agg(F.flatten(F.collect_list("elements")).alias("elements"), F.flatten(F.collect_list(F.when(whole, F.col("runs")))).alias("constant"))
-    # the deepest once-only element that holds most of the text
-    most = F.filter("elements", lambda e: e["chars"] >= 0.6 * F.col("host_chars"))
-    depth = F.transform(most, lambda e: F.struct(F.size(F.split(e["element"], "/")).alias("depth"), e["chars"].alias("chars"), e["element"].alias("path")))
+    # the deepest once-only element that leaves no text outside, but none below an article or main element
+    whole_text = F.filter("elements", lambda e: (e["chars"] == F.col("host_chars")) & ~F.rlike(e["element"], F.lit(MARKED.pattern.replace("(?=/|$)", "/"))))
+    depth = F.transform(whole_text, lambda e: F.struct(F.size(F.split(e["element"], "/")).alias("depth"), e["element"].alias("path")))
     return by_host.select("host", F.col("host_pages").alias("pages"), F.coalesce(F.array_max(depth)["path"], F.lit("")).alias("root"), "constant")
 
 
 def article(source: str, root: str, constant: frozenset[int] | set[int]) -> str:
     blocks, uses = read_page(source)
-    # an article or main element says where the slot is, also where a host's pages differ
-    inside = root if root in uses and uses[root][1] else ""
-    if not re.search(r"/(?:article|main)(?:\.|/|$)", inside):
-        marked = [p for p, (_, chars) in uses.items() if chars and re.search(r"/(?:article|main)(?:\.[^/]*)?$", p)]
-        inside = max(marked, key=lambda p: (uses[p][1], len(p)), default=inside)
-    own = [(p, t) for p, t, furniture in blocks if not furniture and (p == inside or p.startswith(inside + "/") or not inside)]
+    # article and main elements say where the slots are, also where a host's pages differ; the outermost hold the inner ones
+    slots = {p[: m.end()] for p, (_, chars) in uses.items() if chars and (m := MARKED.search(p))}
+    if 2 * sum(uses[p][1] for p in slots) < sum(len(t) for _, t, furniture in blocks if not furniture):
+        slots = set()
+    slots = tuple(slots) or ((root,) if root in uses and uses[root][1] else ())
+    own = [(p, t) for p, t, furniture in blocks if not furniture and (not slots or p in slots or p.startswith(tuple(x + "/" for x in slots)))]
     if constant:
         varying = [(p, t) for p, t in own if _hash(f"{p}\0{t}", 1) not in constant]
         if 2 * sum(len(t) for _, t in varying) > sum(len(t) for _, t in own):

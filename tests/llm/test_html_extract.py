@@ -36,6 +36,21 @@ def test_template_of_a_host_without_articles(spark):
         assert got == {k + d: f"Head {k}\n\nBody {k} of the page with words {k * 7}." for k in range(8) for d in (0, 100)}
 
 
+def test_all_slots_of_a_host_are_kept(spark):
+    long = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    kinds = {
+        "wrapper": lambda k: f"<article><h1>Head {k}</h1><p>Lead {k}</p><div class=content><p>{long(k)}</p></div></article>",
+        "one": lambda k: f"<main><article><h1>Head {k}</h1><p>Lead {k}. {long(k)}</p></article></main>",
+        "beside": lambda k: f"<div><div class=intro><h1>Head {k}</h1>Lead {k}</div><div class=long>{long(k)}</div></div>",
+        "parts": lambda k: f"<article class=a>Head {k}</article><article class=b>Lead {k} {long(k)}</article>",
+        "teaser": lambda k: f"<div>Head {k} Lead {k} {long(k)}</div><article>Other</article>",
+    }
+    rows = [(k, f"http://{kind}.example/{k}", f"<html><body><nav>n{k}</nav>{make(k)}<footer>f</footer></body></html>") for kind, make in kinds.items() for k in range(8)]
+    for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        k = r.page_id
+        assert [x in r.text for x in (f"Head {k}", f"Lead {k}", long(k), f"n{k}\n")] == [True, True, True, False], r.url
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "http://[broken", ""), (3, "x", "<p>only</p>"), (3, "x", "<p>only</p>"), (None, "http://a.b/", "<article>" + "<p>long text</p>" * 5000)]
     got = sorted(map(tuple, extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")).collect()), key=repr)
