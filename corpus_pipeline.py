@@ -42,9 +42,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture draws, with the words it takes and the shards and places they go to."""
+    """The mixture: the texts as drawn, repeated and cut, shard by shard in the shuffled order."""
     small_batches(spark)
-    return mixing.mix_sources(docs).where("taken > 0")
+    return mixing.draw_mixture(docs)
 
 
 STAGES = [

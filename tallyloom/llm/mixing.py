@@ -9,16 +9,18 @@ Which output shard gets which units is drawn by a tree over the shards: at each
 numbers of units by source are split between its two halves by a multivariate hypergeometric
 draw, so every shard ends up with a random composition whose sums over all shards are the exact
 quotas.  A shard takes its numbers as disjoint runs of the permuted units, and its documents
-are ordered by a hash.  Only one row per source reaches the driver; texts are never shuffled.
+are ordered by a hash.  Only one row per source reaches the driver.  ``mix_sources`` makes the
+draws, from ids and sizes alone; ``draw_mixture`` joins them to the texts, cuts what is taken in
+part, and brings each shard together in its order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
@@ -85,7 +87,7 @@ def default_weights(names: list[str | None]) -> list[float]:
     return [(3, 1, 2)[i % 3] for i in range(len(names))]
 
 
-def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: Callable[[list], list[float]] = default_weights, share: float = 1.5, most: float = 2.0, shards: int = 64, block_rows: int = 4096, seed: int = 11) -> DataFrame:
+def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: Callable[[list], list[float]] = default_weights, share: float = 1.5, most: float = 2.0, shards: int = 64, block_rows: int = 4096, seed: int = 11, keep: Sequence[str] = ()) -> DataFrame:
     """One row per document: id, source, size, source_size, target, taken, and draws.
 
     draws: an array of (copy, shard, order, words), one for each time the mix takes the document;
@@ -94,8 +96,9 @@ def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     down; no document is taken more than ceil(``most``) times.  Documents without words are never
     drawn.  Repeated rows are documents of their own.  Reruns agree, as all choices are hashes
     or seeded; an empty table gives an empty table.  More than 100,000 sources are refused.
+    Columns named in ``keep`` are carried along, after the others.
     """
-    sized = materialize(word_counts(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("_text")), "_text"))
+    sized = materialize(word_counts(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("_text"), *keep), "_text"))
     spark = df.sparkSession
     stats = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(stats) > MAX_SOURCES:
@@ -133,7 +136,30 @@ def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
 
     draws = F.array_compact(F.array(*[draw(k) for k in range(copies)]))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return at.withColumn("draws", draws).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), "draws")
+    return at.withColumn("draws", draws).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), "draws", *keep)
+
+
+def first_words(text: Column, words: Column) -> Column:
+    """The text up to the end of its ``words``-th word."""
+    pieces = F.split(text, r"(?<=[ \t-\r])(?=[^ \t-\r])")  # each word with the white space after it
+    leading = text.rlike(r"\A[ \t-\r]").cast("int")
+    return F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), words.cast("int") + leading), ""), r"[ \t-\r]+\z", "")
+
+
+def draw_mixture(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: Callable[[list], list[float]] = default_weights, share: float = 1.5, most: float = 2.0, shards: int = 64, block_rows: int = 4096, seed: int = 11) -> DataFrame:
+    """The mixture itself: one row per draw of ``mix_sources``, in one partition per shard, sorted by order.
+
+    id, source, text, shard, order, copy, words, then size, source_size, target and taken of the
+    document.  A document drawn twice is there twice; a text that is taken in part ends after its
+    ``words``-th word.  Draws find their texts by a number given to each row, so repeated rows keep
+    texts of their own.
+    """
+    rows = materialize(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id()))
+    drawn = mix_sources(rows, "text", "id", "source", weights, share, most, shards, block_rows, seed, keep=["row"])
+    drawn = drawn.select("row", "size", "source_size", "target", "taken", F.explode("draws").alias("d")).select("*", "d.*").drop("d")
+    text = F.when(F.col("words") < F.col("size"), first_words(F.col("text"), F.col("words"))).otherwise(F.col("text"))
+    mixed = rows.join(drawn, "row").select(F.col("id").alias(id_col), F.col("source").alias(source_col), text.alias(text_col), "shard", "order", "copy", "words", "size", "source_size", "target", "taken", "row")
+    return mixed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "order", "copy", "row").drop("row")
 
 
 def manifest(mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyloom.llm.mixing import manifest, mix_sources, splitting_tree, water_fill
+from tallyloom.llm.mixing import draw_mixture, manifest, mix_sources, splitting_tree, water_fill
 from tallyloom.llm.queries import QUERIES
 
 from .conftest import SF
@@ -71,6 +71,31 @@ def test_odd_documents(odd_docs, no_docs):
     assert mix_sources(no_docs).count() == 0
 
 
+def test_mixture_has_the_texts(odd_docs, no_docs):
+    texts = defaultdict(set)
+    for r in odd_docs.collect():
+        texts[r.doc_id, r.source].add(r.text)
+    mixed = draw_mixture(odd_docs, block_rows=5, shards=4)
+    assert mixed.columns[:3] == ["doc_id", "source", "text"]
+    cut = 0
+    for r in mixed.collect():
+        whole = [t for t in texts[r.doc_id, r.source] if t and t.startswith(r.text)]
+        assert whole and len(WORD.findall(r.text)) == r.words
+        if r.words < r["size"]:
+            cut += 1
+            assert WORD.search(r.text[-1]) and r.text not in texts[r.doc_id, r.source]
+        else:
+            assert r.text in whole
+    assert cut
+    row = lambda r: (repr(r.doc_id), r.source, r.shard, r.order, r["copy"], r.words)
+    assert Counter(map(row, mixed.collect())) == Counter(map(row, manifest(mix_sources(odd_docs, block_rows=5, shards=4)).collect()))
+    parts = mixed.select("shard", "order").rdd.glom().collect()
+    assert len(parts) == 4
+    for k, part in enumerate(parts):
+        assert {r.shard for r in part} == {k} and [r.order for r in part] == sorted(r.order for r in part)
+    assert draw_mixture(no_docs).count() == 0
+
+
 def test_query(spark, small):
     got = QUERIES["op2_mix_sources"](spark, SF).collect()
     check([(r.doc_id, r.source, r.text) for r in small("documents").collect()], got)
