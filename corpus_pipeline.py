@@ -17,9 +17,11 @@ from tallyloom.llm.queries import fold, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language (null text or no letter) go."""
+    """Documents without a language (null text or no letter) go; where no language is learned the others stay."""
     small_batches(spark)
     model = language_id.fit(docs, "text", "lang", fold(3) != 1)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return language_id.identify(docs, model, keep_text=True).where(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
 
 

@@ -88,13 +88,16 @@ class LanguageModel:
         return best, top[:, -1], top[:, -2] if p.shape[1] > 1 else np.zeros(len(p))
 
 
-def fit(df: DataFrame, text_col: str, lang_col: str, train: Column, max_rows: int = 20_000) -> LanguageModel:
+def fit(df: DataFrame, text_col: str, lang_col: str, train: Column, max_rows: int = 20_000, least_rows: int = 200) -> LanguageModel:
     """Learn from the rows where ``train`` holds and the language isn't null: all of them, or about
-    ``max_rows`` chosen by a hash of the text where there are more."""
+    ``max_rows`` chosen by a hash of the text where there are more, but of each language about
+    ``least_rows`` or all it has."""
     rows = df.where(train & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    n = rows.count()
+    by_lang = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    n = sum(by_lang.values())
     if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * max_rows / n))
+        cuts = df.sparkSession.createDataFrame([(lang, int(1_000_003 * min(1, max(max_rows / n, least_rows / m)))) for lang, m in by_lang.items()], "lang string, cut int")
+        rows = rows.join(F.broadcast(cuts), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("cut")).select("text", "lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -35,6 +35,12 @@ def test_language_held_out_accuracy(spark, small):
     assert len(got) > 40 and np.mean([r.lang == r.lang_pred for r in got]) >= 0.97
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(k, f"the cat number {k} sat on the mat", "en") for k in range(3000)] + [(9000 + k, f"il gatto {k} siede", "it") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit(docs, "text", "lang", F.lit(True), max_rows=30).langs == ["en", "it"]
+
+
 def test_pairs_of_terms_that_weigh_only_together():
     """Insult with group mention: each alone is harmless, so additive weights can't tell."""
     rng = np.random.default_rng(0)

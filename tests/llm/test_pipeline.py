@@ -35,6 +35,18 @@ def test_run_against_brute_force(spark, small):
     assert drawn == {r.doc_id: r.taken for r in mixed if r.taken}
 
 
+def test_result_has_the_texts_of_the_draws(spark, small):
+    texts = {r.doc_id: r.text for r in p.line_dedup.dedup_lines(small("documents"), min_docs=10).collect()}
+    got = p.run(spark, SF).collect()
+    assert got and all(r.text and texts[r.doc_id].startswith(r.text) and len(r.text.split()) > 0 for r in got)
+
+
+def test_texts_stay_where_no_language_is_known(spark, small):
+    docs = small("documents").withColumn("lang", p.F.lit(None).cast("string"))
+    want = {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
+    assert want and {r.doc_id for r in p.identify_language(spark, docs, SF).collect()} == want
+
+
 def test_stages_on_an_empty_table(spark, small):
     docs = small("documents").limit(0)
     for _, stage in p.STAGES:
