@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -51,6 +52,12 @@ FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|side-bar|aside|widget|widgets|footer|footnav|header|masthead|topbar|toolbar|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|search|comments?|commentlist|replies|reply|respond|disqus|pagination|pager|skip|copyright|legal|disclaimer|hidden|sr-only)(?=$|[\s_-])",
     re.I,
 )
+# Words that name parts of an article as well, names that say what a page has or lacks, and words that never name a layout.
+PARTS = set("header masthead legal disclaimer notice notices alert copyright".split())
+ARTICLE_WORDS = set("article entry post story content".split())
+STATES = re.compile(r"(?:has|no|with|without)[_-]", re.I)
+REPLIES = set("comment comments commentlist replies reply respond disqus".split())
+ADVERTS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?)(?=$|[\s_-])", re.I)
 TOO_FEW = 3
 MARKED = re.compile(r"/(?:article|main)(?:\.[^/]*)?(?=/|$)")
 FIELDS = "host string, token long, element string, pages long, uses long, low long, high long, chars long"
@@ -64,38 +71,53 @@ def host_of(url: str | None) -> str:
 
 
 def _furniture(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
+    """Tag, role or style make it furniture, with all it holds."""
     if tag in FURNITURE_TAGS or attrs.get("role", "").lower() in FURNITURE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
     if tag == "header" and not inside_article:
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-        return True
-    if tag in ("body", "html", "article", "main"):
-        return False
-    return bool(FURNITURE.search(attrs.get("class", "")) or FURNITURE.search(attrs.get("id", "")))
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
+
+
+@lru_cache(100_000)
+def _doubt(names: str, inside_article: bool) -> int:
+    """What class and id say: 0 no furniture, 1 a name with such a word in it, 2 a name of such words, 3 comments."""
+    most = 0
+    for name in names.lower().split():
+        words = re.split("[_-]", name)
+        found = [] if STATES.match(name) else [m[0].strip("_-") for m in FURNITURE.finditer(name)]
+        if inside_article or ARTICLE_WORDS.intersection(words):
+            found = [w for w in found if w not in PARTS]
+        if found:
+            most = max(most, 3 if REPLIES.intersection(found) else 2 if sum(1 + w.count("-") for w in found) == len(words) else 1)
+    return most
 
 
 def read_page(text: str) -> tuple[list[tuple[str, str, bool]], dict[str, list[int]]]:
     """Blocks in page order as (path, text, furniture), and by element path its uses and the characters below it."""
-    blocks: list[tuple[str, str, bool]] = []
-    uses: dict[str, list[int]] = {}
-    stack: list[tuple[str, str, bool]] = [("", "", False)]
+    runs: list[tuple[int, str]] = []
+    # by element: the one around it, path, furniture by itself or around it, what its names say, article or main, inside one, characters, those in links
+    around, paths, sure, doubts, marked, inside, own, linked = [0], [""], [False], [0], [False], [False], [0], [0]
+    stack: list[tuple[str, int]] = [("", 0)]
     run: list[str] = []
+    in_link, links = False, 0
+    skip: list | None = None  # an inline button or advert: tag, how many are open, depth of the stack
 
     def flush() -> None:
         if run:
             if words := " ".join(html.unescape("".join(run)).split()):
-                _, path, furniture = stack[-1]
-                blocks.append((path, words, furniture))
-                while path:
-                    uses[path][1] += 0 if furniture else len(words)
-                    path = path.rpartition("/")[0]
+                at = stack[-1][1]
+                runs.append((at, words))
+                if not sure[at]:
+                    own[at] += len(words)
+                    linked[at] += min(links, len(words))
             run.clear()
 
     end = 0
     for m in TOKEN.finditer(text):
-        if m.start() > end:
+        if m.start() > end and not skip:
             run.append(text[end : m.start()])
+            links += (m.start() - end) * in_link
         end = m.end()
         tag = m["tag"]
         if tag is None:
@@ -104,38 +126,86 @@ def read_page(text: str) -> tuple[list[tuple[str, str, bool]], dict[str, list[in
         if tag in SPACES:
             run.append(" ")
         if tag not in BLOCKS:
-            if tag == "button":  # inline, but never part of the text
-                run.append(" ")
+            if tag == "a":
+                in_link = not m["close"]
+            if skip:
+                skip[1] += (-1 if m["close"] else 1) * (tag == skip[0])
+                skip = skip if skip[1] else None
+            elif not m["close"] and (tag == "button" or ("=" in m["attrs"] and tag not in VOID and ADVERTS.search(_names(m["attrs"])))):
+                run.append(" ")  # inline, but never part of the text
+                skip = [tag, 1, len(stack)]
             continue
         flush()
+        links = 0
         if m["close"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
+            skip = skip if skip and len(stack) >= skip[2] else None
             continue
         shut = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, skip[2] - 1 if skip and skip[0] == "button" else 0, -1):
             if stack[k][0] in shut:
                 del stack[k:]
                 break
             if stack[k][0] not in ("p", "td", "th", "li", "dt", "dd") and stack[k][0] not in shut:
                 break
+        skip = skip if skip and len(stack) >= skip[2] else None
         raw = m["attrs"]
         attrs = {a.lower(): v.strip("\"'") for a, v in ATTR.findall(raw)} if len(raw) > 1 else {}
-        _, path, furniture = stack[-1]
+        above = stack[-1][1]
         name = tag
         if attrs:
             marks = sorted((attrs.get("class", "") + " #" + attrs["id"] if "id" in attrs else attrs.get("class", "")).split())
             name = ".".join([tag, *(re.sub(r"\d+", "0", x).replace("/", "_") for x in marks)])
-        path = f"{path}/{name}"
-        furniture = furniture or _furniture(tag, attrs, any(s[0] in ("article", "main") for s in stack))
-        stack.append((tag, path, furniture))
-        uses.setdefault(path, [0, 0])[0] += 1
-    if end < len(text):
+        stack.append((tag, len(paths)))
+        around.append(above)
+        paths.append(f"{paths[above]}/{name}")
+        sure.append(sure[above] or _furniture(tag, attrs, inside[above]))
+        doubts.append(_doubt(f"{attrs.get('class', '')} {attrs.get('id', '')}", inside[above]) if attrs and tag not in ("body", "html", "article", "main") else 0)
+        marked.append(tag in ("article", "main"))
+        inside.append(inside[above] or marked[-1])
+        own.append(0)
+        linked.append(0)
+    if end < len(text) and not skip:
         run.append(text[end:])
     flush()
-    return blocks, uses
+    furniture = _judge(around, sure, doubts, marked, own, linked)
+    uses: dict[str, list[int]] = {}
+    below = [0 if f else n for f, n in zip(furniture, own, strict=True)]
+    for k in range(len(paths) - 1, 0, -1):
+        below[around[k]] += below[k]
+        u = uses.setdefault(paths[k], [0, 0])
+        u[0] += 1
+        u[1] += below[k]
+    return [(paths[k], words, furniture[k]) for k, words in runs], uses
+
+
+def _names(raw: str) -> str:
+    return " ".join(v.strip("\"'") for a, v in ATTR.findall(raw) if a.lower() in ("class", "id"))
+
+
+def _judge(around: list[int], sure: list[bool], doubts: list[int], marked: list[bool], own: list[int], linked: list[int]) -> list[bool]:
+    """Which elements are furniture.  Names are in doubt: they don't count on an element that holds most of what
+    is in article and main elements, nor, if such a word is only part of the name, on one that holds most of the
+    page's text (not as links).  If that leaves a page without text, other names don't count there either."""
+    n = len(around)
+    if not any(doubts):
+        return sure
+    below, links, held = own[:], linked[:], [0] * n
+    for k in range(n - 1, 0, -1):
+        below[around[k]] += below[k]
+        links[around[k]] += links[k]
+        held[around[k]] += below[k] if marked[k] else held[k]
+    for spared in (1, 3):
+        out = [False] * n
+        for k in range(1, n):
+            wrapper = (doubts[k] < 3 and 2 * held[k] > held[0]) or (doubts[k] <= spared and 2 * below[k] > below[0] and 2 * links[k] <= below[k])
+            out[k] = out[around[k]] or sure[k] or (doubts[k] > 0 and not wrapper)
+        if any(x and not f for x, f in zip(own, out, strict=True)):
+            break
+    return out
 
 
 def _hash(text: str, seed: int = 0) -> int:

@@ -26,6 +26,28 @@ def test_one_page():
     assert article("<article><p>cut <b>of", "", set()) == "cut of"
 
 
+def test_names_of_layouts_and_of_parts_of_an_article():
+    body = "<h1>Head</h1><p>Some words of a text that is long enough.</p>"
+    want = "Head\n\nSome words of a text that is long enough."
+    menu = "<div class=menu><a href=/>home</a></div>"
+    for wrapper in ("class='has-sidebar'", "class=no-sidebar", "class='page with-sidebar'", "class='content search-layout'", "id='main-widget'", "class=widget"):
+        for inner in (f"<article>{body}</article>", f"<div>{body}</div>"):
+            assert article(f"<body><div {wrapper}>{inner}</div></body>", "", set()) == want
+            if wrapper != "class=widget":
+                assert article(f"<body>{menu}<div {wrapper}>{inner}</div><div class='sidebar'>s</div></body>", "", set()) == want
+    assert article(f"<main><div class=search-layout>{body}</div></main>", "", set()) == want
+    assert article("<article><div class=article-header><h1>Head</h1></div><p>Text</p><div class=post-legal>Law</div><div class=share-buttons>s</div></article>", "", set()) == "Head\n\nText\n\nLaw"
+    assert article("<div class=entry-header><h1>Head</h1></div><p>Text</p>", "", set()) == "Head\n\nText"
+    comments = "<section class=comments-area><article>" + "said long things " * 30 + "</article></section>"
+    assert article(f"<article>{body}{comments}</article>", "", set()) == want
+    assert article(f"<body><article>{body}</article>{comments}</body>", "", set()) == want
+
+
+def test_inline_buttons_and_adverts():
+    assert article("<p>One <button class=x>Buy <b>now</b></button>two <span class=ad>ad <span>in</span></span>three</p>", "", set()) == "One two three"
+    assert article("<p>One <button><div>Buy</div></button> two</p><p>a <span class='ad'>cut<p>Next", "", set()) == "One\n\ntwo\n\na\n\nNext"
+
+
 def test_template_of_a_host_without_articles(spark):
     rows = [(k, f"http://plain.example/{k}", page(k, "plain")) for k in range(8)] + [(100 + k, f"https://News.example/{k}", page(k, "news")) for k in range(8)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
