@@ -196,7 +196,7 @@ def _(spark, sf):
 @query("se03_detect_language", None)
 def _(spark, sf):
     docs = table(spark, sf, "documents")
-    return se.detect_language(docs, "doc_id", "text", se.word_profiles(docs.where("doc_id % 2 = 0"), "text", "lang"))
+    return se.detect_language(docs, "doc_id", "text", se.word_profiles(docs, "text", "lang"))
 
 
 def routed(spark, sf):

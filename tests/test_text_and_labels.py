@@ -110,3 +110,11 @@ def test_emoji_only(spark):
     flags = lambda n: (lambda c: se.script_flags(c)[n])
     assert column(spark, ["🔥🔥 ❤️", "ok 🔥", ""], flags("is_emoji_only")) == [True, False, False]
     assert column(spark, ["hello мир", "hello"], flags("has_mixed_script")) == [True, False]
+
+
+def test_language_profiles_learn_from_all_rows(spark, tmp_path):
+    from tallyloom.plans.q_labels import QUERIES
+
+    rows = [(2 * k + 1, f"il gatto rosso siede sul tappeto {k}", "it") for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert all("it" in tuple(r) for r in QUERIES["se03_detect_language"](spark, str(tmp_path)).collect())
