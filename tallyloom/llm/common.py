@@ -21,10 +21,17 @@ U64 = np.uint64
 SLICE_BYTES = 3_000_000
 
 
+#: Paths of the tables that ``materialize`` wrote and nobody has removed.
+_WRITTEN: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh temporary one only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``.  Where none is set, a fresh temporary one on a
+    local master; on a cluster an error, as executors don't share the driver's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -34,9 +41,32 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet below the shared checkpoint folder and read it again."""
     path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tables_written() -> int:
+    """How many tables ``materialize`` has written and nobody has removed."""
+    return len(_WRITTEN)
+
+
+def remove_tables(spark: SparkSession, begin: int, end: int | None = None) -> None:
+    """Remove the tables written from the ``begin``-th on, before the ``end``-th: only once nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    for path in _WRITTEN[begin:end]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _WRITTEN[begin:end]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so (names don't tell cases apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches of this session hold at most ``rows`` rows (fewer stay fewer): texts make rows heavy, and a
     Python worker holds a batch and its result at once."""

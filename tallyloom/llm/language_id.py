@@ -1,14 +1,15 @@
 """Language identification with error-correcting output codes.
 
-Each language gets a codeword of bits.  For every bit a binary classifier over hashed byte
-n-grams is learned: the log ratio of an n-gram's frequency in the languages whose bit is 1 to
-that in the others.  A text's margin for a bit is the mean of its n-grams' log ratios; decoding
-weighs the logistic loss of all bits and takes the codeword with the least.  A small gap to the
-second codeword marks the text as ambiguous.
-
-Counts of n-grams by language are summed by Spark over a bounded, hash-chosen sample of the
-labelled rows; the model (buckets x bits) has a fixed size and is broadcast.  Scoring is one
-pass over all whole texts without a shuffle.
+Each language gets a codeword of bits.  Every bit has a binary classifier over hashed byte n-grams:
+a linear function of a text's n-gram frequencies, which starts from the log ratio of the
+frequencies in the languages whose bit is 1 to those in the others and is then fitted to the bit
+by descent on its logistic loss.  Bits weigh in the decoding by how seldom their classifier errs on
+the training rows; the codeword with the least weighted loss wins, and a small gap to the second
+marks the text as ambiguous.
+
+The training rows are a bounded, hash-chosen sample; their n-grams stay in the executors, and a step
+of the descent is one Spark job that brings only sums of fixed size (bits x buckets) to the driver.
+The model is broadcast; scoring is one pass over all whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, slices, text_buffer, without
+from .common import LOWER, materialize, slices, text_buffer, without
 
 BUCKET_BITS = 15
 GRAMS = (2, 3, 4)
@@ -62,6 +63,7 @@ class LanguageModel:
     langs: list[str]
     codes: np.ndarray  # languages x bits
     weights: np.ndarray  # bits x buckets
+    trust: np.ndarray  # weight of each bit in the decoding
 
     def margins(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean log ratio of each row and bit, and the rows' n-gram counts."""
@@ -78,9 +80,9 @@ class LanguageModel:
         return total / np.maximum(grams, 1)[:, None], grams
 
     def decode(self, margins: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of the nearest codeword by loss, its share of the weight in (0, 1], and the second's."""
-        sure = 4.0 * margins * np.minimum(grams, 30)[:, None] / 30
-        loss = np.stack([np.logaddexp(0, -sure * code).sum(1) for code in self.codes.astype(np.float64)], 1)
+        """Index of the nearest codeword by weighted loss, its share of the weight in (0, 1], and the second's."""
+        sure = margins * sureness(grams)[:, None]
+        loss = np.stack([np.logaddexp(0, -sure * code) @ self.trust for code in self.codes.astype(np.float64)], 1)
         p = np.exp(loss.min(1, keepdims=True) - loss)
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
@@ -88,45 +90,126 @@ class LanguageModel:
         return best, top[:, -1], top[:, -2] if p.shape[1] > 1 else np.zeros(len(p))
 
 
-def fit(df: DataFrame, text_col: str, lang_col: str, train: Column, max_rows: int = 20_000, least_rows: int = 200) -> LanguageModel:
-    """Learn from the rows where ``train`` holds and the language isn't null: all of them, or about
-    ``max_rows`` chosen by a hash of the text where there are more, but of each language about
-    ``least_rows`` or all it has."""
-    rows = df.where(train & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+def sureness(grams: np.ndarray) -> np.ndarray:
+    """How much a mean over so many n-grams counts: texts of a few letters say little."""
+    return 4.0 * np.minimum(grams, 30) / 30
+
+
+def sample(df: DataFrame, text_col: str, lang_col: str, train: Column, max_rows: int, least_rows: int) -> DataFrame:
+    """(text, lang) of the training rows, or where they are more, of about ``max_rows`` and of each language about
+    ``least_rows`` or all it has.  Rows are chosen by a hash of all their columns, so that a text that
+    stands in very many rows is chosen as often as it should be."""
+    pick = F.pmod(F.xxhash64(*df.columns), F.lit(1_000_003)) if df.columns else F.lit(0)
+    rows = df.where(train & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), pick.alias("pick"))
     by_lang = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     n = sum(by_lang.values())
     if n > max_rows:
         cuts = df.sparkSession.createDataFrame([(lang, int(1_000_003 * min(1, max(max_rows / n, least_rows / m)))) for lang, m in by_lang.items()], "lang string, cut int")
-        rows = rows.join(F.broadcast(cuts), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("cut")).select("text", "lang")
+        rows = rows.join(F.broadcast(cuts), "lang").where("pick < cut")
+    return rows.select("text", "lang")
+
+
+def _grams_of(rows: DataFrame) -> DataFrame:
+    """(lang, n, buckets, counts): the number of n-grams of each row, its distinct buckets and how often it has each."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             buf, offsets = text_buffer(batch.column(0))
-            langs = np.array(batch.column(1).to_pylist(), object)
-            for i, j in slices(offsets):
+            n, buckets, counts = [], [], []
+            for i, j in slices(offsets, 500_000):
                 part, at = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                codes = np.unique(langs[i:j])
-                row = np.repeat(np.searchsorted(codes, langs[i:j]), np.diff(at))
-                for bucket, valid in gram_buckets(part, at):
-                    c = np.bincount(row[valid] << BUCKET_BITS | bucket[valid].astype(np.int64), minlength=len(codes) << BUCKET_BITS).reshape(len(codes), -1)
-                    for lang, x in zip(codes, c, strict=True):
-                        sums[lang] = sums.get(lang, 0) + x
-        for lang, x in sums.items():
-            at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(x[at])], ["lang", "bucket", "n"])
-
-    found = rows.mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(found["lang"].unique())
-    counts = np.zeros((len(langs), 1 << BUCKET_BITS))
-    counts[found["lang"].map({lang: i for i, lang in enumerate(langs)}).to_numpy(np.int64), found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy()
-    codes = codewords(len(langs))
-    freq = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * counts.shape[1])
-    weights = np.zeros((codes.shape[1], counts.shape[1] + 1), np.float32)
-    for bit in range(codes.shape[1]) if len(langs) > 1 else ():
-        one = codes[:, bit] > 0
-        weights[bit, :-1] = np.clip(np.log(freq[one].mean(0) / freq[~one].mean(0)), -4, 4)
-    return LanguageModel(langs, codes, weights)
+                row = np.repeat(np.arange(j - i, dtype=np.uint32 if j - i < 1 << 32 - BUCKET_BITS else np.uint64) << BUCKET_BITS, np.diff(at))
+                keys = [(row | bucket)[valid] for bucket, valid in gram_buckets(part, at)]
+                keys, times = np.unique(np.concatenate(keys), return_counts=True)
+                cut = np.searchsorted(keys, np.arange(j - i + 1, dtype=np.uint64) << np.uint64(BUCKET_BITS))
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    n.append(int(times[a:b].sum()))
+                    buckets.append((keys[a:b] & ((1 << BUCKET_BITS) - 1)).astype("<u2").tobytes())
+                    counts.append(times[a:b].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())], ["lang", "n", "buckets", "counts"])
+
+    return rows.mapInArrow(counted, "lang string, n long, buckets binary, counts binary")
+
+
+def _blocks(batch: pa.RecordBatch, rows: int = 128) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of up to ``rows`` rows of ``_grams_of``: first and last row, their n-gram counts, and their frequencies by bucket."""
+    n, buckets, counts = batch.column(1).to_numpy().astype(np.float32), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+    for i in range(0, len(n), rows):
+        j = min(len(n), i + rows)
+        x = np.zeros((j - i, 1 << BUCKET_BITS), np.float32)
+        for k in range(i, j):
+            x[k - i, np.frombuffer(buckets[k], "<u2")] = np.frombuffer(counts[k], "<u4") / max(n[k], 1)
+        yield i, j, n[i:j], x
+
+
+def _step(grams: DataFrame, langs: list[str], codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic loss, number of errors and gradient of every bit's classifier over the training rows, in one job."""
+    bits, size = weights.shape
+    shared = grams.sparkSession.sparkContext.broadcast(weights)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, index = shared.value, {lang: i for i, lang in enumerate(langs)}
+        loss, wrong, gradient = np.zeros(bits), np.zeros(bits), np.zeros((bits, size), np.float32)
+        for batch in batches:
+            code = codes[[index[lang] for lang in batch.column(0).to_pylist()]].astype(np.float32)
+            for i, j, n, x in _blocks(batch):
+                gain = code[i:j] * sureness(n)[:, None]
+                z = (x @ w.T) * gain
+                loss += np.logaddexp(0, -z).sum(0)
+                wrong += (z <= 0).sum(0)
+                gradient -= (gain / (1 + np.exp(np.clip(z, -50, 50)))).astype(np.float32).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (loss, wrong, gradient)], ["loss", "wrong", "gradient"])
+
+    parts = grams.mapInArrow(summed, "loss binary, wrong binary, gradient binary").collect()
+    loss, wrong, gradient = np.zeros(bits), np.zeros(bits), np.zeros((bits, size))
+    for part in parts:
+        loss += np.frombuffer(part.loss)
+        wrong += np.frombuffer(part.wrong)
+        gradient += np.frombuffer(part.gradient, np.float32).reshape(bits, size)
+    shared.destroy()
+    return loss, wrong, gradient
+
+
+def fit(df: DataFrame, text_col: str, lang_col: str, train: Column, max_rows: int = 6_000, least_rows: int = 200, steps: int = 4) -> LanguageModel:
+    """Learn from the rows where ``train`` holds and the language isn't null, or a sample of them (see ``sample``).
+
+    Each bit's classifier starts from log ratios of n-gram frequencies and takes ``steps`` steps down
+    the gradient of its loss; a step that doesn't lower a bit's loss is taken back and halved.  A bit's
+    weight in the decoding is the log odds of its classifier being right on the training rows, scaled
+    to mean 1.  Without a labelled row the model knows no language.
+    """
+    grams = materialize(_grams_of(sample(df, text_col, lang_col, train, max_rows, least_rows)).coalesce(16))
+    langs = sorted(r.lang for r in grams.select("lang").distinct().collect())
+    codes, size = codewords(len(langs)), 1 << BUCKET_BITS
+    if len(langs) < 2:
+        return LanguageModel(langs, codes, np.zeros((codes.shape[1], size + 1), np.float32), np.ones(codes.shape[1]))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names = np.array(batch.column(0).to_pylist(), object)
+            for i, j, n, x in _blocks(batch):
+                for lang in set(names[i:j].tolist()):
+                    sums[lang] = sums.get(lang, 0.0) + (n * (names[i:j] == lang)) @ x.astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["lang", "sums"])
+
+    counts = np.zeros((len(langs), size))
+    for part in grams.mapInArrow(counted, "lang string, sums binary").collect():
+        counts[langs.index(part.lang)] += np.frombuffer(part.sums)
+    freq = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * size)
+    start = [np.clip(np.log(freq[c > 0].mean(0) / freq[c <= 0].mean(0)), -4, 4) for c in codes.T]
+    weights, pace = np.array(start, np.float32), np.full((codes.shape[1], 1), 0.5)
+    loss, wrong, gradient = _step(grams, langs, codes, weights)
+    for _ in range(steps):
+        tried = (weights - pace * gradient / np.maximum(np.abs(gradient).max(1, keepdims=True), 1e-12)).astype(np.float32)
+        new_loss, new_wrong, new_gradient = _step(grams, langs, codes, tried)
+        better = new_loss < loss
+        weights[better], gradient[better] = tried[better], new_gradient[better]
+        loss, wrong = np.where(better, new_loss, loss), np.where(better, new_wrong, wrong)
+        pace[~better] /= 2
+    n = grams.count()
+    trust = np.log((n - wrong + 0.5) / (wrong + 0.5)).clip(0.05)
+    return LanguageModel(langs, codes, np.pad(weights, ((0, 0), (0, 1))), trust / trust.mean())
 
 
 def _lettered(column: pa.Array) -> np.ndarray:

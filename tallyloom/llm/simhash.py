@@ -17,11 +17,11 @@ from itertools import product, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_TABLE, materialize, without
+from .common import LOWER_TABLE, fresh, materialize, without
 
 #: Fingerprints in a tile.
 TILE = 16_384
@@ -63,20 +63,21 @@ def fingerprints(df: DataFrame, text_col: str = "text", name: str = "fp", keep_t
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As many of the links as keep the same components: at most one fewer than there are ends."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[p]
-        return x
-
-    keep = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        if (p := root(x)) != (q := root(y)):
-            parent[p] = q
-            keep.append(k)
-    return a[keep], b[keep]
+    """Links with the same components, at most one fewer than there are ends: each end to the least of its component."""
+    ends, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = inverse[: len(a)], inverse[len(a) :]
+    label = np.arange(len(ends))
+    while True:
+        p, q = label[x], label[y]
+        if (p == q).all():
+            break
+        least = np.minimum(p, q)
+        np.minimum.at(label, p, least)
+        np.minimum.at(label, q, least)
+        while (label[label] != label).any():
+            label = label[label]
+    far = np.flatnonzero(label != np.arange(len(ends)))
+    return ends[far], ends[label[far]]
 
 
 def close_pairs(left: np.ndarray, right: np.ndarray, radius: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +154,13 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(small)
 
 
+def _rooted(rows: DataFrame, radius: int, best: Column) -> DataFrame:
+    """(fp, best, root) of every fingerprint of ``rows``: the least ``best`` of its rows and the component."""
+    classes = materialize(rows.groupBy("fp").agg(F.min(best).alias("best")))
+    roots = components(links(classes, radius))
+    return materialize(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "best", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = 2) -> DataFrame:
     """(id, fp, component_id) of every row: fingerprint, and the smallest id reachable over links.
 
@@ -161,14 +169,25 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     component; an empty table stays empty.
     """
     rows = materialize(fingerprints(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text"))
-    classes = materialize(rows.groupBy("fp").agg(F.min("_id").alias("first")))
-    roots = components(links(classes, radius))
-    placed = materialize(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    named = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    placed = _rooted(rows, radius, F.col("_id"))
+    named = placed.join(placed.groupBy("root").agg(F.min("best").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = 2) -> DataFrame:
-    """The rows of ``df`` whose id names their component, once each; rows without an id stay."""
-    kept = near_duplicates(df.where(F.col(id_col).isNotNull()), text_col, id_col, radius).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return df.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).join(kept, id_col, "left_semi").select(df.columns).unionByName(df.where(F.col(id_col).isNull()))
+def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = 2, broadcast_limit: int = 250_000) -> DataFrame:
+    """One row of each component of near-duplicates, with the columns of ``df``.
+
+    Rows are told apart by a number of their own, not by their id: of each component the row with
+    the smallest id stays (null counts as larger than any; of equal ids the smaller fingerprint,
+    then the first row).  So a text without a near-duplicate always stays, whatever ids it shares.
+    Up to ``broadcast_limit`` rows to drop are broadcast, so that no text is shuffled; more are
+    joined by row number.  An empty table stays empty.
+    """
+    row, fp = fresh(df, "_row"), fresh(df, "_fp")
+    rows = materialize(fingerprints(df.withColumn(row, F.monotonically_increasing_id()), text_col, fp, keep_text=True))
+    prints = rows.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    placed = _rooted(prints, radius, F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", "row"))
+    winners = placed.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    dropped = materialize(rows.select(row).join(winners, row, "left_anti"))
+    few = dropped.count() <= broadcast_limit
+    return rows.join(F.broadcast(dropped) if few else dropped, row, "left_anti").select(df.columns)

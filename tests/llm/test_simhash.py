@@ -82,8 +82,31 @@ def test_query_and_one_of_each_group(spark, small):
     assert sorted(kept) == sorted({c for _, _, c in want})
 
 
-def test_keep_one_of_odd_rows(odd_docs):
-    kept = [r.doc_id for r in simhash.keep_one(odd_docs).collect()]
-    want = groups([(r.doc_id, print_of(r.text)) for r in odd_docs.collect() if r.doc_id is not None])
-    assert sorted(k for k in kept if k is not None) == sorted({c for *_, c in want})
-    assert kept.count(None) == 2
+def kept_by_brute_force(rows):
+    """The (id, text) kept of each component of rows: smallest id, null last."""
+    by = {}
+    for k, (i, t) in enumerate(rows):
+        by[k] = (i, t)
+    roots = {k: c for k, _, c in groups([(k, print_of(t)) for k, (_, t) in by.items()])}
+    first = {}
+    for k, (i, t) in by.items():
+        first.setdefault(roots[k], []).append((i is None, i or 0, print_of(t)))
+    return sorted(min(v)[:2] for v in first.values())
+
+
+def test_keep_one_of_odd_rows(odd_docs, no_docs):
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    for limit in (250_000, -1):  # broadcast and join
+        kept = simhash.keep_one(odd_docs, broadcast_limit=limit)
+        assert kept.columns == odd_docs.columns
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == kept_by_brute_force(rows)
+    assert simhash.keep_one(no_docs).count() == 0
+
+
+def test_keep_one_where_ids_repeat_with_other_texts(spark):
+    a, b = "one two three four five six seven", "quite another text that is like no other here"
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, b + " with a different end of its own"), (7, b), (7, b)]
+    docs = spark.createDataFrame([(i, t, k, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row int, _fp int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 99, r.text, r._row) for r in kept.collect()) == [(3, a, 0), (5, b, 2), (99, rows[4][1], 4)]
