@@ -2,9 +2,10 @@
 
 A text is the set of its hashed words.  The score is the logistic of a bias, a weight for each
 term, and the inner products of the latent vectors of each pair of terms, so two words that
-are harmless alone can weigh together what an additive model misses.  The model is fitted
-with numpy on a bounded, hash-chosen sample of labelled rows; its size is fixed, it is
-broadcast, and scoring is one pass over all whole texts without a shuffle.
+are harmless alone can weigh together what an additive model misses.  The machine holds the terms
+that tell most about the label, alone or in pairs.  It is fitted with numpy on a bounded,
+hash-chosen sample of labelled rows; its size is fixed, it is broadcast, and scoring is one pass
+over all whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, slices, text_buffer, without, word_bounds, word_hashes
+from .common import ALNUM, LOWER, materialize, slices, text_buffer, without, word_bounds, word_hashes
 
 TERM_BITS = 20
 
@@ -51,8 +52,9 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def labelled_terms(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> list:
-    """Distinct term buckets and the label of the training rows: all of them, or about ``max_rows`` by a hash of the id.
+def labelled_terms(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, max_terms: int = 8_000_000) -> list:
+    """Distinct term buckets and the label of the training rows: all of them, or about ``max_rows`` by a hash of the
+    id, and in all about ``max_terms`` terms, so that neither repeated ids nor long texts fill the driver.
 
     The sample of labels is bounded, so it is broadcast and the texts are never shuffled.
     """
@@ -71,50 +73,93 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["y", "terms"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "y")
-    return rows.mapInArrow(terms, "y int, terms binary").collect()
+    found = materialize(rows.mapInArrow(terms, "y int, terms binary"))
+    size = found.agg(F.count("*").alias("rows"), F.sum(F.octet_length("terms") / 4).alias("terms")).first()
+    share = min(1.0, max_rows / max(size.rows, 1), max_terms / max(size.terms or 0, 1))
+    return (found if share > 0.9 else found.sample(share, 5)).collect()
 
 
-def fit(rows: list, k: int = 4, features: int = 512, least_g: float = 15.0, steps: int = 200, seed: int = 3) -> FactorizationMachine:
+def _logit(ones: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return np.log((ones + 0.5) / (of - ones + 0.5))
+
+
+def single_terms(df1: np.ndarray, df0: np.ndarray, n1: float, n0: float, most: int, least_g: float) -> np.ndarray:
+    """The ``most`` buckets whose presence says most about the label: likelihood ratio of the 2 x 2 table, ``least_g`` or more."""
+    seen, n = df1 + df0, n1 + n0
+    part = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0)
+    g = 2 * (part(df1, seen * n1 / n) + part(df0, seen * n0 / n) + part(n1 - df1, (n - seen) * n1 / n) + part(n0 - df0, (n - seen) * n0 / n))
+    chosen = np.lexsort((np.arange(len(g)), -g))[:most]
+    return chosen[g[chosen] >= least_g]
+
+
+def joint_terms(sets: list[np.ndarray], y: np.ndarray, weight: np.ndarray, df1: np.ndarray, df0: np.ndarray, among: int, pairs: int, least_z: float) -> np.ndarray:
+    """Buckets of the ``pairs`` pairs whose joint presence says most beyond both terms.
+
+    Among the ``among`` most frequent buckets, a pair is held against what its terms' log odds add up
+    to; it counts if 20 rows or more hold both and the label's share is ``least_z`` standard errors off.
+    """
+    seen = df1 + df0
+    frequent = np.lexsort((np.arange(len(seen)), -seen))[:among]
+    frequent = frequent[seen[frequent] >= 20]
+    at = np.full(len(seen), -1, np.int32)
+    at[frequent] = np.arange(len(frequent))
+    both, toxic = np.zeros((len(frequent),) * 2, np.float32), np.zeros((len(frequent),) * 2, np.float32)
+    for i in range(0, len(sets), 2048):
+        x = np.zeros((len(sets[i : i + 2048]), len(frequent)), np.float32)
+        for row, s in enumerate(sets[i : i + 2048]):
+            held = at[s]
+            x[row, held[held >= 0]] = 1
+        xw = x * weight[i : i + 2048, None]
+        both += xw.T @ x
+        toxic += (xw * y[i : i + 2048, None]).T @ x
+    alone = _logit(df1[frequent], seen[frequent])
+    p = 1 / (1 + np.exp(-np.clip(alone[:, None] + alone[None, :] - _logit((y * weight).sum(), weight.sum()), -6, 6)))
+    z = np.abs(toxic - both * p) / np.sqrt(np.maximum(both * p * (1 - p), 1e-9))
+    z[(both < 20) | np.tri(len(frequent), dtype=bool)] = 0
+    best = np.argsort(-z, axis=None, kind="stable")[:pairs]
+    best = best[z.ravel()[best] >= least_z]
+    return frequent[np.unique(np.concatenate(np.unravel_index(best, z.shape)))] if len(best) else frequent[:0]
+
+
+def fit(rows: list, k: int = 4, features: int = 512, least_g: float = 15.0, among: int = 1024, pairs: int = 64, least_z: float = 6.0, steps: int = 200, penalty: tuple[float, float] = (1e-4, 1e-5), seed: int = 3) -> FactorizationMachine:
     """Fit on (label, distinct buckets) rows.
 
-    The ``features`` buckets most associated with the label (likelihood ratio at least
-    ``least_g``) enter the machine; weights are found by Adam on the logistic loss with a small
-    quadratic penalty.  Without rows of both labels every score is the labels' mean (0.5 if none).
+    The machine holds the buckets that say most about the label alone (``single_terms``) and in pairs
+    (``joint_terms``).  Linear weights start at zero, factors at random; both are found by Adam on the
+    mean logistic loss with quadratic penalties, the linear one heavier, so that what single terms
+    and pairs both explain goes to the pairs.  Equal rows count as one with a weight.  Without rows
+    of both labels every score is the labels' mean (0.5 if none).
     """
-    y = np.array([r[0] for r in rows], float)
-    sets = [np.frombuffer(r[1], "<i4") for r in rows]
     feature_of = np.full(1 << TERM_BITS, -1, np.int32)
-    n1, n0 = y.sum(), (1 - y).sum()
+    times: dict[tuple[bytes, int], int] = {}
+    for label, terms in rows:
+        times[bytes(terms), int(label)] = times.get((bytes(terms), int(label)), 0) + 1
+    y, weight = np.array([label for _, label in times], np.float32), np.array(list(times.values()), np.float32)
+    sets = [np.frombuffer(terms, "<i4") for terms, _ in times]
+    n1, n0 = float((y * weight).sum()), float(((1 - y) * weight).sum())
     bias = float(np.log((n1 + 0.5) / (n0 + 0.5)))
     none = FactorizationMachine(bias, np.zeros(1), np.zeros((1, k)), feature_of)
     if not (n1 and n0):
         return none
     df1, df0 = np.zeros(1 << TERM_BITS), np.zeros(1 << TERM_BITS)
-    for s, label in zip(sets, y, strict=True):
-        (df1 if label else df0)[s] += 1
-    # likelihood ratio of each bucket's 2 x 2 table
-    seen, n = df1 + df0, n1 + n0
-    part = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0)
-    g = 2 * (part(df1, seen * n1 / n) + part(df0, seen * n0 / n) + part(n1 - df1, (n - seen) * n1 / n) + part(n0 - df0, (n - seen) * n0 / n))
-    chosen = np.lexsort((np.arange(len(g)), -g))[:features]
-    chosen = chosen[g[chosen] >= least_g]
+    for s, label, w in zip(sets, y, weight, strict=True):
+        (df1 if label else df0)[s] += w
+    chosen = np.union1d(single_terms(df1, df0, n1, n0, features, least_g), joint_terms(sets, y, weight, df1, df0, among, pairs, least_z))
     if not len(chosen):
         return none
     feature_of[chosen] = np.arange(len(chosen))
-    # rows with the same features and label count as one with a weight
-    times: dict[tuple[bytes, float], int] = {}
-    for s, label in zip(sets, y, strict=True):
+    # rows with the same features and label count as one
+    merged: dict[tuple[bytes, float], float] = {}
+    for s, label, w in zip(sets, y, weight, strict=True):
         f = feature_of[s]
         key = np.sort(f[f >= 0]).tobytes(), label
-        times[key] = times.get(key, 0) + 1
-    x = np.zeros((len(times), len(chosen)), np.float32)
-    for i, (f, _) in enumerate(times):
+        merged[key] = merged.get(key, 0) + w
+    x = np.zeros((len(merged), len(chosen)), np.float32)
+    for i, (f, _) in enumerate(merged):
         x[i, np.frombuffer(f, np.int32)] = 1
-    y, weight = np.array([label for _, label in times]), np.array(list(times.values())) / n
+    y, weight = np.array([label for _, label in merged]), np.array(list(merged.values())) / (n1 + n0)
     rng = np.random.default_rng(seed)
-    # linear weights begin at half the log ratio of a term's rates, so a term that mostly comes with others isn't left to its pairs
-    start = 0.5 * (np.log((df1[chosen] + 0.5) / (n1 + 1)) - np.log((df0[chosen] + 0.5) / (n0 + 1)))
-    theta = [np.array([bias]), start, rng.normal(0, 0.05, (len(chosen), k))]
+    theta = [np.array([bias]), np.zeros(len(chosen)), rng.normal(0, 0.1, (len(chosen), k))]
     mean, square = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     for step in range(1, steps + 1):
         b, w, v = theta
@@ -122,12 +167,10 @@ def fit(rows: list, k: int = 4, features: int = 512, least_g: float = 15.0, step
         z = b[0] + x @ w + 0.5 * (s**2 - (x @ (v**2))).sum(1)
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         xd = x.T @ d
-        grads = [np.array([d.sum()]), xd + 1e-5 * w, x.T @ (d[:, None] * s) - v * xd[:, None] + 1e-4 * v]
-        for t, m, q, gr in zip(theta, mean, square, grads, strict=True):
-            m *= 0.9
-            m += 0.1 * gr
-            q *= 0.99
-            q += 0.01 * gr**2
+        grads = [np.array([d.sum()]), xd + penalty[0] * w, x.T @ (d[:, None] * s) - v * xd[:, None] + penalty[1] * v]
+        for t, m, q, g in zip(theta, mean, square, grads, strict=True):
+            m += 0.1 * (g - m)
+            q += 0.01 * (g**2 - q)
             t -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-8)
     return FactorizationMachine(float(theta[0][0]), theta[1], theta[2], feature_of)
 

@@ -1,8 +1,12 @@
+import dataclasses
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import language_id, toxicity
+from tallyloom.llm.common import text_buffer
 from tallyloom.llm.queries import QUERIES, fold
 
 from .conftest import SF
@@ -68,9 +72,82 @@ def test_toxicity_of_odd_documents(odd_docs, no_docs, small):
     assert toxicity.fit([]).scores(np.empty(0, np.uint8), np.zeros(2, np.int64)) == pytest.approx(0.5)
 
 
-def test_toxicity_held_out(spark):
-    sf = SF.replace("0.001", "0.01")
-    got = QUERIES["op4_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
-    y, p, s = (np.array([r[c] for r in got]) for c in ("toxic", "predicted", "score"))
-    auc = np.mean([(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]])
-    assert auc >= 0.75 and (p[y == 0] == 0).mean() >= 0.95
+def test_neutral_terms_that_weigh_only_together():
+    """The label is the product of two terms that say nothing alone: no linear weight can tell."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(1500):
+        a, b = rng.integers(0, 2, 2)
+        rows.append((int(a == b), np.unique([*([5] * a), *([6] * b), *rng.integers(100, 400, 20)]).astype("<i4").tobytes()))
+    model = toxicity.fit(rows[:1000])
+    assert {5, 6} <= set(np.flatnonzero(model.feature_of >= 0))
+    right = []
+    for label, terms in rows[1000:]:
+        f = model.feature_of[np.frombuffer(terms, "<i4")]
+        right.append((by_pairs(model, f[f >= 0]) > 0) == label)
+    assert np.mean(right) > 0.95
+
+
+def by_pairs(model, features):
+    """The machine's sum, pair by pair."""
+    z = model.bias + sum(model.linear[f] for f in features)
+    return z + sum(model.factors[f] @ model.factors[g] for i, f in enumerate(features) for g in features[:i])
+
+
+def test_scores_are_sums_over_pairs():
+    rng = np.random.default_rng(2)
+    model = toxicity.FactorizationMachine(-0.3, rng.normal(size=50), rng.normal(size=(50, 3)), np.arange(1 << toxicity.TERM_BITS, dtype=np.int32) % 997)
+    model.feature_of[model.feature_of >= 50] = -1
+    texts = ["", "one", *[" ".join(f"w{x}" for x in rng.integers(0, 400, n)) for n in (5, 60, 300)], None]
+    buf, offsets = text_buffer(pa.array(texts, pa.string()))
+    buckets, at = toxicity.term_buckets(buf, offsets)
+    for a, b, score in zip(at[:-1], at[1:], model.scores(buf, offsets), strict=True):
+        f = np.unique(model.feature_of[buckets[a:b]])
+        assert score == pytest.approx(1 / (1 + np.exp(-np.clip(by_pairs(model, f[f >= 0]), -30, 30))))
+
+
+def test_bounded_training_rows(small):
+    rows = toxicity.labelled_terms(small("documents"), small("labels"), "doc_id", "text", "toxic", 20_000)
+    few = toxicity.labelled_terms(small("documents"), small("labels"), "doc_id", "text", "toxic", 20_000, max_terms=sum(len(r[1]) // 4 for r in rows) // 4)
+    assert 0 < len(few) < 0.6 * len(rows)
+
+
+def area(s, y):
+    ranks = np.searchsorted(np.sort(s), s, "left") + np.searchsorted(np.sort(s), s, "right")
+    n1 = y.sum()
+    return (ranks[y == 1].sum() / 2 + n1 / 2 - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))
+
+
+def test_toxicity_held_out_and_without_its_pairs(spark):
+    """Labels of quality 0 are noise (half of their toxic rows have no toxic word), so recall counts the others."""
+    sf = SF.replace("0.001", "0.1")
+    labels, docs = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(toxicity.labelled_terms(docs, labels.where(fold(5) != 0), "doc_id", "text", "toxic", 20_000))
+    held = docs.join(labels.where((fold(5) == 0) & F.col("toxic").isNotNull()), "doc_id")
+    areas = []
+    for m in (model, dataclasses.replace(model, factors=np.zeros_like(model.factors))):
+        got = toxicity.score_toxicity(held, m).collect()
+        y, s, quality = (np.array([r[c] for r in got]) for c in ("toxic", "score", "quality"))
+        areas.append(area(s, y))
+        if m is model:
+            assert (s[(y == 1) & (quality == 1)] >= 0.5).mean() >= 0.9 and (s[y == 0] < 0.5).mean() >= 0.99
+    assert areas[0] >= 0.9 and areas[0] - areas[1] >= 0.03
+
+
+def test_decoding_by_brute_force():
+    rng = np.random.default_rng(3)
+    codes = language_id.codewords(5)
+    model = language_id.LanguageModel(list("abcde"), codes, np.zeros((codes.shape[1], 1)), rng.uniform(0.1, 2, codes.shape[1]))
+    margins, grams = rng.normal(size=(40, codes.shape[1])), rng.integers(0, 80, 40)
+    best, top, second = model.decode(margins, grams)
+    for i in range(40):
+        loss = [sum(model.trust[b] * np.log1p(np.exp(-codes[c, b] * margins[i, b] * 4 * min(grams[i], 30) / 30)) for b in range(codes.shape[1])) for c in range(5)]
+        p = np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+        assert best[i] == p.argmax() and sorted([top[i], second[i]]) == pytest.approx(sorted(p)[-2:])
+
+
+def test_fitted_bits_lose_less_than_log_ratios(spark, small):
+    start, fitted = (language_id.fit(small("documents"), "text", "lang", F.lit(True), steps=k) for k in (0, 4))
+    grams = language_id._grams_of(small("documents").where("lang is not null").select("text", "lang"))
+    loss = [language_id._step(grams, m.langs, m.codes, m.weights[:, :-1])[0] for m in (start, fitted)]
+    assert (loss[1] <= loss[0] * (1 + 1e-6)).all() and loss[1].sum() < loss[0].sum()
