@@ -28,6 +28,8 @@ from pyspark.sql import Window
 from .common import NON_SPACE, materialize, slices, text_buffer, without, word_bounds
 
 MAX_SOURCES = 100_000
+#: Words of the mixture in a shard, where the number of shards isn't given.
+SHARD_WORDS = 16_000_000
 
 
 def word_counts(df: DataFrame, text_col: str = "text", name: str = "size", keep_text: bool = False) -> DataFrame:
@@ -87,7 +89,7 @@ def default_weights(names: list[str | None]) -> list[float]:
     return [(3, 1, 2)[i % 3] for i in range(len(names))]
 
 
-def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: Callable[[list], list[float]] = default_weights, share: float = 1.5, most: float = 2.0, shards: int = 64, block_rows: int = 4096, seed: int = 11, keep: Sequence[str] = ()) -> DataFrame:
+def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: Callable[[list], list[float]] = default_weights, share: float = 1.5, most: float = 2.0, shards: int | None = None, block_rows: int = 4096, seed: int = 11, keep: Sequence[str] = ()) -> DataFrame:
     """One row per document: id, source, size, source_size, target, taken, and draws.
 
     draws: an array of (copy, shard, order, words), one for each time the mix takes the document;
@@ -96,8 +98,14 @@ def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     down; no document is taken more than ceil(``most``) times.  Documents without words are never
     drawn.  Repeated rows are documents of their own.  Reruns agree, as all choices are hashes
     or seeded; an empty table gives an empty table.  More than 100,000 sources are refused.
-    Columns named in ``keep`` are carried along, after the others.
+    Columns named in ``keep`` are carried along, after the others.  ``shards`` is by default one for
+    each ``SHARD_WORDS`` words of the mixture, but 64 at least; it doesn't change what is taken.
     """
+    return _mix(df, text_col, id_col, source_col, weights, share, most, shards, block_rows, seed, keep)[0]
+
+
+def _mix(df: DataFrame, text_col: str, id_col: str, source_col: str, weights: Callable[[list], list[float]], share: float, most: float, shards: int | None, block_rows: int, seed: int, keep: Sequence[str]) -> tuple[DataFrame, int]:
+    """The rows of ``mix_sources`` and the number of shards."""
     sized = materialize(word_counts(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("_text"), *keep), "_text"))
     spark = df.sparkSession
     stats = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
@@ -106,6 +114,7 @@ def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     stats.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
     sizes = [int(r.words) for r in stats]
     targets = water_fill(sizes, weights([r.source for r in stats]), share, most)
+    shards = shards or max(64, -int(-sum(targets) // SHARD_WORDS))
     blocks = [max(1, -(-r.rows // block_rows)) for r in stats]
     plan = spark.createDataFrame([(i, r.source, r.words, t, b) for i, (r, t, b) in enumerate(zip(stats, targets, blocks, strict=True))], "sid int, source string, source_size long, target double, blocks int")
     keyed = sized.join(F.broadcast(plan.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -136,7 +145,7 @@ def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
 
     draws = F.array_compact(F.array(*[draw(k) for k in range(copies)]))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return at.withColumn("draws", draws).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), "draws", *keep)
+    return at.withColumn("draws", draws).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), "draws", *keep), shards
 
 
 def first_words(text: Column, words: Column) -> Column:
@@ -146,20 +155,25 @@ def first_words(text: Column, words: Column) -> Column:
     return F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), words.cast("int") + leading), ""), r"[ \t-\r]+\z", "")
 
 
-def draw_mixture(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: Callable[[list], list[float]] = default_weights, share: float = 1.5, most: float = 2.0, shards: int = 64, block_rows: int = 4096, seed: int = 11) -> DataFrame:
+def draw_mixture(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: Callable[[list], list[float]] = default_weights, share: float = 1.5, most: float = 2.0, shards: int | None = None, block_rows: int = 4096, seed: int = 11) -> DataFrame:
     """The mixture itself: one row per draw of ``mix_sources``, in one partition per shard, sorted by order.
 
     id, source, text, shard, order, copy, words, then size, source_size, target and taken of the
     document.  A document drawn twice is there twice; a text that is taken in part ends after its
-    ``words``-th word.  Draws find their texts by a number given to each row, so repeated rows keep
-    texts of their own.
+    ``words``-th word.  Draws find their texts by id, source and 128 bits of the text's hash: rows equal
+    in these are the same to the mixture, so their draws are listed together and their text moves
+    once.  A text moves once to its draws and once, with each draw, to its shard.
     """
-    rows = materialize(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id()))
-    drawn = mix_sources(rows, "text", "id", "source", weights, share, most, shards, block_rows, seed, keep=["row"])
-    drawn = drawn.select("row", "size", "source_size", "target", "taken", F.explode("draws").alias("d")).select("*", "d.*").drop("d")
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    parts = [F.col("id").isNull(), F.col("id"), F.col("source").isNull(), F.col("source"), F.col("text")]
+    rows = rows.withColumn("k1", F.xxhash64(*parts)).withColumn("k2", F.xxhash64(F.lit(seed), *parts))
+    drawn, shards = _mix(rows, "text", "id", "source", weights, share, most, shards, block_rows, seed, ["k1", "k2"])
+    listed = drawn.where(F.size("draws") > 0).groupBy("k1", "k2").agg(F.collect_list(F.struct("draws", "taken")).alias("rows"), *[F.max(c).alias(c) for c in ("size", "source_size", "target")])
+    texts = rows.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("id", "source", "text")])
+    each = texts.join(listed, ["k1", "k2"]).withColumn("r", F.explode("rows")).select("*", F.col("r.taken").alias("taken"), F.explode("r.draws").alias("draw")).select("*", "draw.*")
     text = F.when(F.col("words") < F.col("size"), first_words(F.col("text"), F.col("words"))).otherwise(F.col("text"))
-    mixed = rows.join(drawn, "row").select(F.col("id").alias(id_col), F.col("source").alias(source_col), text.alias(text_col), "shard", "order", "copy", "words", "size", "source_size", "target", "taken", "row")
-    return mixed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "order", "copy", "row").drop("row")
+    mixed = each.select(F.col("id").alias(id_col), F.col("source").alias(source_col), text.alias(text_col), "shard", "order", "copy", "words", "size", "source_size", "target", "taken")
+    return mixed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "order", "copy", "words")
 
 
 def manifest(mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
