@@ -21,19 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NON_SPACE, ranges, row_sums, slices, text_buffer, window_hashes, without, word_bounds, word_hashes
+from .common import NON_SPACE, fresh, materialize, ranges, row_sums, slices, text_buffer, window_hashes, without, word_bounds, word_hashes
 
 #: Difference covers by period: every difference modulo the period is one between two members (fixed values).
 COVERS = {1: [0], 2: [0, 1], 3: [0, 1], 4: [0, 1, 2], 5: [0, 1, 2], 6: [0, 1, 3], 7: [0, 1, 3]}
 ADDED = ["n_words", "n_removed"]
-LAST = np.iinfo(np.int64).max
+NO_ID = np.iinfo(np.uint64).max
 U64 = np.uint64
-MESSAGE = "bucket int, chunk int, data binary"
-ANSWER = "chunk int, data binary"
+MESSAGE = "bucket long, chunk long, data binary"
+ANSWER = "chunk long, data binary"
+#: Receivers that a sender deals to at most; beyond, messages go over so many relays.
+FAN = 4096
 
 
 def _words(buf: np.ndarray, offsets: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -86,46 +89,110 @@ def _unpack_all(table: pa.Table, columns: int) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, U64)] * columns
 
 
-def _dealt(key: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each value of a small integer key, with the positions that hold it."""
+def _dealt(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value of an integer key that is present, with the positions that hold it."""
     order = np.argsort(key, kind="stable")
-    ends = np.searchsorted(key[order], np.arange(n), "right")
-    begin = 0
-    for k, end in enumerate(ends):
-        if end > begin:
-            yield k, order[begin:end]
-        begin = end
+    own = key[order]
+    cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
+    for part in np.split(order, cuts) if len(order) else ():
+        yield int(key[part[0]]), part
 
 
 def _messages(rows: list[tuple[int, int, bytes]]) -> list[pa.Array]:
     b, c, d = zip(*rows, strict=True) if rows else ((), (), ())
-    return [pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(d, pa.binary())]
+    return [pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())]
 
 
-SIGN = U64(1 << 63)
+def _routed(messages: DataFrame, to: str, n: int, columns: dict[bool, int], hold: int) -> DataFrame:
+    """The messages, fewer and larger where receivers (column ``to``, below ``n``) outnumber ``FAN``.
 
-
-def _ids(column: pa.ChunkedArray | pa.Array, negative: bool) -> np.ndarray:
-    """Ids as unsigned integers in the same order (shifted where the table has negative ones); null is larger than any."""
-    ids = np.array([LAST if x is None else x for x in column.to_pylist()], np.int64).view(U64)
-    return ids ^ SIGN if negative else ids
+    A sender's messages shrink to a few entries when there are very many receivers.  So they first go
+    to ``FAN`` relays, each for a range of receivers; a relay streams what it gets, joins up to ``hold``
+    bytes of messages with the same receiver and kind, and passes them on.  ``columns``: how many
+    arrays the messages with a chunk of 0 or more (True) and below (False) hold.
+    """
+    if n <= FAN:
+        return messages
+    per = -(-n // FAN)
+    names = messages.columns
+
+    def merged(parts: dict[tuple, list[list[np.ndarray]]]) -> pa.RecordBatch:
+        rows = [(*key, _pack(*[np.concatenate(c) for c in zip(*lists, strict=True)])) for key, lists in parts.items()]
+        kinds = [pa.int64()] * (len(names) - 1) + [pa.binary()]
+        found = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds, strict=True)], names)
+
+    def relay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for batch in batches:
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True))
+            for key, data in zip(keys, batch.column(len(names) - 1), strict=True):
+                held.setdefault(key, []).append(_unpack(data, columns[key[-1] >= 0]))
+                size += len(data.as_buffer())
+                if size > hold:
+                    yield merged(held)
+                    held, size = {}, 0
+        yield merged(held)
+
+    return messages.repartition(FAN, F.floor(F.col(to) / per)).mapInArrow(relay, messages.schema)
+
+
+def _ids(column: pa.ChunkedArray | pa.Array, least: int) -> np.ndarray:
+    """Ids as unsigned distances from the table's least; null is larger than any."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ids = pc.fill_null(column, least).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) - np.array(least, np.int64).view(U64)
+    ids[column.is_null().to_numpy(zero_copy_only=False)] = NO_ID
+    return ids
+
+
+def _numbered(df: DataFrame, id_col: str, name: str) -> DataFrame:
+    """``df`` and the rank of each id in the order of all ids, as a long (null: null): ranges of ids get offsets, no task holds all."""
+    ids = materialize(df.select(F.col(id_col).alias("id")).where("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id").withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    sizes = sorted((r.part, r.n) for r in ids.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for p, n in sizes:
+        before.append((p, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before, "part long, before long")
+    ranks = ids.withColumn("part", part).join(F.broadcast(offsets), "part").select(F.col("id").alias("_known"), (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+    return df.join(ranks, F.col(id_col) == F.col("_known"), "left").drop("_known")
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 13, chunk_bytes: int = 3_000_000, bucket_bytes: int = 16_000_000) -> DataFrame:
     """Each row with its kept words joined by one space, plus n_words and n_removed.
 
     Windows are judged on the input, not on what is left.  Rows with the same id are one
-    document to each other: none removes the other's words.  A null id counts as larger than
-    any other, so such rows lose words and never cost others any.  A null text has no words and
-    stays null.  An empty table stays empty; columns n_words and n_removed are replaced.
+    document to each other: none removes the other's words.  Ids may be of any type that sorts
+    (others than integers are ranked first).  A null id counts as larger than any other, so such
+    rows lose words and never cost others any.  A null text has no words and stays null.  An empty
+    table stays empty; columns n_words and n_removed are replaced.
+
+    Rows are dealt to chunks by id and text.  Where a row is repeated so often that its copies alone
+    would fill ten chunks, rows get a number first, and are dealt by that too.
     """
     df = without(df, ADDED)
     period = min(7, window)
     size = window - period + 1
-    size_row = df.agg(F.sum(F.octet_length(text_col)), F.min(id_col)).first()
-    total, negative = int(size_row[0] or 0), (size_row[1] or 0) < 0
+    own, salt = fresh(df, "_own"), fresh(df, "_salt")
+    whole = isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    spread = df.select(F.octet_length(text_col).alias("n"), F.xxhash64(id_col, text_col).alias("h"), *([F.col(id_col).cast("long").alias("id")] if whole else []))
+    ends = [F.min("id").alias("least"), F.max("id").alias("most")] if whole else []
+    by_row = spread.groupBy("h").agg(F.sum("n").alias("n"), *ends)
+    ends = [F.min("least").alias("least"), F.max("most").alias("most")] if whole else []
+    known = by_row.agg(F.sum("n").alias("total"), F.max("n").alias("hot"), *ends).first()
+    total = int(known.total or 0)
+    plain = df.columns
+    if whole and (known.least is None or known.most - known.least < int(NO_ID)):
+        base, df = known.least or 0, df.withColumn(own, F.col(id_col).cast("long"))
+    else:
+        base, df = 0, _numbered(df, id_col, own)
+    if (known.hot or 0) > 10 * chunk_bytes:
+        df = materialize(df.withColumn(salt, F.monotonically_increasing_id()))
+    else:
+        df = df.withColumn(salt, F.lit(0).cast("long"))
     chunks, buckets = max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
-    keyed = df.withColumn("_chunk", F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int"))
+    keyed = df.withColumn("_chunk", F.pmod(F.xxhash64(id_col, text_col, salt), F.lit(chunks)))
 
     def anchor_keys(h: np.ndarray) -> np.ndarray:
         """Bucket and upper half of a hash: 32 bits within a bucket of bounded size only ever let too many through."""
@@ -153,24 +220,24 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                 # one entry for each anchor, with its chunk + 1, or 0 if its documents are answered here
                 keys = anchor_keys(h)
                 sent, to = keys[first], np.where(several[first], 0, chunk[i:j][row[first]] + 1)
-                for b, at_b in _dealt((sent >> U64(32)).astype(np.int64), buckets):
+                for b, at_b in _dealt((sent >> U64(32)).astype(np.int64)):
                     out.append((b, -1, _pack(sent[at_b] & U64(0xFFFFFFFF), to[at_b])))
                 known, where = keys[several], chunk[i:j][row[several]]
-                for c, at_c in _dealt(where, chunks):
+                for c, at_c in _dealt(where):
                     out.append((c % buckets, c, _pack(np.unique(known[at_c]))))
                 yield pa.RecordBatch.from_arrays(_messages(out), ["bucket", "chunk", "data"])
 
     def answer(table: pa.Table) -> pa.Table:
         """Of a bucket's anchors, those that more than one document holds, to the chunks that asked."""
-        forward = table.filter(pa.compute.greater_equal(table.column("chunk"), 0))
-        low, to = _unpack_all(table.filter(pa.compute.less(table.column("chunk"), 0)), 2)
+        forward = table.filter(pc.greater_equal(table.column("chunk"), 0))
+        low, to = _unpack_all(table.filter(pc.less(table.column("chunk"), 0)), 2)
         order = np.argsort(low)
         low, to = low[order], to[order].astype(np.int64)
         same = np.zeros(len(low) + 1, bool)
         same[1:-1] = low[1:] == low[:-1]
         again = (same[1:] | same[:-1]) & (to > 0)
         keys, to = low[again] | U64(table.column("bucket")[0].as_py() << 32), to[again] - 1
-        _, c, d = _messages([(0, c, _pack(keys[at])) for c, at in _dealt(to, chunks)])
+        _, c, d = _messages([(0, c, _pack(keys[at])) for c, at in _dealt(to)])
         return pa.concat_tables([forward.select(["chunk", "data"]), pa.table([c, d], ["chunk", "data"])])
 
     def extend(docs: pa.Table, anchors: pa.Table) -> pa.Table:
@@ -178,7 +245,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         out = []
         if docs.num_rows and anchors.num_rows:
             chunk = docs.column("_chunk")[0].as_py()
-            ids = _ids(docs.column(id_col), negative)
+            ids = _ids(docs.column(own), base)
             buf, offsets = text_buffer(docs.column(text_col))
             words, at = _words(buf, offsets)
             pos, row = cover_positions(at, period, size)
@@ -207,14 +274,14 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
             # the bucket comes from a second hash, so equal windows agree in more than 64 bits
             second, _ = _words(buf, offsets, 1)
             to = (window_hashes(second, starts, window, 1) % U64(buckets)).astype(np.int64)
-            for b, at_b in _dealt(to, buckets):
+            for b, at_b in _dealt(to):
                 out.append((b, -1 - chunk, _pack(h[at_b], owner[at_b])))
         return pa.table(_messages(out), ["bucket", "chunk", "data"])
 
     def smallest(table: pa.Table) -> pa.Table:
         """The smallest id of each of a bucket's windows, to the chunks whose own smallest is larger."""
-        forward = table.filter(pa.compute.greater_equal(table.column("chunk"), 0)).select(["chunk", "data"])
-        asked = table.filter(pa.compute.less(table.column("chunk"), 0))
+        forward = table.filter(pc.greater_equal(table.column("chunk"), 0)).select(["chunk", "data"])
+        asked = table.filter(pc.less(table.column("chunk"), 0))
         h, owner = _unpack_all(asked, 2)
         sizes = [_length(x) for x in asked.column("data")]
         chunk = np.repeat(-1 - asked.column("chunk").to_numpy().astype(np.int64), sizes)
@@ -225,14 +292,14 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         least = owner[first][np.cumsum(first) - 1] if len(h) else owner
         tell = least < owner
         h, least, chunk = h[tell], least[tell], chunk[tell]
-        _, c, d = _messages([(0, c, _pack(h[at], least[at])) for c, at in _dealt(chunk, chunks)])
+        _, c, d = _messages([(0, c, _pack(h[at], least[at])) for c, at in _dealt(chunk)])
         return pa.concat_tables([forward, pa.table([c, d], ["chunk", "data"])])
 
-    kept = [f for f in df.schema.fields]
+    kept = [df.schema[c] for c in plain]
     schema = T.StructType(kept + [T.StructField(n, T.LongType()) for n in ADDED])
 
     def rebuild(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        ids = _ids(docs.column(id_col), negative)
+        ids = _ids(docs.column(own), base)
         texts = docs.column(text_col)
         buf, offsets = text_buffer(texts)
         words, at = _words(buf, offsets)
@@ -269,8 +336,10 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         columns = [pa.array(out, pa.string()) if f.name == text_col else docs.column(f.name) for f in kept]
         return pa.table([*columns, pa.array(np.diff(at)), pa.array(removed)], schema.names)
 
-    answers = keyed.select(text_col, "_chunk").mapInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(answer, ANSWER)
+    hold = 4 * bucket_bytes
+    asked = _routed(keyed.select(text_col, "_chunk").mapInArrow(ask, MESSAGE), "bucket", buckets, {False: 2, True: 1}, hold)
+    answers = _routed(asked.groupBy("bucket").applyInArrow(answer, ANSWER), "chunk", chunks, {True: 1}, hold)
     by_chunk = keyed.groupBy("_chunk")
-    windows = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(extend, MESSAGE)
-    least = windows.groupBy("bucket").applyInArrow(smallest, ANSWER)
-    return by_chunk.cogroup(least.groupBy("chunk")).applyInArrow(rebuild, schema)
+    windows = _routed(by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(extend, MESSAGE), "bucket", buckets, {False: 2, True: 2}, hold)
+    found = _routed(windows.groupBy("bucket").applyInArrow(smallest, ANSWER), "chunk", chunks, {True: 2}, hold)
+    return by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(rebuild, schema)

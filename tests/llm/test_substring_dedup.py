@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 
+from tallyloom.llm import substring_dedup
 from tallyloom.llm.queries import QUERIES
 from tallyloom.llm.substring_dedup import COVERS, remove_repeats
 
@@ -56,6 +57,29 @@ def test_matches_of_exactly_one_window_at_every_shift(spark):
     assert {r.doc_id: r.n_removed for r in found.collect()} == {k: 13 * (k > 0) for k in range(20)}
 
 
+def test_more_receivers_than_a_sender_deals_to(odd_docs, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FAN", 3)
+    want = expected([(r.doc_id, r.text) for r in odd_docs.collect()])
+    assert got(remove_repeats(odd_docs, chunk_bytes=3000, bucket_bytes=2000)) == want
+
+
+@pytest.mark.parametrize("ids", [["b", "a", "", None, "ä", "a"], [2**63 - 1, None, -(2**63), 0, 5, 5], [7, None, 2**63 - 1, 3, 3, None], [None] * 6])
+def test_ids_of_other_kinds(spark, ids):
+    texts = [" ".join(f"w{i}" for i in range(a, a + 30)) for a in (0, 5, 10, 0, 20, 8)]
+    order = {x: k for k, x in enumerate(sorted((x for x in set(ids) if x is not None), key=lambda x: x.encode() if isinstance(x, str) else x))}
+    ranked = [(None if i is None else order[i], t) for i, t in zip(ids, texts, strict=True)]
+    want = [(n, g, t) for _, n, g, t in expected(ranked)]
+    found = remove_repeats(spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {'string' if 'a' in ids else 'long'}, text string"))
+    assert sorted((r.n_words, r.n_removed, r.text) for r in found.collect()) == sorted(want)
+
+
+def test_very_many_copies_of_a_row(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, text)] * 10_000 + [(0, text + " more"), (2, "so " + text)]
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=50_000, bucket_bytes=50_000)
+    assert {(r.doc_id, r.n_removed, r.text): r["count"] for r in found.groupBy("doc_id", "n_removed", "text").count().collect()} == {(1, 20, ""): 10_000, (0, 0, text + " more"): 1, (2, 20, "so"): 1}
+
+
 def test_empty_table(no_docs):
     assert remove_repeats(no_docs).count() == 0
 
