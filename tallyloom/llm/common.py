@@ -174,17 +174,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 _TABLES = [np.random.default_rng(71 + i).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1) for i in range(2)]
 
 
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """Polynomial hash (mod 2^64, then mixed with the length) of values[start:end] for each range."""
-    n = len(values)
-    total = np.empty(n + 1, U64)
+def prefix_sums(values: np.ndarray, which: int = 0) -> np.ndarray:
+    """Sums from which ``prefix_hash`` gets the hash of any range."""
+    total = np.empty(len(values) + 1, U64)
     total[0] = 0
-    np.cumsum(values * _powers(_BASES[which], n), dtype=U64, out=total[1:])
+    np.cumsum(values * _powers(_BASES[which], len(values)), dtype=U64, out=total[1:])
+    return total
+
+
+def prefix_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Polynomial hash (mod 2^64, then mixed with the length) of the values in each range, from their prefix sums."""
     h = total[ends] - total[starts]
-    h *= _powers(_INVERSES[which], n + 1)[starts]
+    h *= _powers(_INVERSES[which], len(total))[starts]
     return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Polynomial hash of values[start:end] for each range."""
+    return prefix_hash(prefix_sums(values, which), starts, ends, which)
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit hash of each word's bytes."""
     return range_hash(_TABLES[which][buf], starts, ends, which)

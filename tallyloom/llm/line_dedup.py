@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_TABLE, materialize, without
+from .common import LOWER_TABLE, fresh, materialize, without
 
 EDGE = b" \t\n\x0b\x0c\r"
 ADDED = ["n_lines", "n_dropped"]
@@ -106,9 +106,9 @@ def _in_place(df: DataFrame, text_col: str, frequent: DataFrame) -> DataFrame:
 
 
 def _by_join(df: DataFrame, text_col: str, id_col: str, frequent: DataFrame) -> DataFrame:
-    # Rows of the same id and text share a key, and so the same lines to drop.
-    key = F.xxhash64(F.col(id_col).cast("string"), text_col)
-    keyed = df.withColumn("_row", key)
+    # Rows are told apart by a number, which a written table keeps.
+    number, drop = fresh(df, "_row"), fresh(df, "_gone")
+    keyed = materialize(df.withColumn(number, F.monotonically_increasing_id()))
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,15 +120,15 @@ def _by_join(df: DataFrame, text_col: str, id_col: str, frequent: DataFrame) ->
                 keys += [k for _, k in found]
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(at, pa.int32()), *_halves(keys)], ["_row", "_at", "h1", "h2"])
 
-    lines = keyed.select("_row", text_col).mapInArrow(exploded, "_row long, _at int, h1 long, h2 long")
-    gone = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy("_row").agg(F.collect_set("_at").alias("_gone"))
+    lines = keyed.select(number, text_col).mapInArrow(exploded, "_row long, _at int, h1 long, h2 long")
+    gone = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy(F.col("_row").alias(number)).agg(F.collect_set("_at").alias(drop))
 
     def dropped(batch: pa.RecordBatch) -> Iterator[list[bool]]:
-        texts, sets = (batch.column(batch.schema.get_field_index(n)) for n in (text_col, "_gone"))
+        texts, sets = (batch.column(batch.schema.get_field_index(n)) for n in (text_col, drop))
         for text, at in zip(texts, sets, strict=True):
             flags = [False] * (1 + (text.as_py() or "").count("\n"))
             for i in at.as_py() or ():
                 flags[i] = True
             yield flags
 
-    return _rebuilt(keyed.join(gone, "_row", "left"), text_col, dropped, ["_row", "_gone"])
+    return _rebuilt(keyed.join(gone, number, "left"), text_col, dropped, [number, drop])

@@ -1,6 +1,12 @@
 import hashlib
+import random
 import re
+import time
 
+import pyarrow as pa
+
+from tallyloom.llm import decontaminate as decontaminate_module
+from tallyloom.llm.common import text_buffer
 from tallyloom.llm.decontaminate import benchmark_overlap, decontaminate
 from tallyloom.llm.queries import QUERIES
 
@@ -60,6 +66,59 @@ def test_longest_match(spark):
     assert found == {1: (35, "7"), 2: (len(words(text[:100])) - 5 - (0 if text[100] == " " else 1), "7")}
 
 
+def all_matches(doc, items, window):
+    """Maximal verbatim matches of at least a window (or a whole shorter item) as (item, doc word, item word, words)."""
+    w, out = words(doc), set()
+    for name, text in items:
+        v = words(text)
+        least = min(window, len(v))
+        for p in range(len(w)):
+            for q in range(len(v)):
+                if w[p] == v[q] and (p == 0 or q == 0 or w[p - 1] != v[q - 1]):
+                    n = 0
+                    while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                        n += 1
+                    if n >= least:
+                        out.add((str(name), p, q, n))
+    return out
+
+
+def test_places_of_matches_against_brute_force(spark):
+    rng = random.Random(7)
+    items = [(k, " ".join(f"{k}x{rng.randrange(9)}" for _ in range(rng.choice([3, 20, 40])))) for k in range(6)]  # words of an item repeat, no two items share one
+    docs = []
+    for i in range(40):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            w = rng.choice(items)[1].split()
+            a = rng.randrange(len(w))
+            parts += w[a : a + rng.randrange(1, 40)] + rng.choice([[], ["-"], ["other"]])
+        docs.append((i, " ".join(parts)))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for window, block in ((5, 8_000_000), (13, 8_000_000), (5, 100)):
+        seen = 0
+        for r in benchmark_overlap(frame, bench, window=window, block_bytes=block).collect():
+            want = all_matches(docs[r.doc_id][1], items, window)
+            found = [tuple(m) for m in r.matches]
+            # a window that an item repeats is listed at its first place, so later places may be missing
+            assert len(found) == len(set(found)) and set(found) <= want
+            assert r.longest_match == max((m[3] for m in found), default=0)
+            covered = {(m[0], x) for m in found for x in range(m[1], m[1] + m[3])}
+            assert covered == {(m[0], x) for m in want for x in range(m[1], m[1] + m[3])}
+            seen += len(found)
+        assert seen > 20
+
+
+def test_long_matches_cost_little():
+    text = " ".join(f"w{i}" for i in range(20_000))
+    test = decontaminate_module.TestSuffixes([("a", text)], 13)
+    hashes, at = decontaminate_module.words_of(*text_buffer(pa.array(["x " + text + " y"])))
+    began = time.perf_counter()
+    word, which, longest = decontaminate_module.search(hashes, at, test)
+    assert time.perf_counter() - began < 1
+    assert len(word) == 20_000 - 12 and longest.tolist() == [[1, 0, 20_000]]
+
+
 def test_query_and_removal(spark, small):
     docs, items = ([(r[0], r[1]) for r in small(t).select(c, "text").collect()] for t, c in (("documents", "doc_id"), ("benchmark", "item_id")))
     want = [(i, n, h, k, hashlib.sha256(s.encode()).hexdigest(), h > 0 and 20 * h >= n) for i, n, h, k, s in expected(docs, items)]
