@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a predicate over per-document statistics.  On a bounded sample, tasks measure what
-each rule costs and how many documents it rejects; the rules are then ordered by rejections
-per second, and in the pass over all documents a later rule computes its statistics only for
+Each rule is a predicate over per-document statistics.  On a bounded sample of the documents that
+the base lets through, tasks measure what each rule costs and which documents it rejects.  The
+cascade takes the rule that rejects most per second, then the one that rejects most per second of
+what the first leaves, and so on.  In the pass over all documents a later rule computes its statistics only for
 the documents that every earlier rule let through.  The verdict does not depend on the order.
 One pass, no shuffle; the statistics are numpy sums over slices of a few megabytes of text.
 """
@@ -138,33 +139,53 @@ def base_failed(s: Stats) -> np.ndarray:
     return (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
 
 
+def cascade(names: list[str], seconds: list[float], patterns: dict[int, int]) -> list[int]:
+    """Order of the rules: each the one with the most rejections per second among the documents that
+    those before it leave (ties by name).  ``patterns``: documents by the set of rules, as bits, that
+    reject them."""
+    left, order = dict(patterns), []
+    rest = sorted(range(len(names)), key=lambda k: names[k])
+    while rest:
+        rejected = {k: sum(n for bits, n in left.items() if bits >> k & 1) for k in rest}
+        best = max(rest, key=lambda k: (rejected[k] / max(seconds[k], 1e-9), -rest.index(k)))
+        order.append(best)
+        rest.remove(best)
+        left = {bits: n for bits, n in left.items() if not bits >> best & 1}
+    return order
+
+
 def order_rules(df: DataFrame, text_col: str, rules=RULES, sample_rows: int = 2000, report: list[str] = BASE, seed: int = 7) -> list[Rule]:
-    """Rules by estimated rejections per second, highest first (ties by name).
+    """The rules in the order of ``cascade``, from about ``sample_rows`` rows.
 
-    Tasks over at most ``sample_rows`` rows time each rule on its own; only its seconds and its
-    rejections reach the driver.  Statistics that every row reports anyway cost a rule nothing.
+    Each task times the rules on its own share of the sample, which stays where it is; seconds and
+    counts by pattern of rejections are all that leaves it.  Statistics that every row reports
+    anyway cost a rule nothing.
     """
     total = df.count()
-    sample = df.select(text_col).sample(min(1.0, 2 * sample_rows / max(total, 1)), seed).limit(sample_rows)
+    sample = df.select(text_col).sample(min(1.0, sample_rows / max(total, 1)), seed)
 
     def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seconds, rejected = np.zeros(len(rules)), np.zeros(len(rules), np.int64)
+        seconds, patterns = np.zeros(len(rules)), {}
         for batch in batches:
             buf, offsets = text_buffer(batch.column(0))
             for i, j in slices(offsets):
-                part, at = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                stats = Stats(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for name in report:
+                    stats[name]
+                passed, bits = stats.subset(np.flatnonzero(~base_failed(stats))), 0
                 for k, rule in enumerate(rules):
-                    stats = Stats(part, at)
-                    for name in report:
-                        stats[name]
+                    alone = passed.subset(np.arange(len(passed.offsets) - 1))
                     began = time.perf_counter()
-                    rejected[k] += int(rule.rejects(stats).sum())
+                    bits = bits | rule.rejects(alone).astype(np.int64) << k
                     seconds[k] += time.perf_counter() - began
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(seconds), pa.array(rejected)], ["rule", "seconds", "rejected"])
-
-    found = {r.rule: r for r in sample.mapInArrow(timed, "rule int, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected")).collect()}
-    worth = lambda k: found[k].rejected / max(found[k].seconds, 1e-9) if k in found else 0.0
-    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-worth(k), rules[k].name))]
+                for pattern, n in zip(*np.unique(bits, return_counts=True), strict=True):
+                    patterns[int(pattern)] = patterns.get(int(pattern), 0) + int(n)
+        rows = [(k, s, 0, 0) for k, s in enumerate(seconds)] + [(-1, 0.0, bits, n) for bits, n in patterns.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["rule", "seconds", "pattern", "n"])
+
+    found = sample.mapInArrow(timed, "rule int, seconds double, pattern long, n long").groupBy("rule", "pattern").agg(F.sum("seconds").alias("seconds"), F.sum("n").alias("n")).collect()
+    spent = {r.rule: r.seconds for r in found}
+    return [rules[k] for k in cascade([r.name for r in rules], [spent.get(k, 0.0) for k in range(len(rules))], {r.pattern: r.n for r in found if r.rule < 0})]
 
 
 def apply_rules(df: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = 2000) -> DataFrame:

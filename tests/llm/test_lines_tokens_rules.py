@@ -5,7 +5,7 @@ from collections import Counter
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tallyloom.llm import line_dedup
+from tallyloom.llm import line_dedup, quality_rules
 from tallyloom.llm.quality_rules import RULES, apply_rules, order_rules
 from tallyloom.llm.queries import QUERIES
 from tallyloom.llm.token_counts import count_tokens
@@ -100,3 +100,9 @@ def test_rule_order_is_a_permutation_and_does_not_change_the_verdict(odd_docs, s
     assert sorted(r.name for r in order_rules(docs, "text", sample_rows=50)) == sorted(r.name for r in RULES)
     one = rows(apply_rules(docs, rules=RULES), "doc_id", "kept")
     assert one == rows(apply_rules(docs, rules=RULES[::-1]), "doc_id", "kept")
+
+
+def test_cascade_by_what_earlier_rules_leave():
+    # "b" rejects most, but nothing that "a" leaves; "c" rejects little, and others
+    assert quality_rules.cascade(["a", "b", "c"], [1.0, 2.0, 1.0], {0b011: 100, 0b001: 5, 0b100: 3, 0: 50}) == [0, 2, 1]
+    assert quality_rules.cascade(["y", "x"], [1.0, 1.0], {0: 9}) == [1, 0] and quality_rules.cascade(["y"], [0.0], {}) == [0]
