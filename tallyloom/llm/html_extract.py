@@ -4,13 +4,16 @@ A page is read as tokens: its block elements, each named by its path of tags, cl
 and its text runs, named by path and text.  Tokens whose occurrence vectors over the pages of a
 host are equal form an equivalence class.  A vector is known by its support and by sums of
 hashes of (page, count), so classes come out of one map-side combined aggregation and a hot
-host is never gathered in one place.  A class is valid if it is frequent enough and its
-elements occur a fixed number of times per page; paths nest, so the valid classes form a tree,
-the template.  What is not template is slots, and all of them are kept: the root is the deepest
-once-only element that holds the whole text of the host's pages, never one inside an article or
-main element.  What a page has in its article and main elements (below the root, where these
-don't hold most of the page's text), less menus, adverts, forms, comments and the runs of the
-root's own class, is its text.  Hosts with few pages use the template of all hosts together.
+host is never gathered in one place.
+
+A class is valid if it is frequent enough, its elements occur once on a page, and all of them
+lie in one slot of the classes around it.  Paths nest, so the elements of the valid classes form a
+tree, the template, and what lies between them is slots.  The template is judged with the sums of all
+of a host's pages: an element with most of the text is no furniture whatever its tag or class is
+called, one of short links is furniture whatever it is called, and only for the others tags and names
+decide.  The slots are what is left below the deepest element that leaves no text outside (article
+and main elements come before it where they hold most of the text).  Template text, and below
+the template what a page's own elements say is a menu, an advert, a form or comments, goes.
 
 Templates are small (bounded by the tokens that a fixed share of a host's pages have); they are
 broadcast below a checked size and joined by host beyond it.
@@ -21,6 +24,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 from urllib.parse import urlsplit
 
@@ -60,7 +64,10 @@ REPLIES = set("comment comments commentlist replies reply respond disqus".split(
 ADVERTS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?)(?=$|[\s_-])", re.I)
 TOO_FEW = 3
 MARKED = re.compile(r"/(?:article|main)(?:\.[^/]*)?(?=/|$)")
-FIELDS = "host string, token long, element string, pages long, uses long, low long, high long, chars long"
+SUMS = ["pages", "uses", "low", "high", "chars", "links", "runs"]
+FIELDS = "host string, token long, element string, evidence long, " + ", ".join(f"{c} long" for c in SUMS)
+#: What an element's tag, role or style says, beside the degrees of ``_doubt``.
+SURE = 4
 
 
 def host_of(url: str | None) -> str:
@@ -93,11 +100,53 @@ def _doubt(names: str, inside_article: bool) -> int:
     return most
 
 
-def read_page(text: str) -> tuple[list[tuple[str, str, bool]], dict[str, list[int]]]:
-    """Blocks in page order as (path, text, furniture), and by element path its uses and the characters below it."""
-    runs: list[tuple[int, str]] = []
-    # by element: the one around it, path, furniture by itself or around it, what its names say, article or main, inside one, characters, those in links
-    around, paths, sure, doubts, marked, inside, own, linked = [0], [""], [False], [0], [False], [False], [0], [0]
+@dataclass
+class Page:
+    """A page's runs of text as (element, text, characters in links), and by element, in page order after a root 0:
+    the element around it, its path, what its tag and names say by themselves, and whether it is article or main."""
+
+    runs: list[tuple[int, str, int]]
+    around: list[int]
+    paths: list[str]
+    evidence: list[int]
+    marked: list[bool]
+
+    def below(self, own: list[int]) -> list[int]:
+        """Sums over each element and all below it."""
+        out = own[:]
+        for k in range(len(out) - 1, 0, -1):
+            out[self.around[k]] += out[k]
+        return out
+
+    def elements(self) -> dict[str, list[int]]:
+        """By path: uses, characters below, those in links, runs below, evidence."""
+        sums = [[0] * len(self.paths) for _ in range(3)]
+        for k, words, linked in self.runs:
+            sums[0][k] += len(words)
+            sums[1][k] += linked
+            sums[2][k] += 1
+        chars, links, runs = (self.below(x) for x in sums)
+        out: dict[str, list[int]] = {}
+        for k in range(1, len(self.paths)):
+            e = out.setdefault(self.paths[k], [0, 0, 0, 0, 0])
+            e[:] = e[0] + 1, e[1] + chars[k], e[2] + links[k], e[3] + runs[k], max(e[4], self.evidence[k])
+        return out
+
+
+@dataclass(frozen=True)
+class Template:
+    """roots: paths of the elements that hold the slots; out: furniture; spared: no furniture, whatever their names say;
+    constant: runs that are the same on all pages."""
+
+    roots: tuple[str, ...] = ()
+    out: frozenset[str] = frozenset()
+    spared: frozenset[str] = frozenset()
+    constant: frozenset[int] = field(default=frozenset())
+
+
+def read_page(text: str) -> Page:
+    runs: list[tuple[int, str, int]] = []
+    around, paths, evidence, marked, inside = [0], [""], [0], [False], [False]
     stack: list[tuple[str, int]] = [("", 0)]
     run: list[str] = []
     in_link, links = False, 0
@@ -106,11 +155,7 @@ def read_page(text: str) -> tuple[list[tuple[str, str, bool]], dict[str, list[in
     def flush() -> None:
         if run:
             if words := " ".join(html.unescape("".join(run)).split()):
-                at = stack[-1][1]
-                runs.append((at, words))
-                if not sure[at]:
-                    own[at] += len(words)
-                    linked[at] += min(links, len(words))
+                runs.append((stack[-1][1], words, min(links, len(words))))
             run.clear()
 
     end = 0
@@ -162,47 +207,45 @@ def read_page(text: str) -> tuple[list[tuple[str, str, bool]], dict[str, list[in
         stack.append((tag, len(paths)))
         around.append(above)
         paths.append(f"{paths[above]}/{name}")
-        sure.append(sure[above] or _furniture(tag, attrs, inside[above]))
-        doubts.append(_doubt(f"{attrs.get('class', '')} {attrs.get('id', '')}", inside[above]) if attrs and tag not in ("body", "html", "article", "main") else 0)
+        doubt = _doubt(f"{attrs.get('class', '')} {attrs.get('id', '')}", inside[above]) if attrs and tag not in ("body", "html", "article", "main") else 0
+        evidence.append(SURE if _furniture(tag, attrs, inside[above]) else doubt)
         marked.append(tag in ("article", "main"))
         inside.append(inside[above] or marked[-1])
-        own.append(0)
-        linked.append(0)
     if end < len(text) and not skip:
         run.append(text[end:])
     flush()
-    furniture = _judge(around, sure, doubts, marked, own, linked)
-    uses: dict[str, list[int]] = {}
-    below = [0 if f else n for f, n in zip(furniture, own, strict=True)]
-    for k in range(len(paths) - 1, 0, -1):
-        below[around[k]] += below[k]
-        u = uses.setdefault(paths[k], [0, 0])
-        u[0] += 1
-        u[1] += below[k]
-    return [(paths[k], words, furniture[k]) for k, words in runs], uses
+    return Page(runs, around, paths, evidence, marked)
 
 
 def _names(raw: str) -> str:
     return " ".join(v.strip("\"'") for a, v in ATTR.findall(raw) if a.lower() in ("class", "id"))
 
 
-def _judge(around: list[int], sure: list[bool], doubts: list[int], marked: list[bool], own: list[int], linked: list[int]) -> list[bool]:
-    """Which elements are furniture.  Names are in doubt: they don't count on an element that holds most of what
-    is in article and main elements, nor, if such a word is only part of the name, on one that holds most of the
-    page's text (not as links).  If that leaves a page without text, other names don't count there either."""
-    n = len(around)
-    if not any(doubts):
+def _judge(page: Page, evidence: list[int]) -> list[bool]:
+    """Which elements of a page are furniture by its own evidence.  Tags, roles and styles count.  Names are in doubt:
+    they don't count on an element that holds most of what is in article and main elements, nor, if
+    such a word is only part of the name, on one that holds most of the page's text (not as
+    links).  If that leaves a page without text, other names don't count there either."""
+    n = len(evidence)
+    sure = [False] * n
+    for k in range(1, n):
+        sure[k] = sure[page.around[k]] or evidence[k] == SURE
+    own, linked = [0] * n, [0] * n
+    for k, words, links in page.runs:
+        if not sure[k]:
+            own[k] += len(words)
+            linked[k] += links
+    if not any(0 < e < SURE for e in evidence):
         return sure
-    below, links, held = own[:], linked[:], [0] * n
+    below, links, held = page.below(own), page.below(linked), [0] * n
     for k in range(n - 1, 0, -1):
-        below[around[k]] += below[k]
-        links[around[k]] += links[k]
-        held[around[k]] += below[k] if marked[k] else held[k]
+        held[page.around[k]] += below[k] if page.marked[k] else held[k]
     for spared in (1, 3):
         out = [False] * n
         for k in range(1, n):
-            wrapper = (doubts[k] < 3 and 2 * held[k] > held[0]) or (doubts[k] <= spared and 2 * below[k] > below[0] and 2 * links[k] <= below[k])
-            out[k] = out[around[k]] or sure[k] or (doubts[k] > 0 and not wrapper)
+            doubt = evidence[k] % SURE
+            wrapper = (doubt < 3 and 2 * held[k] > held[0]) or (doubt <= spared and 2 * below[k] > below[0] and 2 * links[k] <= below[k])
+            out[k] = out[page.around[k]] or sure[k] or (doubt > 0 and not wrapper)
         if any(x and not f for x, f in zip(own, out, strict=True)):
             break
     return out
@@ -213,9 +256,8 @@ def _hash(text: str, seed: int = 0) -> int:
 
 
 def occurrence_vectors(pages: DataFrame) -> DataFrame:
-    """Per host (and over all hosts as ``*``) each token's support, uses, vector hash (two sums) and characters.
-
-    ``pages``: id, url, html.  Tasks add up what they have before the shuffle.
+    """Per host (and over all hosts as ``*``) each token's support, uses, vector hash (two sums), characters, those in
+    links, runs, and the evidence of an element.  ``pages``: id, url, html.  Tasks add up what they have before the shuffle.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,71 +265,167 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             host, token = zip(*sums, strict=True) if sums else ((), ())
-            columns = list(zip(*sums.values(), strict=True)) if sums else [()] * 6
-            kinds = [pa.string(), *[pa.int64()] * 5]
-            out = pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(token, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["host", "token", "element", "pages", "uses", "low", "high", "chars"])
+            columns = list(zip(*sums.values(), strict=True)) if sums else [()] * (2 + len(SUMS))
+            kinds = [pa.string(), *[pa.int64()] * (1 + len(SUMS))]
+            out = pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(token, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["host", "token", "element", "evidence", *SUMS])
             sums.clear()
             return out
 
         for batch in batches:
             for key, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 host = host_of(url)
-                blocks, uses = read_page(source or "")
-                tokens = [(_hash(path), path, n, chars) for path, (n, chars) in uses.items()]
+                page = read_page(source or "")
+                tokens = [(_hash(path), path, e) for path, e in page.elements().items()]
                 runs: dict[int, int] = {}
-                for path, text, _ in blocks:
-                    runs[k] = runs.get(k := _hash(f"{path}\0{text}", 1), 0) + 1
-                tokens += [(k, None, n, 0) for k, n in runs.items()]
-                tokens.append((0, "", 1, sum(len(t) for _, t, f in blocks if not f)))
-                for k, path, n, chars in tokens:
+                for at, text, _ in page.runs:
+                    runs[k] = runs.get(k := _hash(f"{page.paths[at]}\0{text}", 1), 0) + 1
+                tokens += [(k, None, (n, 0, 0, 0, 0)) for k, n in runs.items()]
+                tokens.append((0, "", (1, sum(len(t) for _, t, _ in page.runs), sum(n for *_, n in page.runs), 0, 0)))
+                for k, path, (n, chars, links, inner, evidence) in tokens:
                     vector = xxhash.xxh64_intdigest(f"{key}\0{url}\0{n}")
                     for where in (host, "*") if path is not None else (host,):
-                        s = sums.setdefault((where, k), [path, 0, 0, 0, 0, 0])
-                        s[1] += 1
-                        s[2] += n
-                        s[3] += vector & 0xFFFFFFFF
-                        s[4] += vector >> 32
-                        s[5] += chars
+                        s = sums.setdefault((where, k), [path, 0, *[0] * len(SUMS)])
+                        s[1] = max(s[1], evidence)
+                        for i, x in enumerate((1, n, vector & 0xFFFFFFFF, vector >> 32, chars, links, inner), 2):
+                            s[i] += x
             if len(sums) > 200_000:
                 yield flush()
         yield flush()
 
     summed = pages.mapInArrow(counted, FIELDS).groupBy("host", "token")
-    return summed.agg(F.max("element").alias("element"), *[F.sum(c).alias(c) for c in ("pages", "uses", "low", "high", "chars")])
+    return summed.agg(F.max("element").alias("element"), F.max("evidence").alias("evidence"), *[F.sum(c).alias(c) for c in SUMS])
+
+
+def nested(elements: dict[str, int]) -> dict[str, str]:
+    """The template tree: each element (path -> class) that nests with its class, and the element around it.
+
+    A class whose outermost elements lie in different slots (elements) of the others isn't
+    valid, and leaves the tree.
+    """
+    while True:
+        parent = {}
+        for path in elements:
+            up = path.rpartition("/")[0]
+            while up and up not in elements:
+                up = up.rpartition("/")[0]
+            parent[path] = up
+        slots: dict[int, set[str]] = {}
+        for path, up in parent.items():
+            if elements.get(up) != elements[path]:
+                slots.setdefault(elements[path], set()).add(up)
+        bad = {k for k, s in slots.items() if len(s) > 1}
+        if not bad:
+            return parent
+        # the innermost of the invalid classes first: others may nest once it is gone
+        depth = {k: max(p.count("/") for p, c in elements.items() if c == k) for k in bad}
+        worst = max(bad, key=lambda k: (depth[k], k))
+        elements = {p: c for p, c in elements.items() if c != worst}
+
+
+def judge_template(elements: dict[str, tuple[int, int, int, int, int]], pages: int, total: int, linked: int = 0) -> tuple[list[str], list[str], list[str]]:
+    """(roots, out, spared) of a template, from each element's class, characters, those in links, runs, and evidence.
+
+    An element with more than half of all text outside links is spared (comments only if nothing else is
+    left).  One that is mostly links, three or more a page, and no heading, is out; of
+    the others those are out whose tag or names say so, but names don't count on what holds most of the
+    text in article and main elements.
+    """
+    parent = nested({p: e[0] for p, e in elements.items()})
+    order = sorted(parent, key=lambda p: (p.count("/"), p))
+    marked = [p for p in order if (m := MARKED.search(p)) and m.end() == len(p)]
+    held = lambda p: sum(elements[x][1] for x in marked if x == p or x.startswith(p + "/"))
+    for last in (False, True):
+        out, spared, kept = set(), set(), {"": total} | {p: elements[p][1] for p in order}
+        for p in order:
+            _, chars, links, runs, evidence = elements[p]
+            if any(p.startswith(x + "/") for x in out):
+                kept[p] = 0
+                continue
+            most = 2 * (chars - links) > total - linked
+            wraps = 0 < evidence < 3 and 2 * held(p) > held("") > 0
+            menu = 2 * links > chars and runs >= 3 * pages and not most and not re.search(r"/h[1-6][^/]*$|/(?:article|main)[^/]*$", p)
+            names = evidence in (1, 2) and not most and not wraps
+            if menu or (not last and (names or evidence == 3)) or (evidence == SURE and not most):
+                out.add(p)
+                up = p
+                while up:
+                    up = parent[up]
+                    kept[up] -= chars
+                kept[p] = 0
+            elif evidence:
+                spared.add(p)
+        if kept[""] > 0:
+            break
+    at = ""
+    while not (m := MARKED.search(at)) and (inner := [p for p in order if parent[p] == at and p not in out and kept[p] == kept[at] > 0]):
+        at = inner[0]
+    outer = [p for p in marked if kept[p] and not any(p.startswith(x + "/") for x in marked)]
+    roots = outer if sum(kept[p] for p in outer) * 2 >= kept[""] > 0 else [at] if at else []
+    return roots, sorted(out), sorted(spared)
+
+
+TEMPLATES = "host string, pages long, roots array<string>, out array<string>, spared array<string>, constant array<long>"
 
 
 def deduce_templates(vectors: DataFrame, support: float = 0.5) -> DataFrame:
-    """(host, pages, root, constant): the path of the article's slot and the runs of the root's class.
+    """(host, pages, roots, out, spared, constant), one row for each host: its ``Template``.
 
-    Only tokens on at least ``support`` of a host's pages (2 at least) enter a class.
+    Only tokens on at least ``support`` of a host's pages (2 at least) enter a class, so a host's
+    classes are no more than its pages are long.
     """
-    totals = vectors.where("token = 0").select("host", F.col("pages").alias("host_pages"), F.col("chars").alias("host_chars"), F.col("low").alias("all_low"), F.col("high").alias("all_high"))
+    totals = vectors.where("token = 0").select("host", F.col("pages").alias("host_pages"), F.col("chars").alias("host_chars"), F.col("links").alias("host_links"), F.col("low").alias("all_low"), F.col("high").alias("all_high"))
     frequent = vectors.where("token <> 0 and pages >= 2").join(totals, "host").where((F.col("pages") >= support * F.col("host_pages")))
-    grouped = frequent.groupBy("host", "host_pages", "host_chars", "all_low", "all_high", "pages", "low", "high").agg(F.collect_list(F.when(F.col("element").isNotNull() & (F.col("uses") == F.col("pages")), F.struct("element", "chars"))).alias("elements"), F.collect_list(F.when(F.col("element").isNull(), F.col("token"))).alias("runs"))
+    once = F.col("element").isNotNull() & (F.col("uses") == F.col("pages"))
+    grouped = frequent.groupBy("host", "host_pages", "host_chars", "host_links", "all_low", "all_high", "pages", "low", "high").agg(F.collect_list(F.when(once, F.struct("element", "chars", "links", "runs", "evidence"))).alias("elements"), F.collect_list(F.when(F.col("element").isNull(), F.col("token"))).alias("runs"))
     # the runs that every page has belong to the class of the page itself
     whole = (F.col("low") == F.col("all_low")) & (F.col("high") == F.col("all_high")) & (F.col("pages") >= 5)
-    by_host = grouped.groupBy("host", "host_pages", "host_chars").agg(F.flatten(F.collect_list("elements")).alias("elements"), F.flatten(F.collect_list(F.when(whole, F.col("runs")))).alias("constant"))
-    # the deepest once-only element that leaves no text outside, but none below an article or main element
-    whole_text = F.filter("elements", lambda e: (e["chars"] == F.col("host_chars")) & ~F.rlike(e["element"], F.lit(MARKED.pattern.replace("(?=/|$)", "/"))))
-    depth = F.transform(whole_text, lambda e: F.struct(F.size(F.split(e["element"], "/")).alias("depth"), e["element"].alias("path")))
-    return by_host.select("host", F.col("host_pages").alias("pages"), F.coalesce(F.array_max(depth)["path"], F.lit("")).alias("root"), "constant")
-
-
-def article(source: str, root: str, constant: frozenset[int] | set[int]) -> str:
-    blocks, uses = read_page(source)
-    # article and main elements say where the slots are, also where a host's pages differ; the outermost hold the inner ones
-    slots = {p[: m.end()] for p, (_, chars) in uses.items() if chars and (m := MARKED.search(p))}
-    if 2 * sum(uses[p][1] for p in slots) < sum(len(t) for _, t, furniture in blocks if not furniture):
-        slots = set()
-    slots = tuple(slots) or ((root,) if root in uses and uses[root][1] else ())
-    own = [(p, t) for p, t, furniture in blocks if not furniture and (not slots or p in slots or p.startswith(tuple(x + "/" for x in slots)))]
-    if constant:
-        varying = [(p, t) for p, t in own if _hash(f"{p}\0{t}", 1) not in constant]
+    by_host = grouped.groupBy("host", "host_pages", "host_chars", "host_links").agg(F.collect_list("elements").alias("classes"), F.flatten(F.collect_list(F.when(whole, F.col("runs")))).alias("constant"))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for pages, chars, links, classes in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                elements = {e["element"]: (k, e["chars"], e["links"], e["runs"], e["evidence"]) for k, c in enumerate(sorted(classes, key=repr)) for e in c}
+                found.append(judge_template(elements, pages, chars, links))
+            lists = [pa.array([x[i] for x in found], pa.list_(pa.string())) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, batch.column(5)], ["host", "pages", "roots", "out", "spared", "constant"])
+
+    return by_host.mapInArrow(judged, TEMPLATES)
+
+
+def article(source: str, template: Template = Template()) -> str:
+    """The page's text: blocks in its slots, less furniture and template text."""
+    page = read_page(source)
+    evidence = [SURE if p in template.out else 0 if p in template.spared else e for p, e in zip(page.paths, page.evidence, strict=True)]
+    furniture = _judge(page, evidence)
+    runs = [(k, t) for k, t, _ in page.runs if not furniture[k]]
+    slots = [False] * len(page.paths)
+    roots = set(template.roots).intersection(page.paths)
+    if not roots:
+        # the page isn't made by the template: its outermost article and main elements are the slots if they hold most of it
+        at = [k for k, m in enumerate(page.marked) if m]
+        slots = _inside(page, set(at))
+        if 2 * sum(len(t) for k, t in runs if slots[k]) < sum(len(t) for _, t in runs):
+            slots = [True] * len(page.paths)
+    else:
+        slots = _inside(page, {k for k, p in enumerate(page.paths) if p in roots})
+        if not any(slots[k] for k, _ in runs):
+            slots = [True] * len(page.paths)
+    own = [(page.paths[k], t) for k, t in runs if slots[k]]
+    if template.constant:
+        varying = [(p, t) for p, t in own if _hash(f"{p}\0{t}", 1) not in template.constant]
         if 2 * sum(len(t) for _, t in varying) > sum(len(t) for _, t in own):
             own = varying
     return "\n\n".join(t for _, t in own)
 
 
+def _inside(page: Page, roots: set[int]) -> list[bool]:
+    out = [False] * len(page.paths)
+    for k in range(1, len(out)):
+        out[k] = k in roots or out[page.around[k]]
+    return out
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 32_000_000) -> DataFrame:
     """id, url, text and n_chars of every page, from its whole HTML.
 
@@ -296,22 +434,23 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     templates = materialize(deduce_templates(occurrence_vectors(rows)))
-    size = templates.agg(F.sum(F.length("host") + F.length("root") + 8 * F.size("constant") + 64)).first()[0] or 0
+    listed = sum((F.length(F.array_join(c, "/")) for c in ("roots", "out", "spared")), F.length("host"))
+    size = templates.agg(F.sum(listed + 8 * F.size("constant") + 64)).first()[0] or 0
     spark = pages.sparkSession
-    fallback = {r.host: r.root for r in templates.where("host = '*'").collect()}.get("*", "")
+    fallback = {r.host: Template(tuple(r.roots)) for r in templates.where("host = '*'").collect()}.get("*", Template())
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
-    def done(batch: pa.RecordBatch, found: Iterator[tuple[str, list | frozenset]]) -> pa.RecordBatch:
-        texts = [article(source or "", root, constant) for source, (root, constant) in zip(batch.column(2).to_pylist(), found, strict=True)]
+    def done(batch: pa.RecordBatch, found: Iterator[Template]) -> pa.RecordBatch:
+        texts = [article(source or "", template) for source, template in zip(batch.column(2).to_pylist(), found, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
     few = F.col("pages") < TOO_FEW
     if size <= broadcast_bytes:
-        known = spark.sparkContext.broadcast({r.host: (r.root, frozenset(r.constant)) for r in templates.where(~few).collect()})
+        known = spark.sparkContext.broadcast({r.host: Template(tuple(r.roots), frozenset(r.out), frozenset(r.spared), frozenset(r.constant)) for r in templates.where(~few).collect()})
 
         def by_lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield done(batch, (known.value.get(host_of(u), (fallback, frozenset())) for u in batch.column(1).to_pylist()))
+                yield done(batch, (known.value.get(host_of(u), fallback) for u in batch.column(1).to_pylist()))
 
         return rows.mapInArrow(by_lookup, schema)
 
@@ -321,7 +460,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield done(batch, ((fallback, frozenset()) if r is None else (r, frozenset(c)) for r, c in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)))
+            lists = zip(*(batch.column(k).to_pylist() for k in range(3, 7)), strict=True)
+            yield done(batch, (fallback if r is None else Template(tuple(r), *map(frozenset, rest)) for r, *rest in lists))
 
     hosted = rows.mapInArrow(with_host, T.StructType([*rows.schema.fields, T.StructField("host", T.StringType())]))
-    return hosted.join(templates.where(~few).select("host", "root", "constant"), "host", "left").select("id", "url", "html", "root", "constant").mapInArrow(joined, schema)
+    names = ["roots", "out", "spared", "constant"]
+    return hosted.join(templates.where(~few).select("host", *names), "host", "left").select("id", "url", "html", *names).mapInArrow(joined, schema)
