@@ -27,30 +27,34 @@ def in_order(hits: Column, order: list[str]) -> Column:
 # --- content types and mechanics --------------------------------------------------------------
 
 
-def heritage_rule(text: Column, rule: dict) -> Column:
+def heritage_rule(text: Column, rule: dict, found: Column) -> Column:
     """Strong phrases; a behind-the-scenes phrase only with context; else pairs or two weak phrases."""
     rest = {k: rule.get(k, []) for k in ("pairs", "weak")}
-    return F.when(tx.has_any(text, rule.get("strong", [])), True).when(tx.has_any(text, rule.get("triggers", [])), tx.has_any(text, rule.get("context", []))).otherwise(tx.match_rule(text, rest))
+    return F.when(tx.any_found(found, rule.get("strong", [])), True).when(tx.any_found(found, rule.get("triggers", [])), tx.any_found(found, rule.get("context", []))).otherwise(tx.match_rule(text, rest, found=found))
 
 
 def names_crossed(text: Column) -> Column:
     """A x B with two characters or more on both sides, unless both are numbers."""
     side = r"([\p{L}\p{N}_]+)"
     left, right = (F.regexp_extract_all(text, F.lit(rf"(?:^|[^\p{{L}}\p{{N}}_]){side} [x×] {side}"), F.lit(i)) for i in (1, 2))
-    return F.exists(F.arrays_zip(left.alias("l"), right.alias("r")), lambda p: (F.length(p["l"]) >= 2) & (F.length(p["r"]) >= 2) & ~(p["l"].rlike("^[0-9]+$") & p["r"].rlike("^[0-9]+$")))
+    crossed = F.exists(F.arrays_zip(left.alias("l"), right.alias("r")), lambda p: (F.length(p["l"]) >= 2) & (F.length(p["r"]) >= 2) & ~(p["l"].rlike("^[0-9]+$") & p["r"].rlike("^[0-9]+$")))
+    return F.when(F.contains(text, F.lit(" x ")) | F.contains(text, F.lit(" × ")), crossed).otherwise(False)
 
 
 def rule_labels(caption: Column, rules: dict, single_tag: bool = False) -> Column:
     """All labels whose rule matches, in the rule file's order; [] for blank text."""
-    text = F.lower(F.coalesce(caption, F.lit("")))
-    hits = []
-    for label in rules["order"]:
-        rule = rules["labels"][label]
-        match = heritage_rule(text, rule) if "triggers" in rule else tx.match_rule(text, rule, single_tag)
-        if label == "collaboration":
-            match = match | names_crossed(text)
-        hits.append(F.when(match, F.lit(label)))
-    return F.array_compact(F.array(*hits))
+    def labels(text: Column, found: Column) -> Column:
+        hits = []
+        for label in rules["order"]:
+            rule = rules["labels"][label]
+            match = heritage_rule(text, rule, found) if "triggers" in rule else tx.match_rule(text, rule, single_tag, found)
+            if label == "collaboration":
+                match = match | names_crossed(text)
+            hits.append(F.when(match, F.lit(label)))
+        return F.array_compact(F.array(*hits))
+
+    phrases = [p for label in rules["order"] for p in tx.rule_phrases(rules["labels"][label])]
+    return tx.once(F.lower(F.coalesce(caption, F.lit(""))), lambda text: tx.once(tx.phrases_found(text, phrases), lambda found: labels(text, found)))
 
 
 def content_types(caption: Column, rules: dict | None = None) -> Column:
@@ -150,24 +154,34 @@ def rule_misses(df: DataFrame, labels: str = "content_type", text: str = "captio
 # --- comment topics ---------------------------------------------------------------------------
 
 
-def comment_topics(text: Column, topics: dict) -> dict[str, Column]:
-    """primary and all topics of a comment: layer first, then priority, then hits; chatter or unclear without any hit."""
-    low = F.lower(tx.strip(F.coalesce(text, F.lit(""))))
+def comment_topics(text: Column, topics: dict) -> Column:
+    """A struct of a comment's primary topic and all its topics: layer first, then priority, then hits; chatter or unclear without any hit."""
     layer = {t["id"]: t["layer"] for t in topics["topics"]}
     rank = {x: i for i, x in enumerate(topics["layers"])}
-    scored = []
-    for i, topic in enumerate(topics["priority"]):
-        words = topics["words"].get(topic, [])
-        if words:
-            n = tx.hit_count(low, words)
-            scored.append(F.when(n > 0, F.struct(F.lit(rank[layer[topic]]).alias("layer"), F.lit(i).alias("priority"), (-n).alias("hits"), F.lit(topic).alias("topic"))))
-    found = F.array_compact(F.array(*scored))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(low, r"\[(?:photo|sticker|stickers)\]", " "), r"[^\p{L}\p{N}]+", " "))
-    chatter = (F.length(bare) <= 2) | bare.rlike("^(?:fr|ngl|tbh|imo|idk|omg|smh|lmao|lol|yes|ok|same)+$") | low.rlike(r"(?:^|\s)@[a-z0-9._]+")
-    rest = F.when(low == "", "other_unclear").when(chatter, "meme_chatter").otherwise("other_unclear")
-    by_priority = F.transform(F.array_sort(F.transform(found, lambda x: F.struct(x["priority"].alias("p"), x["hits"].alias("h"), x["topic"].alias("topic")))), lambda x: x["topic"])
-    some = F.size(found) > 0
-    return {"topic": F.when(some, F.array_min(found)["topic"]).otherwise(rest), "topics": F.when(some, by_priority).otherwise(F.array(rest))}
+    words = {topic: topics["words"][topic] for topic in topics["priority"] if topics["words"].get(topic)}
+    phrases = [p for ps in words.values() for p in ps]
+
+    def scored(hits: Column) -> Column:
+        out = []
+        for i, topic in enumerate(topics["priority"]):
+            if topic in words:
+                n = tx.count_found(hits, words[topic])
+                out.append(F.when(n > 0, F.struct(F.lit(rank[layer[topic]]).alias("layer"), F.lit(i).alias("priority"), (-n).alias("hits"), F.lit(topic).alias("topic"))))
+        return F.array_compact(F.array(*out))
+
+    def rest(low: Column) -> Column:
+        bare = F.trim(F.regexp_replace(F.regexp_replace(low, r"\[(?:photo|sticker|stickers)\]", " "), r"[^\p{L}\p{N}]+", " "))
+        chatter = (F.length(bare) <= 2) | bare.rlike("^(?:fr|ngl|tbh|imo|idk|omg|smh|lmao|lol|yes|ok|same)+$") | low.rlike(r"(?:^|\s)@[a-z0-9._]+")
+        return F.when(low == "", "other_unclear").when(chatter, "meme_chatter").otherwise("other_unclear")
+
+    def all_topics(found: Column) -> Column:
+        by = F.array_sort(F.transform(found, lambda x: F.struct(x["priority"].alias("p"), x["hits"].alias("h"), x["topic"].alias("topic"))))
+        return F.struct(F.array_min(found)["topic"].alias("topic"), F.transform(by, lambda x: x["topic"]).alias("topics"))
+
+    none = lambda low: tx.once(rest(low), lambda r: F.struct(r.alias("topic"), F.array(r).alias("topics")))
+    either = lambda low, hits: F.when(F.size(hits) > 0, tx.once(scored(hits), all_topics)).otherwise(none(low))
+    low = F.lower(tx.strip(F.coalesce(text, F.lit(""))))
+    return tx.once(low, lambda t: tx.once(tx.phrases_found(t, phrases), lambda h: either(t, h)))
 
 
 def comment_text(df: DataFrame, *candidates: str) -> Column:

@@ -131,8 +131,8 @@ _K = "(CASE comment_text " + " ".join("WHEN '" + t + f"' THEN {i}" for i, t in e
 
 @query("lb19_lb20_comment_topics", duck(f"SELECT comment_id, CASE {_K} " + " ".join(f"WHEN {k} THEN '{a}'" for k, (a, _) in TOPIC_OF.items()) + f" ELSE 'other_unclear' END AS topic, CASE {_K} " + " ".join(f"WHEN {k} THEN '{b}'" for k, (_, b) in TOPIC_OF.items()) + " ELSE 'other_unclear' END AS topics FROM comments"))
 def _(spark, sf):
-    found = lb.comment_topics(F.col("comment_text"), rules.load("topics"))
-    return comments(spark, sf).select("comment_id", found["topic"].alias("topic"), F.array_join(found["topics"], ",").alias("topics"))
+    found = comments(spark, sf).select("comment_id", lb.comment_topics(F.col("comment_text"), rules.load("topics")).alias("found"))
+    return found.select("comment_id", F.col("found.topic").alias("topic"), F.array_join("found.topics", ",").alias("topics"))
 
 
 @query("lb21_first_text", duck("SELECT comment_id, COALESCE(CASE WHEN comment_like_count > 40 THEN 'translated' END, trim(comment_text)) AS text FROM comments"))
@@ -152,9 +152,9 @@ def _(spark, sf):
     """Examples of the shipped lexicon that the comments really use."""
     topics = rules.load("topics")
     phrases = spark.createDataFrame([(t, p, i) for t, ps in topics["words"].items() for i, p in enumerate(ps)], "topic string, phrase string, ord int").join(rules.topic_table(spark), "topic")
-    texts = comments(spark, sf).select(F.lower("comment_text").alias("t")).where("t is not null").distinct()
-    used = texts.crossJoin(F.broadcast(phrases)).where(F.contains("t", "phrase")).select(phrases.columns).distinct()  # phrases: a rule file
-    return lb.lexicon_examples(used)
+    every = [p for ps in topics["words"].values() for p in ps]
+    found = comments(spark, sf).select(F.explode(tx.phrases_found(F.lower(F.coalesce("comment_text", F.lit(""))), every)).alias("phrase")).distinct()
+    return lb.lexicon_examples(phrases.join(found, "phrase"))
 
 
 @query("lb24_partner_rules", duck("SELECT video_id, CASE WHEN brand = 'north' THEN 'none' WHEN source_type = 'user' THEN 'other' ELSE 'hashtag' END AS partner_type, CASE WHEN is_official_brand THEN 'high' ELSE 'unclear' END AS confidence, CASE WHEN brand = 'south' THEN 'south' END AS partner_name FROM posts"))

@@ -58,9 +58,9 @@ def _(spark, sf):
 def vectors(spark, sf):
     """Each post with a text and a visual vector by its key; some lack one."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    k = F.col("video_id").cast("long")
+    k, n = F.col("video_id").cast("long"), F.lit(e.count())
     p = measured(spark, sf)
-    p = p.withColumns({"t_id": F.when(k % 7 != 0, k % 400), "v_id": F.when(k % 5 != 0, (k * 3) % 400), "strategy": F.concat(F.coalesce("content_type", F.array().cast("array<string>")), F.coalesce("brand_styles", F.array().cast("array<string>"))), "categories": F.col("product_lines")})
+    p = p.withColumns({"t_id": F.when(k % 7 != 0, k % n), "v_id": F.when(k % 5 != 0, (k * 3) % n), "strategy": F.concat(F.coalesce("content_type", F.array().cast("array<string>")), F.coalesce("brand_styles", F.array().cast("array<string>"))), "categories": F.col("product_lines")})
     p = p.join(e.withColumnsRenamed({"vec_id": "t_id", "embedding": "text_vec"}), "t_id", "left")
     return p.join(e.withColumnsRenamed({"vec_id": "v_id", "embedding": "visual_vec"}), "v_id", "left")
 
@@ -70,7 +70,7 @@ def candidates(spark, sf, k=6):
     return rt.similar(v.where("cast(video_id as long) % 100 = 0"), rt.high_performers(v, views=10_000), k)
 
 
-VEC = "v AS (SELECT m.*, t.u AS tv, w.u AS vv, list_distinct(list_concat(COALESCE(content_type, []), COALESCE(brand_styles, []))) AS strategy, CAST(video_id AS BIGINT) AS k FROM m LEFT JOIN (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)) t ON t.vec_id = CAST(video_id AS BIGINT) % 400 AND CAST(video_id AS BIGINT) % 7 <> 0 LEFT JOIN (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)) w ON w.vec_id = (CAST(video_id AS BIGINT) * 3) % 400 AND CAST(video_id AS BIGINT) % 5 <> 0)"
+VEC = "v AS (SELECT m.*, t.u AS tv, w.u AS vv, list_distinct(list_concat(COALESCE(content_type, []), COALESCE(brand_styles, []))) AS strategy, CAST(video_id AS BIGINT) AS k FROM m LEFT JOIN (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)) t ON t.vec_id = CAST(video_id AS BIGINT) % (SELECT count(*) FROM embeddings) AND CAST(video_id AS BIGINT) % 7 <> 0 LEFT JOIN (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)) w ON w.vec_id = (CAST(video_id AS BIGINT) * 3) % (SELECT count(*) FROM embeddings) AND CAST(video_id AS BIGINT) % 5 <> 0)"
 PAIRS = VEC + """, pairs AS (SELECT q.video_id AS query_id, c.video_id, c.author_id, CASE WHEN q.tv IS NOT NULL THEN COALESCE(list_dot_product(q.tv, c.tv), 0) END AS text_sim, CASE WHEN q.vv IS NOT NULL THEN COALESCE(list_dot_product(q.vv, c.vv), 0) END AS visual_sim,
   CASE WHEN len(q.strategy) > 0 THEN len(list_intersect(q.strategy, c.strategy)) / (len(list_distinct(list_concat(q.strategy, c.strategy))) + 1) END AS overlap, len(q.product_lines) > 0 AND len(c.product_lines) > 0 AND len(list_intersect(q.product_lines, c.product_lines)) = 0 AS category_conflict
   FROM (SELECT * FROM v WHERE k % 100 = 0) q CROSS JOIN (SELECT * FROM v WHERE wer >= (SELECT quantile_cont(wer, 0.9) FROM m) AND view_count >= 10000) c WHERE q.video_id <> c.video_id),

@@ -25,7 +25,10 @@ UNKNOWN = "__unknown__"
 
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared ``spark.checkpoint.dir`` (a temporary one only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-")
     return f"{base}/tables/{uuid.uuid4().hex}"
 
 
