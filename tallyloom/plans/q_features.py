@@ -113,11 +113,21 @@ def _(spark, sf):
     return spark.read.schema("brand string, n long").option("header", True).csv(f"{path}/brands").crossJoin(F.broadcast(summary))  # one row
 
 
-@query("io15_phrase_use", None)
+def _phrase_rows():
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = [(label, kind, p) for label, rule in rules.load("content")["labels"].items() for kind in ("strong", "weak") for p in rule.get(kind, [])]
+    rows += [(label, "pair", p) for label, rule in rules.load("content")["labels"].items() for pair in rule.get("pairs", []) for p in pair]
+    return ", ".join("(" + ", ".join(map(quote, (*r, tx.phrase_regex(r[2])))) + ")" for r in rows)
+
+
+@query("io15_phrase_use", duck(f"SELECT label, kind, phrase, CAST(sum(n) AS BIGINT) AS n FROM (SELECT lower(COALESCE(caption_raw, '')) AS t, count(*) AS n FROM posts GROUP BY 1) JOIN (VALUES {_phrase_rows()}) AS p(label, kind, phrase, pattern) ON regexp_matches(t, pattern) GROUP BY ALL"))
 def _(spark, sf):
+    """How many captions use each phrase of the rule file; phrases of several words are found as the rules find them."""
     phrases = rules.phrase_table(spark)
-    words = posts(spark, sf).select("video_id", F.explode(F.split(F.lower(F.coalesce("caption_raw", F.lit(""))), r"[^\p{L}\p{N}]+")).alias("phrase")).distinct()
-    return words.join(F.broadcast(phrases), "phrase").groupBy("label", "kind", "phrase").agg(F.count("*").alias("n"))
+    every = [p for rule in rules.load("content")["labels"].values() for kind in ("strong", "weak") for p in rule.get(kind, [])] + [p for rule in rules.load("content")["labels"].values() for pair in rule.get("pairs", []) for p in pair]
+    found = posts(spark, sf).select(F.lower(F.coalesce("caption_raw", F.lit(""))).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
+    used = found.select("n", F.explode(tx.phrases_found(F.col("text"), every)).alias("phrase"))
+    return used.join(F.broadcast(phrases), "phrase").groupBy("label", "kind", "phrase").agg(F.sum("n").alias("n"))  # phrases: a rule file
 
 
 @query("io16_cluster_map", "SELECT topic, count(*) AS n FROM (SELECT CASE label WHEN 0 THEN 'price_value' WHEN 1 THEN 'fit_comfort' ELSE 'other_unclear' END AS topic FROM embeddings) GROUP BY topic")

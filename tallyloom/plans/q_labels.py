@@ -82,6 +82,15 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.hit_count(F.lower("text"), ["the", "with", "that", "this"]).alias("hits"))
 
 
+WORDS_RULE = {"strong": ["licensed under", "idiot", "oron"], "pairs": [["the", "nicht"], ["that", "oution"]], "weak": ["for", "with the", "der", "la que", "ou"]}
+
+
+@query("lb06_rule_over_texts", "SELECT doc_id, " + _rule("lower(COALESCE(text, ''))", WORDS_RULE, True) + " AS hit FROM documents")
+def _(spark, sf):
+    """Strong phrases, pairs and weak phrases over whole documents."""
+    return table(spark, sf, "documents").select("doc_id", tx.once(F.lower(F.coalesce("text", F.lit(""))), lambda t: tx.match_rule(t, WORDS_RULE, True)).alias("hit"))
+
+
 @query("lb11_one_hot", duck("SELECT video_id, COALESCE(list_contains(content_type, 'promo'), false) AS is_promo, COALESCE(list_contains(content_type, 'collab'), false) AS is_collab FROM posts"))
 def _(spark, sf):
     return lb.one_hot(posts(spark, sf), "content_type", ["promo", "collab"], "is_").select("video_id", "is_promo", "is_collab")
@@ -147,7 +156,14 @@ def _(spark, sf):
     return lb.map_clusters(table(spark, sf, "embeddings"), names, {"price": "price_value"}, "label").select("vec_id", "topic")
 
 
-@query("lb23_lexicon_examples", None)
+def _topic_rows():
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    topics = rules.load("topics")
+    layer = {t["id"]: t["layer"] for t in topics["topics"]}
+    return ", ".join(f"({quote(t)}, {quote(layer[t])}, {quote(p)}, {i}, {quote(tx.phrase_regex(p))})" for t, ps in topics["words"].items() for i, p in enumerate(ps))
+
+
+@query("lb23_lexicon_examples", duck(f"SELECT topic, layer, string_agg(phrase, ', ' ORDER BY rank) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY contains(phrase, ' ') DESC, ord) AS rank FROM (SELECT DISTINCT topic, layer, phrase, ord FROM (SELECT DISTINCT lower(comment_text) AS t FROM comments) JOIN (VALUES {_topic_rows()}) AS p(topic, layer, phrase, ord, pattern) ON regexp_matches(t, pattern)) WHERE contains(phrase, ' ') OR length(phrase) >= 3) WHERE rank <= 3 GROUP BY topic, layer"))
 def _(spark, sf):
     """Examples of the shipped lexicon that the comments really use."""
     topics = rules.load("topics")
