@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as rule_files
 from ..functions import text as tx
 from ..functions.numbers import bins, ratio
+from .quantiles import exact_quantiles
 
 WEIGHTS = {"like_count": 10, "comment_count": 25, "share_count": 30, "collect_count": 35}
 TIERS = ["nano", "micro", "mid", "macro", "mega"]
@@ -16,9 +17,8 @@ MISSING = "__MISSING__"
 
 
 def exact_median(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Exact median per group from a histogram of values, so few huge groups don't land in few tasks as rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    return counts.groupBy(*by).agg(F.percentile(value, F.lit(0.5), F.col("_n")).alias(name))
+    """Exact median per group that has a value, whatever the size of the group."""
+    return exact_quantiles(df, {c: c for c in by}, {name: (value, 0.5)})
 
 
 def with_engagement(df: DataFrame, weights: dict[str, int] = WEIGHTS) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio, unit, valid_vector
+from .quantiles import exact_quantiles, table_quantiles
 from .stats import before_counts, spearman
 
 #: Columns that hold or follow from the outcome.
@@ -63,8 +64,8 @@ def from_target(c: Column, how: str) -> Column:
 
 def train_baseline(train: DataFrame, test: DataFrame, value: str, brand: str = "brand") -> DataFrame:
     """Test rows with the median of their brand in the training rows (overall median for a new brand)."""
-    base = train.groupBy(F.col(brand).alias("_b")).agg(F.median(value).alias("_m"))
-    overall = train.agg(F.median(value).alias("_all"))
+    base = exact_quantiles(train, {"_b": brand}, {"_m": (value, 0.5)})
+    overall = exact_quantiles(train, {}, {"_all": (value, 0.5)})
     return test.join(base, F.col(brand).eqNullSafe(F.col("_b")), "left").crossJoin(F.broadcast(overall)).withColumn("baseline", F.coalesce("_m", "_all")).drop("_b", "_m", "_all")  # one row
 
 
@@ -178,7 +179,7 @@ def screening_cv(df: DataFrame, target: str, k: int, features: Callable[[], Fold
     """Score of being in the top share, whose threshold is the training rows' quantile."""
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
-        cut = train.agg(F.percentile(target, F.lit(q)).alias("c")).first().c
+        cut = table_quantiles(train, target, [q])[0]
         label = lambda d: d.withColumn("label", (F.col(target) >= cut).cast("double"))
         fitted = CLASSIFIERS[model]().fit(label(train))
         p = vector_to_array("probability")[1]
@@ -191,7 +192,7 @@ def two_stage_cv(df: DataFrame, target: str, k: int, features: Callable[[], Fold
     """A classifier of the top share and a regressor on each side of it; the side is chosen by probability."""
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
-        cut = train.agg(F.percentile(target, F.lit(q)).alias("c")).first().c
+        cut = table_quantiles(train, target, [q])[0]
         train = train.withColumn("label", (F.col(target) >= cut).cast("double"))
         scored = CLASSIFIERS["gbt"]().fit(train).transform(test).withColumn("p", vector_to_array("probability")[1]).drop("prediction", "rawPrediction", "probability")
         for name, side in (("low", 0), ("high", 1)):
@@ -222,7 +223,7 @@ def ranking_cv(df: DataFrame, target: str, by: str, k: int, features: Callable[[
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
         fitted = REGRESSORS["gbt"]().fit(graded_relevance(train, by, target, "label"))
-        grid = [float(x) for x in train.agg(F.percentile(target, F.array(*[F.lit(i / 100) for i in range(101)])).alias("g")).first().g]
+        grid = table_quantiles(train, target, [i / 100 for i in range(101)])
         scored = fitted.transform(test).withColumnRenamed("prediction", "score")
         n = scored.agg(F.count("*").alias("_n"))
         cells = scored.groupBy("score").agg(F.count("*").alias("_c"))
@@ -247,7 +248,7 @@ def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred", baseline
 
 
 def quantile_edges(df: DataFrame, value: str, classes: int) -> list[float]:
-    return [float(x) for x in df.agg(F.percentile(value, F.array(*[F.lit(i / classes) for i in range(1, classes)])).alias("e")).first().e]
+    return table_quantiles(df, value, [i / classes for i in range(1, classes)])
 
 
 def digitize(value: Column, edges: list[float]) -> Column:
@@ -392,10 +393,10 @@ def driver_families(importances: DataFrame, families: DataFrame) -> DataFrame:
 
 def directional_effects(long: DataFrame) -> DataFrame:
     """Of a long table (feature, kind, x, contribution): mean with the flag on less off, or top less bottom third."""
-    cuts = long.where("kind = 'number'").groupBy("feature").agg(F.percentile("x", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("c"))
+    cuts = exact_quantiles(long.where("kind = 'number'"), {"feature": "feature"}, {"_low": ("x", 1 / 3), "_high": ("x", 2 / 3)})
     rows = long.join(cuts, "feature", "left")
-    high = F.when(F.col("kind") == "flag", F.col("x") > 0).otherwise(F.col("x") >= F.col("c")[1])
-    low = F.when(F.col("kind") == "flag", F.col("x") <= 0).otherwise(F.col("x") <= F.col("c")[0])
+    high = F.when(F.col("kind") == "flag", F.col("x") > 0).otherwise(F.col("x") >= F.col("_high"))
+    low = F.when(F.col("kind") == "flag", F.col("x") <= 0).otherwise(F.col("x") <= F.col("_low"))
     out = rows.groupBy("feature", "kind").agg(F.avg(F.when(high, F.col("contribution"))).alias("high"), F.avg(F.when(low, F.col("contribution"))).alias("low"), F.avg(F.abs("contribution")).alias("importance"))
     return out.withColumn("effect", F.col("high") - F.col("low")).withColumn("direction", F.when(F.col("effect") > 0, "up").when(F.col("effect") < 0, "down").otherwise("flat"))
 

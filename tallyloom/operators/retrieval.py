@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions.numbers import dot, number, unit
+from .quantiles import exact_quantiles
 from .windows import smoothed_overlap, tiered_order
 
 WEIGHTS = {"text": 0.4, "visual": 0.4, "strategy": 0.2}
@@ -64,8 +65,7 @@ def search(df: DataFrame, query: str, chosen: dict[str, list[str]] | None = None
 
 
 def high_performers(df: DataFrame, value: str = "wer", q: float = 0.9, views: int = 100_000) -> DataFrame:
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    cut = counts.agg(F.percentile(value, F.lit(q), F.col("_n")).alias("_cut"))
+    cut = exact_quantiles(df, {}, {"_cut": (value, q)})
     return df.crossJoin(F.broadcast(cut)).where((F.col(value) >= F.col("_cut")) & (F.col("view_count") >= views)).drop("_cut")  # one row
 
 

@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import normal_tail
+from ..sources.landing import settled
+from .quantiles import exact_quantiles
 from .tables import levels_of
 
 
-def before_counts(cells: DataFrame, by: list[str], value: str, count: str, name: str = "before", buckets: int = 64) -> DataFrame:
+def before_counts(cells: DataFrame, by: list[str], value: str, count: str, name: str = "before", buckets: int = 64, range_name: str | None = None) -> DataFrame:
     """Sum of ``count`` over the smaller values of the group, on every row; values are distinct per group.
 
     A global order without a single task: approximate quantiles cut each group into ranges, the
     running sum stays inside a range, and the ranges' totals (a few dozen rows a group) give
-    the offsets.  The result is exact whatever the cuts are.
+    the offsets.  The result is exact whatever the cuts are.  ``range_name`` keeps the range's number.
     """
     cuts = F.array_distinct(F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000))
     if by:
@@ -33,6 +35,8 @@ def before_counts(cells: DataFrame, by: list[str], value: str, count: str, name:
     same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "_b"])]
     inside = F.coalesce(F.sum(count).over(Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = rows.withColumn("_in", inside).join(offsets, reduce(lambda a, b: a & b, same))
+    if range_name:
+        placed = placed.withColumn(range_name, F.col("_b"))
     return placed.withColumn(name, F.col("_o") + F.col("_in")).drop("_b", "_o", "_in", *[f"_k{i}" for i in range(len(by) + 1)])
 
 
@@ -45,10 +49,9 @@ def rank_sums(df: DataFrame, by: list[str], value: str, inside: str) -> DataFram
     cells = rows.groupBy(*by, value).agg(F.sum(F.col(inside).cast("long")).alias("a"), F.count("*").alias("t"))
     cells = before_counts(cells, by, value, "t").withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     t = F.col("t").cast("double")
-    out = cells.groupBy(*by).agg(
-        F.sum("a").alias("n1"), (F.sum("t") - F.sum("a")).alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(t * t * t - t).alias("ties"),
-        F.percentile(value, F.lit(0.5), F.col("a")).alias("median_in"), F.percentile(value, F.lit(0.5), F.col("t") - F.col("a")).alias("median_out"),
-    )
+    out = cells.groupBy(*by).agg(F.sum("a").alias("n1"), (F.sum("t") - F.sum("a")).alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(t * t * t - t).alias("ties"))
+    medians = exact_quantiles(rows, {f"_m{i}": c for i, c in enumerate(by)}, {"median_in": (F.when(F.col(inside), F.col(value)), 0.5), "median_out": (F.when(~F.col(inside), F.col(value)), 0.5)})
+    out = out.join(medians, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_m{i}")) for i, c in enumerate(by)]), "left")
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
@@ -69,30 +72,41 @@ def category_tests(df: DataFrame, label: str, value: str, brand: str = "brand",
     Membership is expanded as (brand, category) sums over distinct values: the category's own
     counts are subtracted from the brand's, so no row is repeated for every category.
     """
-    rows = df.where(F.col(brand).isNotNull() & F.col(value).isNotNull())
+    rows = settled(df.where(F.col(brand).isNotNull() & F.col(value).isNotNull()).select(brand, label, value, key))
     whole = rows.groupBy(brand, value).agg(F.count("*").alias("t"))
     whole = before_counts(whole, [brand], value, "t").withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
-    mine = levels_of(rows, label).groupBy(brand, F.col(label).alias("category"), value).agg(F.count_distinct(key).alias("a"))
+    labelled = levels_of(rows, label)
+    mine = labelled.groupBy(brand, F.col(label).alias("category"), value).agg(F.count_distinct(key).alias("a"))
     t = F.col("t").cast("double")
     totals = whole.groupBy(brand).agg(F.sum("t").alias("n"), F.sum(t * t * t - t).alias("ties"))
-    sums = mine.join(whole, [brand, value]).groupBy(brand, "category").agg(F.sum("a").alias("n_category"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.percentile(value, F.lit(0.5), F.col("a")).alias("median_category"))
+    sums = mine.join(whole, [brand, value]).groupBy(brand, "category").agg(F.sum("a").alias("n_category"), F.sum(F.col("a") * F.col("rank")).alias("r1"))
+    medians = exact_quantiles(labelled.dropDuplicates([brand, label, key]), {brand: brand, "category": label}, {"median_category": (value, 0.5)})
+    sums = sums.join(medians, [brand, "category"])
     out = sums.join(totals, brand).withColumn("n_other", F.col("n") - F.col("n_category")).where((F.col("n_category") >= min_n) & (F.col("n_other") >= 5))
     n1, n2, n = F.col("n_category").cast("double"), F.col("n_other").cast("double"), F.col("n").cast("double")
     u = F.col("r1") - n1 * (n1 + 1) / 2
     variance = n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1)))
     z = F.try_divide(F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)), F.nullif(F.sqrt(variance), F.lit(0.0)))
     out = out.select(F.col(brand).alias("brand"), "category", "n_category", "n_other", "median_category", u.alias("u"), F.when(z.isNotNull(), F.least(F.lit(1.0), normal_tail(z))).alias("p_value"), (1 - 2 * u / (n1 * n2)).alias("rank_biserial"))
-    return adjust(out, "p_value")
+    # a row per test: written once, since the adjustment reads it several times
+    return adjust(settled(out), "p_value")
 
 
-def adjust(df: DataFrame, p: str, name: str = "p_adj", *ties: str) -> DataFrame:
-    """Benjamini-Hochberg over the (small) table of tests; null p stays null."""
+def adjust(df: DataFrame, p: str, name: str = "p_adj") -> DataFrame:
+    """Benjamini-Hochberg over a table of tests of any size; null p stays null, equal p are adjusted alike.
+
+    Works on the distinct p with their counts, range by range: the smallest p * m / rank of the
+    larger values is a minimum inside a range, and one over the ranges after it (some dozens).
+    """
     tested = df.where(F.col(p).isNotNull())
+    cells = before_counts(tested.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c")), [], "_p", "_c", "_before", range_name="_range")
     m = tested.agg(F.count("*").alias("_m"))
-    order = Window.orderBy(p, *ties)
-    ranked = tested.crossJoin(F.broadcast(m)).withColumn("_s", F.col(p) * F.col("_m") / F.row_number().over(order))  # one row
-    back = F.min("_s").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    done = ranked.withColumn(name, F.least(F.lit(1.0), back)).drop("_m", "_s")
+    cells = cells.crossJoin(F.broadcast(m)).withColumn("_s", F.col("_p") * F.col("_m") / (F.col("_before") + F.col("_c")))  # one row
+    later = cells.groupBy(F.col("_range").alias("_r")).agg(F.min("_s").alias("_l"))
+    later = later.withColumn("_later", F.min("_l").over(Window.orderBy("_r").rowsBetween(1, Window.unboundedFollowing)))  # a row a range
+    inside = F.min("_s").over(Window.partitionBy("_range").orderBy("_p").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    cells = cells.withColumn("_in", inside).join(F.broadcast(later), F.col("_range") == F.col("_r"))  # 64 rows at most
+    done = tested.join(cells.select("_p", F.least(F.lit(1.0), "_in", "_later").alias(name)), F.col(p) == F.col("_p")).drop("_p")
     return done.unionByName(df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
@@ -118,13 +132,24 @@ def stratified_sample(df: DataFrame, stratum: str, n: int, key: str, seed: int =
     left = share.agg((F.max(F.least(F.lit(n), F.col("_t"))) - F.sum("_floor")).alias("_left"))
     order = F.row_number().over(Window.orderBy(F.desc(F.col("_exact") - F.col("_floor")), F.asc_nulls_last(stratum)))
     quota = share.withColumn("_place", order).crossJoin(F.broadcast(left)).select(F.col(stratum).alias("_s"), (F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("int")).alias("_q"))  # one row
-    return _by_hash(df, stratum, key, seed).join(quota, F.col(stratum).eqNullSafe(F.col("_s"))).where("_r <= _q").drop("_s", "_q", "_r")
+    # rows of a stratum stand in the order of their md5: counts by its first 48 bits say how far the quota
+    # reaches, and only rows at that very value are ordered
+    head = F.conv(F.substring(_md5(key, seed), 1, 12), 16, 10).cast("long")
+    rows = df.withColumns({"_h": head, "_md5": _md5(key, seed)})
+    cells = before_counts(rows.groupBy(F.col(stratum).alias("_st"), F.col("_h").alias("_ch")).agg(F.count("*").alias("_c")), ["_st"], "_ch", "_c")
+    cells = cells.join(quota, F.col("_st").eqNullSafe(F.col("_s"))).where("before < _q").select("_st", "_ch", "_c", (F.col("_q") - F.col("before")).alias("_need"))
+    taken = rows.join(cells, F.col(stratum).eqNullSafe(F.col("_st")) & (F.col("_h") == F.col("_ch")))
+    place = F.row_number().over(Window.partitionBy("_st", "_ch").orderBy("_md5", key))
+    return taken.withColumn("_r", place).where("_r <= _need").select(df.columns)
+
+
+def _md5(key: str, seed: int) -> Column:
+    """A hash that orders alike in any engine; a null key is hashed as empty."""
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f"-{seed}")).cast("binary"))
 
 
 def _by_hash(df: DataFrame, by: str, key: str, seed: int) -> DataFrame:
-    # md5 orders alike in any engine
-    order = [F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")).cast("binary")), F.col(key)]
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(_md5(key, seed), F.col(key))))
 
 
 def capped_sample(df: DataFrame, label: str, cap: int, key: str, seed: int = 7) -> DataFrame:

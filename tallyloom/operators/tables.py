@@ -1,6 +1,6 @@
 """Group tables: distributions, cross-tabs, relative performance, commerce, creators, sentiment and topics.
 
-Medians are exact.  Label columns are arrays; ``null`` means not available and [] nothing found.
+Medians and other quantiles are exact, and no task holds a whole group for them (``quantiles``).  Label columns are arrays; ``null`` means not available and [] nothing found.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import bins, position, ratio, share
+from ..sources.landing import settled
+from .quantiles import exact_quantiles, group_stats
 
 SMALL_N = 20
 LEVELS = ["None", "Low", "Medium", "High"]
@@ -50,7 +52,9 @@ def skewed_summary(df: DataFrame, value: str, by: list[str] | None = None) -> Da
     rows = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).withColumn("_v", v)
     n = F.count("_v").cast("double")
     adjust = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2))
-    return rows.groupBy(*(by or [])).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.median("_v").alias("median"), F.stddev_samp("_v").alias("std"), F.percentile("_v", F.lit(0.9)).alias("p90"), F.percentile("_v", F.lit(0.99)).alias("p99"), F.max("_v").alias("max"), (F.skewness("_v") * adjust).alias("skew"), ratio(F.avg("_v"), F.median("_v")).alias("mean_over_median"))
+    moments = [F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"), F.max("_v").alias("max"), (F.skewness("_v") * adjust).alias("skew")]
+    out = group_stats(rows, by or [], moments, {"median": ("_v", 0.5), "p90": ("_v", 0.9), "p99": ("_v", 0.99)})
+    return out.select(*(by or []), "n", "mean", "median", "std", "p90", "p99", "max", "skew", ratio(F.col("mean"), F.col("median")).alias("mean_over_median"))
 
 
 # --- distributions and cross-tabs -------------------------------------------------------------
@@ -59,7 +63,7 @@ def skewed_summary(df: DataFrame, value: str, by: list[str] | None = None) -> Da
 def distribution(df: DataFrame, col: str, value: str, min_count: int = 0, source_n: bool = True) -> DataFrame:
     """level, n, share of the (exploded) rows, median value; coverage_n counts the rows with a level."""
     rows = levels_of(df, col)
-    out = rows.groupBy(F.col(col).alias("level")).agg(F.count("*").alias("n"), F.median(value).alias("median_value"))
+    out = group_stats(rows, {"level": col}, [F.count("*").alias("n")], {"median_value": (value, 0.5)})
     out = out.withColumn("coverage_n", F.sum("n").over(Window.partitionBy()))
     return out.withColumn("pct", F.col("n") / F.col("coverage_n")).where(F.col("n") >= min_count)
 
@@ -67,13 +71,13 @@ def distribution(df: DataFrame, col: str, value: str, min_count: int = 0, source
 def crosstab(df: DataFrame, row: str, col: str, value: str, normalize: str = "row", min_count: int = 0) -> DataFrame:
     """Long cross-tab: n, share of the row, column or all, median value of the cell."""
     rows = levels_of(levels_of(df, row), col)
-    cells = rows.groupBy(F.col(row).alias("row"), F.col(col).alias("col")).agg(F.count("*").alias("n"), F.median(value).alias("median_value"))
+    cells = group_stats(rows, {"row": row, "col": col}, [F.count("*").alias("n")], {"median_value": (value, 0.5)})
     total = Window.partitionBy(*{"row": ["row"], "col": ["col"], "all": []}[normalize])
     return cells.withColumn("pct", F.col("n") / F.sum("n").over(total)).where(F.col("n") >= min_count)
 
 
 def brand_baseline(df: DataFrame, value: str, brand: str = "brand") -> DataFrame:
-    return df.groupBy(brand).agg(F.median(value).alias("baseline"), F.count("*").alias("brand_n"))
+    return group_stats(df, [brand], [F.count("*").alias("brand_n")], {"baseline": (value, 0.5)})
 
 
 def relative_performance(df: DataFrame, label: str, value: str, brand: str = "brand", min_count: int = 5, small_n: int = SMALL_N) -> DataFrame:
@@ -82,8 +86,8 @@ def relative_performance(df: DataFrame, label: str, value: str, brand: str = "br
     Baseline and share use the table before labels are exploded; the null brand is left out.
     The baseline table has one row per brand, so the join needs no hint.
     """
-    rows = df.where(F.col(brand).isNotNull())
-    cells = levels_of(rows, label).groupBy(brand, F.col(label).alias("category")).agg(F.count("*").alias("n"), F.median(value).alias("median_value")).where(F.col("n") >= min_count)
+    rows = settled(df.where(F.col(brand).isNotNull()).select(brand, label, value))
+    cells = group_stats(levels_of(rows, label), {brand: brand, "category": label}, [F.count("*").alias("n")], {"median_value": (value, 0.5)}).where(F.col("n") >= min_count)
     out = cells.join(brand_baseline(rows, value, brand), brand)
     index = ratio(F.col("median_value"), F.col("baseline"))
     return out.select(F.col(brand).alias("brand"), "category", "n", "median_value", "baseline", index.alias("relative_index"), (index - 1).alias("relative_uplift"), (F.col("n") / F.col("brand_n")).alias("share"), "brand_n", (F.col("n") < small_n).alias("small_n"))
@@ -145,9 +149,10 @@ def level_shares(df: DataFrame, group: str = "brand", level: str = "commerce_int
 
 def commerce_trend(df: DataFrame, value: str = "wer", index: str = "bri", q: float = 0.9) -> DataFrame:
     """Every level with n, medians and the share of posts at or above the overall quantile (a null value isn't)."""
-    cut = df.agg(F.percentile(value, F.lit(q)).alias("_cut"))
+    df = settled(df.select("commerce_intensity", value, index))  # the narrow table, for its four passes
+    cut = exact_quantiles(df, {}, {"_cut": (value, q)})
     rows = df.crossJoin(F.broadcast(cut))  # one row
-    found = rows.groupBy("commerce_intensity").agg(F.count("*").alias("_n"), F.median(index).alias("median_bri"), F.median(value).alias("median_wer"), share(F.col(value) >= F.col("_cut")).alias("top_rate"))
+    found = group_stats(rows, ["commerce_intensity"], [F.count("*").alias("_n"), share(F.col(value) >= F.col("_cut")).alias("top_rate")], {"median_bri": (index, 0.5), "median_wer": (value, 0.5)})
     every = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(LEVELS)], "commerce_intensity string, level int")
     return every.join(found, "commerce_intensity", "left").withColumn("n", F.coalesce("_n", F.lit(0)).cast("long")).drop("_n")
 
@@ -164,8 +169,9 @@ def brand_pivot(df: DataFrame, dim: str, brands: list[str], min_count: int = 5,
 
 def quadrants(df: DataFrame, level: str, x: str = "commerce_score", y: str = "bri", min_count: int = 1) -> DataFrame:
     """Mean x and median y of each level, and the quadrant against the medians over the levels."""
-    cells = levels_of(df, level).groupBy(F.col(level).alias("level")).agg(F.count("*").alias("n"), F.avg(x).alias("x"), F.median(y).alias("y")).where(F.col("n") >= min_count)
-    mid = cells.agg(F.median("x").alias("_x"), F.median("y").alias("_y"))
+    cells = group_stats(levels_of(df, level), {"level": level}, [F.count("*").alias("n"), F.avg(x).alias("x")], {"y": (y, 0.5)}).where(F.col("n") >= min_count)
+    cells = settled(cells)  # a row a level
+    mid = exact_quantiles(cells, {}, {"_x": ("x", 0.5), "_y": ("y", 0.5)})
     name = F.concat(F.when(F.col("x") >= F.col("_x"), "high").otherwise("low"), F.lit("_"), F.when(F.col("y") >= F.col("_y"), "high").otherwise("low"))
     return cells.crossJoin(F.broadcast(mid)).withColumn("quadrant", name).drop("_x", "_y")  # one row
 
@@ -184,7 +190,7 @@ def with_creator_flags(df: DataFrame, collab: str = "collab") -> DataFrame:
 def follower_quartile(df: DataFrame, author: str = "author_id", value: str = "author_follower_count") -> DataFrame:
     """Quartile of the author among authors (right-closed edges), on every post of the author; equal edges merge."""
     authors = df.where(F.col(value).isNotNull()).groupBy(author).agg(F.min(value).alias("_f"))
-    edges = authors.groupBy("_f").agg(F.count("*").alias("_n")).agg(F.array_distinct(F.percentile("_f", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n"))).alias("_e"))
+    edges = exact_quantiles(authors, {}, {f"_{q}": ("_f", q / 4) for q in (1, 2, 3)}).select(F.array_distinct(F.array("_1", "_2", "_3")).alias("_e"))
     placed = authors.crossJoin(F.broadcast(edges)).select(F.col(author).alias("_a"), (F.size(F.filter("_e", lambda e: e < F.col("_f"))) + 1).alias("follower_quartile"))  # one row
     return df.join(placed, F.col(author) == F.col("_a"), "left").drop("_a")
 
@@ -212,7 +218,7 @@ def tier_mix(df: DataFrame, brands: list[str]) -> DataFrame:
 
 def scale_by(df: DataFrame, dim: str, scale: str = "creator_tier", min_count: int = 1, ugc_only: bool = True) -> DataFrame:
     rows = levels_of(df.where("channel = 'ugc'") if ugc_only else df, dim)
-    return rows.where(F.col(scale).isNotNull()).groupBy(F.col(scale).alias("scale"), F.col(dim).alias("level")).agg(F.count("*").alias("n"), F.median("bri").alias("median_bri"), F.median("wer").alias("median_wer")).where(F.col("n") >= min_count)
+    return group_stats(rows.where(F.col(scale).isNotNull()), {"scale": scale, "level": dim}, [F.count("*").alias("n")], {"median_bri": ("bri", 0.5), "median_wer": ("wer", 0.5)}).where(F.col("n") >= min_count)
 
 
 def scale_pivot(long: DataFrame, levels: list[str], value: str = "median_bri") -> DataFrame:
@@ -223,19 +229,19 @@ def scale_pivot(long: DataFrame, levels: list[str], value: str = "median_bri") -
 def collab_cells(df: DataFrame, brands: list[str]) -> DataFrame:
     """Collaborations by brand and channel, empty cells too."""
     every = df.sparkSession.createDataFrame([(b, c) for b in brands for c in ("official", "ugc")], "brand string, channel string")
-    found = df.where("is_collab").groupBy("brand", "channel").agg(F.count("*").alias("_n"), F.median("bri").alias("median_bri"), F.median("wer").alias("median_wer"))
+    found = group_stats(df.where("is_collab"), ["brand", "channel"], [F.count("*").alias("_n")], {"median_bri": ("bri", 0.5), "median_wer": ("wer", 0.5)})
     return every.join(found, ["brand", "channel"], "left").withColumn("n", F.coalesce("_n", F.lit(0)).cast("long")).drop("_n")
 
 
 def collab_versus_rest(df: DataFrame) -> DataFrame:
-    return df.groupBy("is_collab").agg(F.count("*").alias("n"), F.median("bri").alias("median_bri"), F.median("wer").alias("median_wer"), share(F.col("wer").isNotNull()).alias("coverage"))
+    return group_stats(df, ["is_collab"], [F.count("*").alias("n"), share(F.col("wer").isNotNull()).alias("coverage")], {"median_bri": ("bri", 0.5), "median_wer": ("wer", 0.5)})
 
 
 def co_labels(df: DataFrame, parent: str = "collab", col: str = "content_type") -> DataFrame:
     """Other labels of the rows with ``parent``: n, median index, share of those rows."""
     rows = df.where(F.array_contains(col, parent))
     total = rows.agg(F.count("*").alias("_t"))
-    cells = explode_labels(rows, col).where(F.col(col) != parent).groupBy(F.col(col).alias("label")).agg(F.count("*").alias("n"), F.median("bri").alias("median_bri"))
+    cells = group_stats(explode_labels(rows, col).where(F.col(col) != parent), {"label": col}, [F.count("*").alias("n")], {"median_bri": ("bri", 0.5)})
     return cells.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_t")).drop("_t")  # one row
 
 
@@ -249,7 +255,8 @@ def polarity(score: Column) -> Column:
 def perception(df: DataFrame, by: list[str], score: str = "sentiment_score") -> DataFrame:
     """Scored comments, videos, median and mean score, shares of the polarities, net."""
     s = F.col(score)
-    out = df.where(s.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("video_id").alias("videos"), F.median(score).alias("median_score"), F.avg(score).alias("mean_score"), share(s >= 0.05).alias("positive"), share((s > -0.05) & (s < 0.05)).alias("neutral"), share(s <= -0.05).alias("negative"))
+    measures = [F.count("*").alias("n"), F.count_distinct("video_id").alias("videos"), F.avg(score).alias("mean_score"), share(s >= 0.05).alias("positive"), share((s > -0.05) & (s < 0.05)).alias("neutral"), share(s <= -0.05).alias("negative")]
+    out = group_stats(df.where(s.isNotNull()), by, measures, {"median_score": (score, 0.5)})
     return out.withColumn("net", F.col("positive") - F.col("negative"))
 
 
@@ -279,11 +286,12 @@ def layer_mix(df: DataFrame, topics: DataFrame, layers: list[str]) -> DataFrame:
 def topic_sentiment(df: DataFrame, brands: list[str], least: int = 5) -> DataFrame:
     """Wide per topic: n, median, positive, negative and net of each brand; gap and lead of the first two."""
     s = F.col("sentiment_score")
-    cells = []
+    cells, medians = [], {}
     for b in brands:
         mine = F.col("brand") == b
-        cells += [F.count(F.when(mine, 1)).alias(f"n_{b}"), F.median(F.when(mine, s)).alias(f"median_{b}"), F.avg(F.when(mine, (s >= 0.05).cast("int"))).alias(f"positive_{b}"), F.avg(F.when(mine, (s <= -0.05).cast("int"))).alias(f"negative_{b}")]
-    out = df.where(s.isNotNull()).groupBy("topic").agg(F.count("*").alias("n"), *cells)
+        cells += [F.count(F.when(mine, 1)).alias(f"n_{b}"), F.avg(F.when(mine, (s >= 0.05).cast("int"))).alias(f"positive_{b}"), F.avg(F.when(mine, (s <= -0.05).cast("int"))).alias(f"negative_{b}")]
+        medians[f"median_{b}"] = (F.when(mine, s), 0.5)
+    out = group_stats(df.where(s.isNotNull()), ["topic"], [F.count("*").alias("n"), *cells], medians)
     out = out.where(reduce(lambda a, b: a | b, [F.col(f"n_{b}") >= least for b in brands]) | (F.col("n") >= least))
     out = out.withColumns({f"net_{b}": F.col(f"positive_{b}") - F.col(f"negative_{b}") for b in brands})
     gap = F.col(f"net_{brands[0]}") - F.col(f"net_{brands[1]}")
@@ -294,13 +302,14 @@ def topic_sentiment(df: DataFrame, brands: list[str], least: int = 5) -> DataFra
 
 
 def channel_snapshot(df: DataFrame) -> DataFrame:
-    cells = df.groupBy("channel").agg(F.count("*").alias("n"), F.median("wer").alias("median_wer"), F.sum("view_count").alias("views"))
+    cells = group_stats(df, ["channel"], [F.count("*").alias("n"), F.sum("view_count").alias("views")], {"median_wer": ("wer", 0.5)})
     return cells.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
 def executive_summary(df: DataFrame, label: str = "content_type", q: float = 0.9) -> DataFrame:
     """One row of scalars over the whole table."""
-    return df.agg(F.count("*").alias("videos"), F.count("wer").alias("with_wer"), F.count_distinct("author_id").alias("authors"), F.sum((F.size(label) > 0).cast("long")).alias("labelled"), F.percentile("wer", F.lit(q)).alias("top_threshold"))
+    counts = [F.count("*").alias("videos"), F.count("wer").alias("with_wer"), F.count_distinct("author_id").alias("authors"), F.sum((F.size(label) > 0).cast("long")).alias("labelled")]
+    return group_stats(df, [], counts, {"top_threshold": ("wer", q)})
 
 
 def wide(long: DataFrame, index: str, columns: list[str], key: str, value: str) -> DataFrame:
@@ -318,8 +327,7 @@ def histogram(df: DataFrame, value: str, low: float, high: float, buckets: int,
 
 
 def box(df: DataFrame, value: str, by: str = "brand") -> DataFrame:
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    return df.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), q.alias("q")).select(by, "n", *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "q2", "q3"))])
+    return group_stats(df.where(F.col(value).isNotNull()), [by], [F.count("*").alias("n")], {"q1": (value, 0.25), "q2": (value, 0.5), "q3": (value, 0.75)})
 
 
 def unmapped_tags(df: DataFrame, known: dict[str, list[str]], brands: list[str], tags: str = "hashtags") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
+from .quantiles import group_stats
 
 
 def group_median(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
@@ -46,8 +47,10 @@ def suffix_minimum(value: Column, order: Column, *by: str) -> Column:
 
 def graded_relevance(df: DataFrame, by: str, value: str, name: str = "relevance") -> DataFrame:
     """0 to 4 by quintile edges within lists of five rows or more, else the dense rank less one."""
-    edges = df.groupBy(by).agg(F.count(value).alias("_n"), F.percentile(value, F.array(*[F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)])).alias("_e"))
-    rank = F.dense_rank().over(Window.partitionBy(by).orderBy(value)) - 1
+    edges = group_stats(df, [by], [F.count(value).alias("_n")], {f"_{q}": (value, q / 5) for q in (1, 2, 3, 4)})
+    edges = edges.select(by, "_n", F.array("_1", "_2", "_3", "_4").alias("_e"))
+    spread = F.when(F.col("_n") >= 5, F.xxhash64(value))  # only short lists need the rank: long ones are dealt
+    rank = F.dense_rank().over(Window.partitionBy(by, spread).orderBy(value)) - 1
     grade = F.size(F.filter("_e", lambda e: e < F.col(value)))
     return df.join(edges, by).withColumn("_rank", rank).withColumn(name, F.when(F.col("_n") >= 5, grade).otherwise(F.col("_rank"))).drop("_n", "_e", "_rank")
 
@@ -73,12 +76,22 @@ def top_ids(df: DataFrame, metric: str, n: int, key: str = "video_id", fallback:
 
 
 def diversified(df: DataFrame, k: int, *order: Column, group: str = "brand", line: str = "line", pinned: str | None = None) -> DataFrame:
-    """Round robin over groups, unseen lines of a group first; pinned rows lead.  The k first of each round order."""
-    within_line = F.row_number().over(Window.partitionBy(group, line).orderBy(*order))
-    rows = df.withColumn("_line_round", within_line)
-    rows = rows.withColumn("_round", F.row_number().over(Window.partitionBy(group).orderBy("_line_round", *order)))
-    lead = [F.desc(F.coalesce(F.col(pinned), F.lit(False)).cast("int"))] if pinned else []
-    return rows.orderBy(*lead, "_round", F.asc_nulls_last(group), *order).limit(k)
+    """Round robin over groups, unseen lines of a group first; pinned rows lead.  The k first of each round order.
+
+    Only the k first of a line, and of those the k first of a group, can be among the k first of all:
+    both limits are constants, so they apply before the shuffles.  Pinned rows (a curated list) are
+    ordered among themselves first.
+    """
+
+    def rounds(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_line_round", F.row_number().over(Window.partitionBy(group, line).orderBy(*order))).where(F.col("_line_round") <= k)
+        return rows.withColumn("_round", F.row_number().over(Window.partitionBy(group).orderBy("_line_round", *order))).where(F.col("_round") <= k)
+
+    if pinned is None:
+        return rounds(df).orderBy("_round", F.asc_nulls_last(group), *order).limit(k)
+    first = F.coalesce(F.col(pinned), F.lit(False))
+    rows = rounds(df.where(first)).unionByName(rounds(df.where(~first)))
+    return rows.orderBy(F.desc(first.cast("int")), "_round", F.asc_nulls_last(group), *order).limit(k)
 
 
 def pools(df: DataFrame, conditions: dict[str, Column], text: Column, least: int = 8) -> DataFrame:

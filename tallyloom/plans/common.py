@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features as fe
-from ..sources import landing
+from ..sources.landing import settled  # noqa: F401  (the query modules take it from here)
 from . import bindings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,12 +54,5 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fe.with_bri(fe.with_engagement(posts(spark, sf_dir)))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again, for what several jobs read."""
-    path = landing.work_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bindings.comments(spark, sf_dir)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as fe
 from ..operators import modeling as ml
+from ..operators.quantiles import table_quantiles
 from .common import duck, floats, measured, settled, table, tidy
 from .q_retrieval import vectors
 
@@ -216,7 +217,7 @@ def _(spark, sf):
     rows = ml.author_folds(frame(spark, sf), 4)
     train, test = rows.where("fold <> 0"), rows.where("fold = 0")
     built = plain().fit(train)
-    cut = train.agg(F.percentile("wer", F.lit(0.9)).alias("c")).first().c
+    cut = table_quantiles(train, "wer", [0.9])[0]
     t = built.transform(train).withColumn("label", (F.col("wer") >= cut).cast("double"))
     return ml.explain_linear(t, built.transform(test), ["followers", "duration", "official", "hour_sin", "hour_cos"], "label", "brand")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import tables as ag
+from ..operators.quantiles import group_stats
 from .common import BRANDS, comments, duck, floats, measured, table, tidy
 
 QUERIES, SQL = {}, {}
@@ -90,7 +91,7 @@ for how, part in (("row", 'PARTITION BY "row"'), ("col", 'PARTITION BY "col"'),
 
 @query("ag07_brand_counts", duck("SELECT brand, count(*) AS n, count(DISTINCT author_id) AS authors, median(view_count) AS median_views FROM posts GROUP BY brand", "median_views"))
 def _(spark, sf):
-    return measured(spark, sf).groupBy("brand").agg(F.count("*").alias("n"), F.count_distinct("author_id").alias("authors"), F.median("view_count").alias("median_views"))
+    return group_stats(measured(spark, sf), ["brand"], [F.count("*").alias("n"), F.count_distinct("author_id").alias("authors")], {"median_views": ("view_count", 0.5)})
 
 
 @query("ag08_brand_baseline", floats("SELECT c_mktsegment AS brand, median(o_totalprice) AS baseline, count(*) AS brand_n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1", "baseline"))
@@ -135,7 +136,7 @@ def _(spark, sf):
 
 @query("ag15_bubble", with_cte(COMMERCE, "SELECT level, count(*) AS n, avg(score) AS mean_score, median(bri) AS median_bri FROM (SELECT score, bri, unnest(brand_styles) AS level FROM cc) GROUP BY level", "mean_score", "median_bri"))
 def _(spark, sf):
-    return ag.levels_of(commerce(spark, sf), "brand_styles").groupBy(F.col("brand_styles").alias("level")).agg(F.count("*").alias("n"), F.avg("commerce_score").alias("mean_score"), F.median("bri").alias("median_bri"))
+    return group_stats(ag.levels_of(commerce(spark, sf), "brand_styles"), {"level": "brand_styles"}, [F.count("*").alias("n"), F.avg("commerce_score").alias("mean_score")], {"median_bri": ("bri", 0.5)})
 
 
 @query("ag16_commerce_by_brand_and_line", with_cte(COMMERCE, f"SELECT brand, product_lines, {RATES}, {MIX.format(d='product_lines')} FROM (SELECT * EXCLUDE (product_lines), unnest(product_lines) AS product_lines FROM cc) GROUP BY brand, product_lines", *MIX_F))
@@ -212,7 +213,7 @@ def _(spark, sf):
 
 @query("ag28_partner_mix", with_cte(CREATORS, "SELECT visual_format AS partner, count(*) AS n, median(bri) AS median_bri FROM k WHERE is_collab GROUP BY 1", "median_bri"))
 def _(spark, sf):
-    return creators(spark, sf).where("is_collab").groupBy(F.col("visual_format").alias("partner")).agg(F.count("*").alias("n"), F.median("bri").alias("median_bri"))
+    return group_stats(creators(spark, sf).where("is_collab"), {"partner": "visual_format"}, [F.count("*").alias("n")], {"median_bri": ("bri", 0.5)})
 
 
 PERCEPTION = "count(*) AS n, count(DISTINCT video_id) AS videos, median(sentiment_score) AS median_score, avg(sentiment_score) AS mean_score, avg(CAST(sentiment_score >= 0.05 AS INT)) AS positive, avg(CAST(sentiment_score > -0.05 AND sentiment_score < 0.05 AS INT)) AS neutral, avg(CAST(sentiment_score <= -0.05 AS INT)) AS negative, avg(CAST(sentiment_score >= 0.05 AS INT)) - avg(CAST(sentiment_score <= -0.05 AS INT)) AS net"

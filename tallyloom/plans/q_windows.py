@@ -198,7 +198,7 @@ def _(spark, sf):
 @query("ts03_adjusted_p", floats("SELECT p_partkey, least(1, min(s) OVER (ORDER BY p, p_partkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_adj FROM (SELECT p_partkey, p, p * (SELECT count(*) FROM part) / row_number() OVER (ORDER BY p, p_partkey) AS s FROM (SELECT p_partkey, ((p_partkey * 7919) % 1009) / 1009 AS p FROM part))", "p_adj"))
 def _(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", ((F.col("p_partkey") * 7919) % 1009 / 1009).alias("p"))
-    return ts.adjust(p, "p", "p_adj", "p_partkey").select("p_partkey", "p_adj")
+    return ts.adjust(p, "p", "p_adj").select("p_partkey", "p_adj")
 
 
 @query("ts04_spearman", floats("SELECT count(*) AS n, corr(a, b) AS rho FROM (SELECT avg(ra) OVER (PARTITION BY n_chars) AS a, avg(rb) OVER (PARTITION BY quality) AS b FROM (SELECT *, row_number() OVER (ORDER BY n_chars) AS ra, row_number() OVER (ORDER BY quality) AS rb FROM documents JOIN labels USING (doc_id)))", "rho"))

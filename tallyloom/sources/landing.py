@@ -32,6 +32,13 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base}/tables/{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again, for what several passes read."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """JSON lines under one explicit schema: missing keys are null, blank lines are skipped, broken ones keep their text."""
     return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
