@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..functions.numbers import dot, number, unit
+from ..functions.numbers import number, unit
+from ..sources.landing import settled
 from .quantiles import exact_quantiles
 from .windows import smoothed_overlap, tiered_order
 
@@ -69,38 +72,92 @@ def high_performers(df: DataFrame, value: str = "wer", q: float = 0.9, views: in
     return df.crossJoin(F.broadcast(cut)).where((F.col(value) >= F.col("_cut")) & (F.col("view_count") >= views)).drop("_cut")  # one row
 
 
-def similar(queries: DataFrame, pool: DataFrame, k: int = 6, key: str = "video_id", broadcast_rows: int = 20_000) -> DataFrame:
+def similar(queries: DataFrame, pool: DataFrame, k: int = 6, key: str = "video_id", block_rows: int = 2_000) -> DataFrame:
     """The k most similar of the pool for each query, at most one per author.
 
     Both sides: key, author_id, text_vec, visual_vec (null if missing), strategy, categories
     (arrays).  A part that the query lacks is dropped without new weights; a candidate without
-    the vector scores 0 there.  The stated query set is the small side: it is broadcast below a
-    checked number of rows and handled in blocks of that size beyond it.
+    the vector scores 0 there.  Equal scores: within an author the larger key, between authors
+    the smaller.  Rows with a null key are left out.
+
+    Both sides are dealt to blocks of about ``block_rows`` by hash of the key, and each pair of
+    blocks is one task's matrix products.  A task passes on the authors that reach the k-th best
+    score of its block, ties included, so the final ranking is exact.
     """
-    def side(df: DataFrame, p: str) -> DataFrame:
-        empty = F.expr(EMPTY)
-        return df.select(F.col(key).alias(f"{p}id"), F.col("author_id").alias(f"{p}author"), unit(F.col("text_vec")).alias(f"{p}text"), unit(F.col("visual_vec")).alias(f"{p}visual"), F.coalesce("strategy", empty).alias(f"{p}strategy"), F.coalesce("categories", empty).alias(f"{p}categories"))
-
-    q, c = side(queries, "q_"), side(pool, "c_")
-    n = q.count()
-    blocks = max(1, -(-n // broadcast_rows))
-    parts = []
-    for b in range(blocks):
-        mine = q if blocks == 1 else q.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b)
-        pairs = c.crossJoin(F.broadcast(mine)).where("c_id <> q_id")
-        sims = {p: F.when(F.col(f"q_{p}").isNotNull(), F.coalesce(dot(F.col(f"q_{p}"), F.col(f"c_{p}")), F.lit(0.0))) for p in ("text", "visual")}
-        overlap = F.when(F.size("q_strategy") > 0, smoothed_overlap(F.col("q_strategy"), F.col("c_strategy")))
-        conflict = (F.size("q_categories") > 0) & (F.size("c_categories") > 0) & ~F.arrays_overlap("q_categories", "c_categories")
-        pairs = pairs.select("q_id", "c_id", "c_author", sims["text"].alias("text_sim"), sims["visual"].alias("visual_sim"), overlap.alias("overlap"), conflict.alias("category_conflict"))
-        score = sum((F.coalesce(F.col(x), F.lit(0.0)) * w for x, w in (("text_sim", WEIGHTS["text"]), ("visual_sim", WEIGHTS["visual"]), ("overlap", WEIGHTS["strategy"]))), F.lit(0.0)) - F.when(F.col("category_conflict"), CONFLICT).otherwise(0.0)
-        known = F.col("text_sim").isNotNull() | F.col("visual_sim").isNotNull() | F.col("overlap").isNotNull()
-        rows = pairs.where(known).withColumn("score", F.round(score, 9))  # equal up to rounding is a tie
-        # the best of an author is a map-side combined aggregate, so few rows are ranked
-        top = F.max(F.struct("score", F.struct("c_id", "text_sim", "visual_sim", "overlap", "category_conflict").alias("r")))
-        rows = rows.groupBy("q_id", "c_author").agg(top.alias("t")).select("q_id", F.col("c_author").alias("author_id"), "t.score", "t.r.*")
-        rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "c_id"))
-        parts.append(rows.withColumn("rank", rank).where(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, parts).withColumnsRenamed({"q_id": "query_id", "c_id": key})
+    sides = [_dealt(df, key, block_rows) for df in (queries, pool)]
+    (q, nq), (c, nc) = sides
+    q = q.withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))).withColumnRenamed("_b", "_qb")
+    c = c.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumnRenamed("_b", "_cb")
+    kind, author = pool.schema[key].dataType.simpleString(), pool.schema["author_id"].dataType.simpleString()
+    schema = f"q_id {queries.schema[key].dataType.simpleString()}, c_id {kind}, author_id {author}, score double, text_sim double, visual_sim double, overlap double, category_conflict boolean"
+    found = q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInPandas(lambda a, b: _best_of_block(a, b, k), schema)
+    top = F.max(F.struct("score", F.struct("c_id", "text_sim", "visual_sim", "overlap", "category_conflict").alias("r")))
+    rows = found.groupBy("q_id", "author_id").agg(top.alias("t")).select("q_id", "author_id", "t.score", "t.r.*")
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "c_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).withColumnsRenamed({"q_id": "query_id", "c_id": key})
+
+
+def _dealt(df: DataFrame, key: str, block_rows: int) -> tuple[DataFrame, int]:
+    """The columns that are compared with a block number, and the number of blocks."""
+    empty = F.expr(EMPTY)
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), "author_id", unit(F.col("text_vec")).alias("text"), unit(F.col("visual_vec")).alias("visual"), F.coalesce("strategy", empty).alias("strategy"), F.coalesce("categories", empty).alias("categories"))
+    rows = settled(rows)  # counted, then read
+    blocks = max(1, -(-rows.count() // block_rows))
+    return rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), blocks
+
+
+def _cosines(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Products of unit vectors: null (NaN) in the row of a query without one, 0 for a candidate without one."""
+    have_a, have_b = a.notna().to_numpy(), b.notna().to_numpy()
+    out = np.zeros((len(a), len(b)))
+    if have_a.any() and have_b.any():
+        out[np.ix_(have_a, have_b)] = np.stack(a[have_a].to_list()) @ np.stack(b[have_b].to_list()).T
+    out[~have_a] = np.nan
+    return out
+
+
+def _common(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the sets on both sides and of their intersections."""
+    words: dict = {}
+    hot = []
+    for side in (a, b):
+        hot.append([sorted({words.setdefault(x, len(words)) for x in labels}) for labels in side])
+    flags = []
+    for side in hot:
+        m = np.zeros((len(side), max(1, len(words))))
+        for i, at in enumerate(side):
+            m[i, at] = 1
+        flags.append(m)
+    return flags[0].sum(1), flags[1].sum(1), flags[0] @ flags[1].T
+
+
+def _best_of_block(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best candidate of each author that reaches the query's k-th best author of this block."""
+    columns = ["q_id", "c_id", "author_id", "score", "text_sim", "visual_sim", "overlap", "category_conflict"]
+    if q.empty or c.empty:
+        return pd.DataFrame(columns=columns)
+    author = c["author_id"].astype(object).where(c["author_id"].notna(), None)
+    code = pd.factorize(author, use_na_sentinel=False)[0]
+    order = np.lexsort((pd.factorize(c["id"], sort=True)[0], code))  # an author's rows together, the larger key last
+    c, author, code = c.iloc[order].reset_index(drop=True), author.iloc[order].to_numpy(), code[order]
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    text, visual = _cosines(q["text"], c["text"]), _cosines(q["visual"], c["visual"])
+    nq, nc, both = _common(q["strategy"], c["strategy"])
+    overlap = both / (nq[:, None] + nc[None, :] - both + 1)
+    overlap[nq == 0] = np.nan
+    nq, nc, both = _common(q["categories"], c["categories"])
+    conflict = (nq[:, None] > 0) & (nc[None, :] > 0) & (both == 0)
+    score = np.nan_to_num(text) * WEIGHTS["text"] + np.nan_to_num(visual) * WEIGHTS["visual"] + np.nan_to_num(overlap) * WEIGHTS["strategy"] - CONFLICT * conflict
+    score = np.round(score, 9)  # equal up to rounding is a tie
+    score[np.isnan(text) & np.isnan(visual) & np.isnan(overlap)] = -np.inf
+    score[q["id"].to_numpy()[:, None] == c["id"].to_numpy()[None, :]] = -np.inf
+    best = np.maximum.reduceat(score, starts, axis=1)
+    least = np.partition(best, -k, axis=1)[:, -k] if best.shape[1] > k else np.full(len(q), -np.inf)
+    at_q, at_a = np.nonzero((best >= least[:, None]) & (best > -np.inf))
+    ends = np.r_[starts[1:], len(c)]
+    at_c = np.array([starts[a] + np.flatnonzero(score[i, starts[a] : ends[a]] == best[i, a])[-1] for i, a in zip(at_q, at_a, strict=True)], dtype=int)
+    pick = lambda m: pd.Series(m[at_q, at_c]).astype(object).where(~np.isnan(m[at_q, at_c]), None)
+    return pd.DataFrame({"q_id": q["id"].to_numpy()[at_q], "c_id": c["id"].to_numpy()[at_c], "author_id": author[at_c], "score": score[at_q, at_c] + 0.0, "text_sim": pick(text), "visual_sim": pick(visual), "overlap": pick(overlap), "category_conflict": conflict[at_q, at_c]}, columns=columns)
 
 
 def shared_labels(pairs: list[tuple[str, str]], limit: int = 4) -> Column:

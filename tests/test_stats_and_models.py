@@ -136,7 +136,7 @@ def test_similar_drops_missing_parts_and_keeps_one_per_author(spark):
     q = spark.createDataFrame([("q", "me", [1.0, 0.0], None, ["s"], ["shoes"])], schema)
     pool = spark.createDataFrame([("a1", "a", [1.0, 0.0], [1.0, 0.0], ["s"], ["shoes"]), ("a2", "a", [1.0, 0.0], None, [], ["shoes"]), ("b", "b", None, None, ["s"], ["bags"]), ("q", "me", [1.0, 0.0], None, None, None)], schema)
     for block in (20_000, 1):
-        got = {r.video_id: (r["rank"], round(r.score, 6), r.visual_sim) for r in rt.similar(q, pool, broadcast_rows=block).collect()}
+        got = {r.video_id: (r["rank"], round(r.score, 6), r.visual_sim) for r in rt.similar(q, pool, block_rows=block).collect()}
         assert got == {"a1": (1, 0.5, None), "b": (2, 0.0, None)}
 
 
