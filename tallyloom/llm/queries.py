@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, oracle, toxicity
+from . import language_id, merkle, oracle, toxicity
+from .bpe_codec import decode_ids, encode_texts
 from .common import small_batches
 from .decontaminate import benchmark_overlap, is_contaminated
 from .html_extract import extract
@@ -18,6 +19,7 @@ from .quality_rules import apply_rules
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
+from .vector_codes import codebooks_digest, compress
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +87,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), scale=1024, parts=4, entries=256, rounds=4)
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    decoded = decode_ids(encoded, ranks)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    leaf = lambda text: merkle.digest(*map(merkle.field, (F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)))
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(fold(5) == 0, leaf(lowered))
+    found = merkle.merkle_manifest(docs, leaf(F.col("text")), "source", "doc_id", keep={"doc_id": F.col("doc_id"), "tampered": tampered})
+    found = found.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("steps")))
+    proof = F.sha2(merkle.siblings(F.col("steps")).cast("binary"), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
@@ -96,6 +121,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_bpe_codec": op12_bpe_codec,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": oracle.OP1, "op3_line_dedup": oracle.OP3, "op7_substring_dedup": oracle.OP7, "op9_quality_rules": oracle.OP9}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": oracle.OP1,
+    "op3_line_dedup": oracle.OP3,
+    "op7_substring_dedup": oracle.OP7,
+    "op9_quality_rules": oracle.OP9,
+    "op11_vector_codes": oracle.vector_codes(),
+    "op13_merkle_manifest": oracle.merkle(),
+}
