@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import without
-from .token_counts import PRE_TOKEN, crowded
+from .token_counts import PRE_TOKEN
 
 #: Entries of a memo before it is emptied, and the longest key that enters one.
-MEMO, MEMO_KEY = 300_000, 64
-#: Bytes that are merged without a tree.
-LEAF = 4
+MEMO, MEMO_KEY = 500_000, 64
+#: Bytes that are merged without a tree, and bytes up to which pairs are scanned rather than kept in a heap.
+LEAF, SHORT = 8, 48
+NEVER = 1 << 60
 #: Tokens that are looked up at once when decoding.
 BLOCK = 4096
 
@@ -60,19 +61,30 @@ class Codec:
     def __init__(self, ranks: bytes, pattern: str):
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, ranks.splitlines()))}
         self.token = {rank: token for token, rank in self.ranks.items()}
+        self.code = {token: rank.to_bytes(4, "little") for token, rank in self.ranks.items()}
+        self.byte = [bytes([i]) for i in range(256)]
         # white space is the Unicode property, without the separators U+001C to U+001F
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
-        # between two other characters a single space starts a pre-token of this pattern, so pieces between spaces are independent
-        self.by_space = pattern == PRE_TOKEN
         self.words = _Memo(lambda word: self.packed(word.encode("utf-8")))
-        self.pieces = _Memo(lambda piece: b"".join(map(self.words.__getitem__, self.split(" " + piece))))
         self.pairs = _Memo(self.merged)
 
     # --- encoding: the monoid
 
     def merged(self, raw: bytes) -> list[bytes]:
-        """Tokens of a short stretch by merging: the lowest rank first, leftmost among equals."""
+        """Tokens of a stretch by merging: the lowest rank first, leftmost among equals."""
         n, ranks = len(raw), self.ranks
+        if n <= SHORT:
+            get, parts = ranks.get, [self.byte[b] for b in raw]
+            rank = [get(raw[i : i + 2], NEVER) for i in range(n - 1)]
+            while rank and (least := min(rank)) < NEVER:
+                i = rank.index(least)
+                parts[i] += parts.pop(i + 1)
+                del rank[i]
+                if i < len(rank):
+                    rank[i] = get(parts[i] + parts[i + 1], NEVER)
+                if i:
+                    rank[i - 1] = get(parts[i - 1] + parts[i], NEVER)
+            return parts
         after, before, end = [*range(1, n), -1], [-1, *range(n - 1)], list(range(1, n + 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
         heapq.heapify(heap)
@@ -99,16 +111,15 @@ class Codec:
         """The product of two encodings: that of their bytes together."""
         if not left or not right:
             return left or right
-        if self.fits(left[-1], right[0]):
-            return left + right
         a = b = 1  # tokens of the window on each side of the seam
+        window = self.pairs[left[-1] + right[0]]
         while True:
-            window = self.merged(b"".join(left[-a:] + right[:b]))
-            stable_left = a >= len(left) or self.fits(left[-a - 1], window[0])
-            stable_right = b >= len(right) or self.fits(window[-1], right[b])
+            stable_left = a >= len(left) or window[0] == left[-a] or self.fits(left[-a - 1], window[0])
+            stable_right = b >= len(right) or window[-1] == right[b - 1] or self.fits(window[-1], right[b])
             if stable_left and stable_right:
                 return left[:-a] + window + right[b:]
             a, b = (a if stable_left else min(2 * a, len(left))), (b if stable_right else min(2 * b, len(right)))
+            window = self.merged(b"".join(left[-a:] + right[:b]))
 
     def tree(self, raw: bytes) -> list[bytes]:
         """Tokens of one pre-token: its halves' tokens, joined."""
@@ -119,16 +130,11 @@ class Codec:
 
     def packed(self, raw: bytes) -> bytes:
         """Ids of one pre-token as little-endian unsigned 32-bit integers; one that is a token itself is that token."""
-        rank = self.ranks.get(raw)
-        tokens = [rank] if rank is not None else [self.ranks[t] for t in self.tree(raw)]
-        return b"".join(t.to_bytes(4, "little") for t in tokens)
+        return self.code.get(raw) or b"".join(map(self.code.__getitem__, self.tree(raw)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, packed.  No special strings: they are ordinary text."""
-        if not self.by_space or not text or text[0] == " " or text[-1] == " " or crowded(text):
-            return b"".join(map(self.words.__getitem__, self.split(text)))
-        first, *rest = text.split(" ")
-        return b"".join(map(self.words.__getitem__, self.split(first))) + b"".join(map(self.pieces.__getitem__, rest))
+        return b"".join(map(self.words.__getitem__, self.split(text)))
 
     # --- decoding
 
