@@ -2,9 +2,9 @@
 
 A text is the set of its hashed words.  The score is the logistic of a bias, a weight for each
 term, and the inner products of the latent vectors of each pair of terms, so two words that
-are harmless alone can weigh together what an additive model misses.  The machine holds the terms
-that tell most about the label, alone or in pairs.  It is fitted with numpy on a bounded,
-hash-chosen sample of labelled rows; its size is fixed, it is broadcast, and scoring is one pass
+are harmless alone can weigh together what an additive model misses.  The machine holds every
+term of its training rows, a bounded, hash-chosen sample of the labelled ones, and is fitted to them
+with numpy; its size is bounded by the number of buckets, it is broadcast, and scoring is one pass
 over all whole texts without a shuffle.
 """
 
@@ -83,19 +83,18 @@ def _logit(ones: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.log((ones + 0.5) / (of - ones + 0.5))
 
 
-def single_terms(df1: np.ndarray, df0: np.ndarray, n1: float, n0: float, most: int, least_g: float) -> np.ndarray:
-    """The ``most`` buckets whose presence says most about the label: likelihood ratio of the 2 x 2 table, ``least_g`` or more."""
+def single_terms(df1: np.ndarray, df0: np.ndarray, n1: float, n0: float, least_g: float) -> np.ndarray:
+    """Features whose presence says much about the label: likelihood ratio of the 2 x 2 table of ``least_g`` or more."""
     seen, n = df1 + df0, n1 + n0
     part = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0)
     g = 2 * (part(df1, seen * n1 / n) + part(df0, seen * n0 / n) + part(n1 - df1, (n - seen) * n1 / n) + part(n0 - df0, (n - seen) * n0 / n))
-    chosen = np.lexsort((np.arange(len(g)), -g))[:most]
-    return chosen[g[chosen] >= least_g]
+    return np.flatnonzero(g >= least_g)
 
 
 def joint_terms(sets: list[np.ndarray], y: np.ndarray, weight: np.ndarray, df1: np.ndarray, df0: np.ndarray, among: int, pairs: int, least_z: float) -> np.ndarray:
-    """Buckets of the ``pairs`` pairs whose joint presence says most beyond both terms.
+    """Features of the ``pairs`` pairs whose joint presence says most beyond both terms.
 
-    Among the ``among`` most frequent buckets, a pair is held against what its terms' log odds add up
+    Among the ``among`` most frequent features, a pair is held against what its terms' log odds add up
     to; it counts if 20 rows or more hold both and the label's share is ``least_z`` standard errors off.
     """
     seen = df1 + df0
@@ -121,58 +120,96 @@ def joint_terms(sets: list[np.ndarray], y: np.ndarray, weight: np.ndarray, df1:
     return frequent[np.unique(np.concatenate(np.unravel_index(best, z.shape)))] if len(best) else frequent[:0]
 
 
-def fit(rows: list, k: int = 4, features: int = 512, least_g: float = 15.0, among: int = 1024, pairs: int = 64, least_z: float = 6.0, steps: int = 200, penalty: tuple[float, float] = (1e-4, 1e-5), seed: int = 3) -> FactorizationMachine:
+def fit(rows: list, k: int = 4, least_g: float = 15.0, among: int = 1024, pairs: int = 64, least_z: float = 6.0, steps: int = 100, penalty: tuple[float, float] = (1e-4, 1e-5), prior: tuple[float, float] = (1.0, 10.0), seed: int = 3) -> FactorizationMachine:
     """Fit on (label, distinct buckets) rows.
 
-    The machine holds the buckets that say most about the label alone (``single_terms``) and in pairs
-    (``joint_terms``).  Linear weights start at zero, factors at random; both are found by Adam on the
-    mean logistic loss with quadratic penalties, the linear one heavier, so that what single terms
-    and pairs both explain goes to the pairs.  Equal rows count as one with a weight.  Without rows
-    of both labels every score is the labels' mean (0.5 if none).
+    Every bucket of the rows is a feature with a weight and factors; none is dropped.  Descent on the
+    logistic loss takes two paces.  Terms that say much alone (``single_terms``) or in pairs
+    (``joint_terms``) start with random factors and move by Adam with small quadratic penalties, the linear
+    one heavier, so that what single terms and pairs both explain goes to the pairs.  All other terms,
+    of which most are rare, start at zero and move by their slope over a bound on its change, held to
+    normal priors of precision ``prior`` (weights, factors), so a term counts as far as its own rows
+    support it; their factors follow every tenth step.  Equal rows count as one with a weight.  Without
+    rows of both labels every score is the labels' mean (0.5 if none).
     """
     feature_of = np.full(1 << TERM_BITS, -1, np.int32)
     times: dict[tuple[bytes, int], int] = {}
     for label, terms in rows:
         times[bytes(terms), int(label)] = times.get((bytes(terms), int(label)), 0) + 1
-    y, weight = np.array([label for _, label in times], np.float32), np.array(list(times.values()), np.float32)
+    y, weight = np.array([label for _, label in times], np.float64), np.array(list(times.values()), np.float64)
     sets = [np.frombuffer(terms, "<i4") for terms, _ in times]
     n1, n0 = float((y * weight).sum()), float(((1 - y) * weight).sum())
     bias = float(np.log((n1 + 0.5) / (n0 + 0.5)))
-    none = FactorizationMachine(bias, np.zeros(1), np.zeros((1, k)), feature_of)
-    if not (n1 and n0):
-        return none
-    df1, df0 = np.zeros(1 << TERM_BITS), np.zeros(1 << TERM_BITS)
+    if not (n1 and n0 and any(map(len, sets))):
+        return FactorizationMachine(bias, np.zeros(1), np.zeros((1, k)), feature_of)
+    known = np.unique(np.concatenate(sets))
+    feature_of[known] = np.arange(len(known))
+    sets = [feature_of[s] for s in sets]
+    df1, df0 = np.zeros(len(known)), np.zeros(len(known))
     for s, label, w in zip(sets, y, weight, strict=True):
         (df1 if label else df0)[s] += w
-    chosen = np.union1d(single_terms(df1, df0, n1, n0, features, least_g), joint_terms(sets, y, weight, df1, df0, among, pairs, least_z))
-    if not len(chosen):
-        return none
-    feature_of[chosen] = np.arange(len(chosen))
-    # rows with the same features and label count as one
-    merged: dict[tuple[bytes, float], float] = {}
-    for s, label, w in zip(sets, y, weight, strict=True):
-        f = feature_of[s]
-        key = np.sort(f[f >= 0]).tobytes(), label
-        merged[key] = merged.get(key, 0) + w
-    x = np.zeros((len(merged), len(chosen)), np.float32)
-    for i, (f, _) in enumerate(merged):
-        x[i, np.frombuffer(f, np.int32)] = 1
-    y, weight = np.array([label for _, label in merged]), np.array(list(merged.values())) / (n1 + n0)
-    rng = np.random.default_rng(seed)
-    theta = [np.array([bias]), np.zeros(len(chosen)), rng.normal(0, 0.1, (len(chosen), k))]
+    chosen = np.union1d(single_terms(df1, df0, n1, n0, least_g), joint_terms(sets, y, weight, df1, df0, among, pairs, least_z)).astype(int)
+    place = np.full(len(known), -1)
+    place[chosen] = np.arange(len(chosen))
+    every = _Cells(sets, len(known))
+    told = every.part(place)
+    linear, factors, total = np.zeros(len(known)), np.zeros((len(known), k)), n1 + n0
+    theta = [np.array([bias]), np.zeros(len(chosen)), np.random.default_rng(seed).normal(0, 0.1, (len(chosen), k))]
     mean, square = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
+    other, length = place < 0, np.array([len(s) for s in sets])
+    bound, speed = 0.25 * every.by_feature(weight * length), np.zeros(len(known))
+    rest_s, rest_q = np.zeros((len(sets), k)), np.zeros(len(sets))
     for step in range(1, steps + 1):
-        b, w, v = theta
-        s = x @ v
-        z = b[0] + x @ w + 0.5 * (s**2 - (x @ (v**2))).sum(1)
+        ahead = linear + (step - 1) / (step + 2) * speed
+        s, q = told.factor_sums(theta[2])
+        s, q = s + rest_s, q + rest_q
+        z = theta[0][0] + told.by_row(theta[1]) + every.by_row(ahead) + 0.5 * ((s**2).sum(1) - q)
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        xd = x.T @ d
-        grads = [np.array([d.sum()]), xd + penalty[0] * w, x.T @ (d[:, None] * s) - v * xd[:, None] + penalty[1] * v]
-        for t, m, q, g in zip(theta, mean, square, grads, strict=True):
+        grads = told.slope(d / total, s, theta[2])
+        grads = [grads[0], grads[1] + penalty[0] * theta[1], grads[2] + penalty[1] * theta[2]]
+        speed = ahead - other * (every.by_feature(d) + prior[0] * ahead) / (bound + prior[0]) - linear
+        linear = linear + speed
+        if step % 10 == 0:
+            steep = 0.25 * every.by_feature(weight * length * (s**2).sum(1))
+            slope = every.slope(d, s, factors)[2] + prior[1] * factors
+            factors = factors - other[:, None] * slope / (steep + prior[1])[:, None]
+            rest_s, rest_q = every.factor_sums(factors)
+        for t, m, v, g in zip(theta, mean, square, grads, strict=True):
             m += 0.1 * (g - m)
-            q += 0.01 * (g**2 - q)
-            t -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-8)
-    return FactorizationMachine(float(theta[0][0]), theta[1], theta[2], feature_of)
+            v += 0.01 * (g**2 - v)
+            t -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    linear[chosen], factors[chosen] = theta[1], theta[2]
+    return FactorizationMachine(float(theta[0][0]), linear, factors, feature_of)
+
+
+class _Cells:
+    """The features of all rows as pairs (row, feature), and sums over them."""
+
+    def __init__(self, sets: list[np.ndarray], features: int):
+        self.rows, self.features = len(sets), features
+        self.row, self.at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets).astype(np.int64)
+
+    def part(self, place: np.ndarray) -> _Cells:
+        """Only the features that have a place, by it."""
+        out = object.__new__(_Cells)
+        kept = place[self.at] >= 0
+        out.rows, out.features, out.row, out.at = self.rows, int(place.max(initial=-1)) + 1, self.row[kept], place[self.at[kept]]
+        return out
+
+    def by_row(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, x[self.at], self.rows)
+
+    def by_feature(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, x[self.row], self.features)
+
+    def factor_sums(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's sum of factors, and its sum of their squares."""
+        return np.stack([self.by_row(f) for f in v.T], 1), self.by_row((v**2).sum(1))
+
+    def slope(self, d: np.ndarray, s: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+        """Gradient by bias, linear weights and factors, from the rows' slopes ``d`` and sums of factors ``s``."""
+        once = self.by_feature(d)
+        return [np.array([d.sum()]), once, np.stack([self.by_feature(d * part) for part in s.T], 1) - v * once[:, None]]
 
 
 def score_toxicity(df: DataFrame, model: FactorizationMachine, text_col: str = "text", keep_text: bool = False) -> DataFrame:
