@@ -62,9 +62,10 @@ ARTICLE_WORDS = set("article entry post story content".split())
 STATES = re.compile(r"(?:has|no|with|without)[_-]", re.I)
 REPLIES = set("comment comments commentlist replies reply respond disqus".split())
 ADVERTS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?)(?=$|[\s_-])", re.I)
-TOO_FEW = 3
+#: Pages of a host from which on it has a template.
+LEAST_PAGES = 2
 MARKED = re.compile(r"/(?:article|main)(?:\.[^/]*)?(?=/|$)")
-SUMS = ["pages", "uses", "low", "high", "chars", "links", "runs"]
+SUMS = ["pages", "uses", "low", "high", "chars", "links", "anchors"]
 FIELDS = "host string, token long, element string, evidence long, " + ", ".join(f"{c} long" for c in SUMS)
 #: What an element's tag, role or style says, beside the degrees of ``_doubt``.
 SURE = 4
@@ -103,13 +104,15 @@ def _doubt(names: str, inside_article: bool) -> int:
 @dataclass
 class Page:
     """A page's runs of text as (element, text, characters in links), and by element, in page order after a root 0:
-    the element around it, its path, what its tag and names say by themselves, and whether it is article or main."""
+    the element around it, its path, what its tag and names say by themselves, whether it is article or main, and how
+    many links begin in it."""
 
     runs: list[tuple[int, str, int]]
     around: list[int]
     paths: list[str]
     evidence: list[int]
     marked: list[bool]
+    anchors: list[int]
 
     def below(self, own: list[int]) -> list[int]:
         """Sums over each element and all below it."""
@@ -119,17 +122,16 @@ class Page:
         return out
 
     def elements(self) -> dict[str, list[int]]:
-        """By path: uses, characters below, those in links, runs below, evidence."""
-        sums = [[0] * len(self.paths) for _ in range(3)]
+        """By path: uses, characters below, those in links, links below, evidence."""
+        sums = [[0] * len(self.paths) for _ in range(2)]
         for k, words, linked in self.runs:
             sums[0][k] += len(words)
             sums[1][k] += linked
-            sums[2][k] += 1
-        chars, links, runs = (self.below(x) for x in sums)
+        chars, links, anchors = (self.below(x) for x in (*sums, self.anchors))
         out: dict[str, list[int]] = {}
         for k in range(1, len(self.paths)):
             e = out.setdefault(self.paths[k], [0, 0, 0, 0, 0])
-            e[:] = e[0] + 1, e[1] + chars[k], e[2] + links[k], e[3] + runs[k], max(e[4], self.evidence[k])
+            e[:] = e[0] + 1, e[1] + chars[k], e[2] + links[k], e[3] + anchors[k], max(e[4], self.evidence[k])
         return out
 
 
@@ -146,7 +148,7 @@ class Template:
 
 def read_page(text: str) -> Page:
     runs: list[tuple[int, str, int]] = []
-    around, paths, evidence, marked, inside = [0], [""], [0], [False], [False]
+    around, paths, evidence, marked, inside, anchors = [0], [""], [0], [False], [False], [0]
     stack: list[tuple[str, int]] = [("", 0)]
     run: list[str] = []
     in_link, links = False, 0
@@ -173,6 +175,7 @@ def read_page(text: str) -> Page:
         if tag not in BLOCKS:
             if tag == "a":
                 in_link = not m["close"]
+                anchors[stack[-1][1]] += in_link and not skip
             if skip:
                 skip[1] += (-1 if m["close"] else 1) * (tag == skip[0])
                 skip = skip if skip[1] else None
@@ -211,10 +214,11 @@ def read_page(text: str) -> Page:
         evidence.append(SURE if _furniture(tag, attrs, inside[above]) else doubt)
         marked.append(tag in ("article", "main"))
         inside.append(inside[above] or marked[-1])
+        anchors.append(0)
     if end < len(text) and not skip:
         run.append(text[end:])
     flush()
-    return Page(runs, around, paths, evidence, marked)
+    return Page(runs, around, paths, evidence, marked, anchors)
 
 
 def _names(raw: str) -> str:
@@ -257,7 +261,7 @@ def _hash(text: str, seed: int = 0) -> int:
 
 def occurrence_vectors(pages: DataFrame) -> DataFrame:
     """Per host (and over all hosts as ``*``) each token's support, uses, vector hash (two sums), characters, those in
-    links, runs, and the evidence of an element.  ``pages``: id, url, html.  Tasks add up what they have before the shuffle.
+    links, the number of links, and the evidence of an element.  ``pages``: id, url, html.  Tasks add up what they have before the shuffle.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,10 +327,10 @@ def nested(elements: dict[str, int]) -> dict[str, str]:
 
 
 def judge_template(elements: dict[str, tuple[int, int, int, int, int]], pages: int, total: int, linked: int = 0) -> tuple[list[str], list[str], list[str]]:
-    """(roots, out, spared) of a template, from each element's class, characters, those in links, runs, and evidence.
+    """(roots, out, spared) of a template, from each element's class, characters, those in links, number of links, and evidence.
 
     An element with more than half of all text outside links is spared (comments only if nothing else is
-    left).  One that is mostly links, three or more a page, and no heading, is out; of
+    left).  One that is mostly links, three or more of them a page, and no heading, is out; of
     the others those are out whose tag or names say so, but names don't count on what holds most of the
     text in article and main elements.
     """
@@ -337,13 +341,13 @@ def judge_template(elements: dict[str, tuple[int, int, int, int, int]], pages: i
     for last in (False, True):
         out, spared, kept = set(), set(), {"": total} | {p: elements[p][1] for p in order}
         for p in order:
-            _, chars, links, runs, evidence = elements[p]
+            _, chars, links, anchors, evidence = elements[p]
             if any(p.startswith(x + "/") for x in out):
                 kept[p] = 0
                 continue
             most = 2 * (chars - links) > total - linked
             wraps = 0 < evidence < 3 and 2 * held(p) > held("") > 0
-            menu = 2 * links > chars and runs >= 3 * pages and not most and not re.search(r"/h[1-6][^/]*$|/(?:article|main)[^/]*$", p)
+            menu = 2 * links > chars and anchors >= 3 * pages and not most and not re.search(r"/h[1-6][^/]*$|/(?:article|main)[^/]*$", p)
             names = evidence in (1, 2) and not most and not wraps
             if menu or (not last and (names or evidence == 3)) or (evidence == SURE and not most):
                 out.add(p)
@@ -374,18 +378,18 @@ def deduce_templates(vectors: DataFrame, support: float = 0.5) -> DataFrame:
     classes are no more than its pages are long.
     """
     totals = vectors.where("token = 0").select("host", F.col("pages").alias("host_pages"), F.col("chars").alias("host_chars"), F.col("links").alias("host_links"), F.col("low").alias("all_low"), F.col("high").alias("all_high"))
-    frequent = vectors.where("token <> 0 and pages >= 2").join(totals, "host").where((F.col("pages") >= support * F.col("host_pages")))
+    frequent = vectors.where(f"token <> 0 and pages >= {LEAST_PAGES}").join(totals, "host").where((F.col("pages") >= support * F.col("host_pages")))
     once = F.col("element").isNotNull() & (F.col("uses") == F.col("pages"))
-    grouped = frequent.groupBy("host", "host_pages", "host_chars", "host_links", "all_low", "all_high", "pages", "low", "high").agg(F.collect_list(F.when(once, F.struct("element", "chars", "links", "runs", "evidence"))).alias("elements"), F.collect_list(F.when(F.col("element").isNull(), F.col("token"))).alias("runs"))
+    grouped = frequent.groupBy("host", "host_pages", "host_chars", "host_links", "all_low", "all_high", "pages", "low", "high").agg(F.collect_list(F.when(once, F.struct("element", "chars", "links", "anchors", "evidence"))).alias("elements"), F.collect_list(F.when(F.col("element").isNull(), F.col("token"))).alias("runs"))
     # the runs that every page has belong to the class of the page itself
-    whole = (F.col("low") == F.col("all_low")) & (F.col("high") == F.col("all_high")) & (F.col("pages") >= 5)
+    whole = (F.col("low") == F.col("all_low")) & (F.col("high") == F.col("all_high")) & (F.col("pages") >= LEAST_PAGES)
     by_host = grouped.groupBy("host", "host_pages", "host_chars", "host_links").agg(F.collect_list("elements").alias("classes"), F.flatten(F.collect_list(F.when(whole, F.col("runs")))).alias("constant"))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for pages, chars, links, classes in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
-                elements = {e["element"]: (k, e["chars"], e["links"], e["runs"], e["evidence"]) for k, c in enumerate(sorted(classes, key=repr)) for e in c}
+                elements = {e["element"]: (k, e["chars"], e["links"], e["anchors"], e["evidence"]) for k, c in enumerate(sorted(classes, key=repr)) for e in c}
                 found.append(judge_template(elements, pages, chars, links))
             lists = [pa.array([x[i] for x in found], pa.list_(pa.string())) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, batch.column(5)], ["host", "pages", "roots", "out", "spared", "constant"])
@@ -444,7 +448,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         texts = [article(source or "", template) for source, template in zip(batch.column(2).to_pylist(), found, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
-    few = F.col("pages") < TOO_FEW
+    few = F.col("pages") < LEAST_PAGES
     if size <= broadcast_bytes:
         known = spark.sparkContext.broadcast({r.host: Template(tuple(r.roots), frozenset(r.out), frozenset(r.spared), frozenset(r.constant)) for r in templates.where(~few).collect()})
 

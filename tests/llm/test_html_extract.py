@@ -1,3 +1,4 @@
+import random
 import html
 import re
 
@@ -150,3 +151,18 @@ def test_query_against_the_articles(spark, small):
     got = QUERIES["op6_html_extraction"](spark, SF).collect()
     assert {r.page_id: r.text for r in got} == truth
     assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_hosts_of_any_size_give_the_same_article(spark):
+    """A menu in one run, a footer line and the story, without telling tags or names, on hosts of 2 to 8 pages."""
+    rng, rows, want = random.Random(6), [], {}
+    for n in range(2, 9):
+        cls = [f"q{rng.randrange(10**6)}" for _ in range(4)]
+        for k in range(n):
+            story = [f"Story {n} {k} part {j} " + " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(30)) for j in range(3)]
+            menu = "".join(f'<a href="/{x}">{x}</a> ' for x in ("home", "news", "sport"))
+            body = "".join(f"<p>{x}</p>" for x in story)
+            rows.append((len(rows), f"http://h{n}.example/{k}", f'<html><body><div class="{cls[0]}">{menu}</div><div class="{cls[1]}">{body}</div><div class="{cls[2]}">All rights of house {n}</div></body></html>'))
+            want[len(rows) - 1] = "\n\n".join(story)
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
