@@ -95,17 +95,23 @@ def sureness(grams: np.ndarray) -> np.ndarray:
     return 4.0 * np.minimum(grams, 30) / 30
 
 
-def sample(df: DataFrame, text_col: str, lang_col: str, train: Column, max_rows: int, least_rows: int) -> DataFrame:
+def sample(df: DataFrame, text_col: str, lang_col: str, train: Column, max_rows: int, least_rows: int, max_langs: int) -> DataFrame:
     """(text, lang) of the training rows, or where they are more, of about ``max_rows`` and of each language about
-    ``least_rows`` or all it has.  Rows are chosen by a hash of all their columns, so that a text that
-    stands in very many rows is chosen as often as it should be."""
-    pick = F.pmod(F.xxhash64(*df.columns), F.lit(1_000_003)) if df.columns else F.lit(0)
-    rows = df.where(train & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), pick.alias("pick"))
-    by_lang = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    ``least_rows`` or all it has.
+
+    Every row is chosen by itself, by a hash of its number in the scan: columns of any type may stand
+    beside, and a text that stands in very many rows is chosen as often as its share says.  More
+    than ``max_langs`` language values are refused, as the model grows with them.
+    """
+    pick = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1_000_003))
+    rows = df.where(train & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    by_lang = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
+    if len(by_lang) > max_langs:
+        raise ValueError(f"{lang_col} has more than max_langs = {max_langs} values")
     n = sum(by_lang.values())
     if n > max_rows:
         cuts = df.sparkSession.createDataFrame([(lang, int(1_000_003 * min(1, max(max_rows / n, least_rows / m)))) for lang, m in by_lang.items()], "lang string, cut int")
-        rows = rows.join(F.broadcast(cuts), "lang").where("pick < cut")
+        rows = rows.withColumn("pick", pick).join(F.broadcast(cuts), "lang").where("pick < cut")
     return rows.select("text", "lang")
 
 
@@ -170,7 +176,7 @@ def _step(grams: DataFrame, langs: list[str], codes: np.ndarray, weights: np.nda
     return loss, wrong, gradient
 
 
-def fit(df: DataFrame, text_col: str, lang_col: str, train: Column, max_rows: int = 6_000, least_rows: int = 200, steps: int = 4) -> LanguageModel:
+def fit(df: DataFrame, text_col: str, lang_col: str, train: Column, max_rows: int = 6_000, least_rows: int = 200, steps: int = 4, max_langs: int = 1_000) -> LanguageModel:
     """Learn from the rows where ``train`` holds and the language isn't null, or a sample of them (see ``sample``).
 
     Each bit's classifier starts from log ratios of n-gram frequencies and takes ``steps`` steps down
@@ -178,7 +184,8 @@ def fit(df: DataFrame, text_col: str, lang_col: str, train: Column, max_rows: in
     weight in the decoding is the log odds of its classifier being right on the training rows, scaled
     to mean 1.  Without a labelled row the model knows no language.
     """
-    grams = materialize(_grams_of(sample(df, text_col, lang_col, train, max_rows, least_rows)).coalesce(16))
+    # the sample is bounded: it is dealt to a few tasks once the scan of all rows is done
+    grams = materialize(_grams_of(sample(df, text_col, lang_col, train, max_rows, least_rows, max_langs)).repartition(16))
     langs = sorted(r.lang for r in grams.select("lang").distinct().collect())
     codes, size = codewords(len(langs)), 1 << BUCKET_BITS
     if len(langs) < 2:

@@ -88,6 +88,41 @@ def test_neutral_terms_that_weigh_only_together():
     assert np.mean(right) > 0.95
 
 
+def marked(terms, times, clean=20_000):
+    """Rows of which the toxic ones hold one of many terms that never stand in a clean one, and all hold common words."""
+    rng = np.random.default_rng(4)
+    make = lambda *own: np.unique([*own, *rng.integers(0, 300, 12)]).astype("<i4").tobytes()
+    return [(1, make(1000 + t)) for t in range(terms) for _ in range(times)] + [(0, make()) for _ in range(clean)]
+
+
+@pytest.mark.parametrize("terms, times", [(1000, 20), (1500, 6)])
+def test_no_bound_on_terms(terms, times):
+    """Every one of 1,000 or 1,500 markers counts, frequent or in six rows, and clean texts stay clean."""
+    rows = marked(terms, times, terms * times)
+    model = toxicity.fit(rows)
+    z = np.array([by_pairs(model, f[f >= 0]) for f in (model.feature_of[np.frombuffer(t, "<i4")] for _, t in rows[::7])])
+    y = np.array([label for label, _ in rows[::7]])
+    assert (z[y == 1] > 0).mean() >= 0.95 and (z[y == 0] <= 0).mean() >= 0.95
+
+
+def test_slope_by_differences():
+    rng = np.random.default_rng(5)
+    cells = toxicity._Cells([rng.choice(9, rng.integers(1, 6), replace=False) for _ in range(20)], 9)
+    y, theta = rng.integers(0, 2, 20), [np.array([0.2]), rng.normal(size=9), rng.normal(size=(9, 3))]
+
+    def z(t):
+        s, q = cells.factor_sums(t[2])
+        return t[0][0] + cells.by_row(t[1]) + 0.5 * ((s**2).sum(1) - q)
+
+    loss = lambda t: (np.logaddexp(0, z(t)) - y * z(t)).sum()
+    grads = cells.slope(1 / (1 + np.exp(-z(theta))) - y, cells.factor_sums(theta[2])[0], theta[2])
+    for j, g in enumerate(grads):
+        for i in np.ndindex(g.shape):
+            up = [x.copy() for x in theta]
+            up[j][i] += 1e-6
+            assert (loss(up) - loss(theta)) / 1e-6 == pytest.approx(g[i], abs=1e-4)
+
+
 def by_pairs(model, features):
     """The machine's sum, pair by pair."""
     z = model.bias + sum(model.linear[f] for f in features)
@@ -119,7 +154,8 @@ def area(s, y):
 
 
 def test_toxicity_held_out_and_without_its_pairs(spark):
-    """Labels of quality 0 are noise (half of their toxic rows have no toxic word), so recall counts the others."""
+    """Labels of quality 0 are noise (half of their toxic rows have no toxic word), so recall is held to 0.9 on the others,
+    and to what the noise leaves on all."""
     sf = SF.replace("0.001", "0.1")
     labels, docs = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     model = toxicity.fit(toxicity.labelled_terms(docs, labels.where(fold(5) != 0), "doc_id", "text", "toxic", 20_000))
@@ -130,7 +166,9 @@ def test_toxicity_held_out_and_without_its_pairs(spark):
         y, s, quality = (np.array([r[c] for r in got]) for c in ("toxic", "score", "quality"))
         areas.append(area(s, y))
         if m is model:
+            print("recall of quality 1 and of all:", (s[(y == 1) & (quality == 1)] >= 0.5).mean(), (s[y == 1] >= 0.5).mean(), "area:", areas[0])
             assert (s[(y == 1) & (quality == 1)] >= 0.5).mean() >= 0.9 and (s[y == 0] < 0.5).mean() >= 0.99
+            assert (s[y == 1] >= 0.5).mean() >= 0.7
     assert areas[0] >= 0.9 and areas[0] - areas[1] >= 0.03
 
 
@@ -151,3 +189,20 @@ def test_fitted_bits_lose_less_than_log_ratios(spark, small):
     grams = language_id._grams_of(small("documents").where("lang is not null").select("text", "lang"))
     loss = [language_id._step(grams, m.langs, m.codes, m.weights[:, :-1])[0] for m in (start, fitted)]
     assert (loss[1] <= loss[0] * (1 + 1e-6)).all() and loss[1].sum() < loss[0].sum()
+
+
+def test_language_sample_binds(spark):
+    """Equal rows are chosen one by one, beside columns of any type; languages with few rows keep all they have."""
+    rows = [("same text again", "en", {"a": 1})] * 40_000 + [(f"autre texte {i}", "fr", None) for i in range(150)] + [(None, "de", None)] * 30
+    df = spark.createDataFrame(rows, "text string, lang string, m map<string,int>").repartition(6)
+    got = {r.lang: r["count"] for r in language_id.sample(df, "text", "lang", F.lit(True), 6_000, 200, 10).groupBy("lang").count().collect()}
+    assert 5_000 < got["en"] < 7_000 and got["fr"] == 150 and got["de"] == 30
+    with pytest.raises(ValueError):
+        language_id.sample(df, "text", "lang", F.lit(True), 6_000, 200, 2)
+    model = language_id.fit(df, "text", "lang", F.lit(True))
+    assert [r.lang_pred for r in language_id.identify(df.where("lang = 'fr'").limit(3), model).collect()] == ["fr"] * 3
+
+
+def test_language_scan_keeps_its_tasks(spark, small):
+    rows = language_id.sample(small("documents").repartition(40), "text", "lang", F.lit(True), 10, 5, 100)
+    assert language_id._grams_of(rows).rdd.getNumPartitions() >= 40
