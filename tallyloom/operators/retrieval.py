@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -72,92 +73,241 @@ def high_performers(df: DataFrame, value: str = "wer", q: float = 0.9, views: in
     return df.crossJoin(F.broadcast(cut)).where((F.col(value) >= F.col("_cut")) & (F.col("view_count") >= views)).drop("_cut")  # one row
 
 
-def similar(queries: DataFrame, pool: DataFrame, k: int = 6, key: str = "video_id", block_rows: int = 2_000) -> DataFrame:
+def similar(queries: DataFrame, pool: DataFrame, k: int = 6, key: str = "video_id", cells: int = 4_096, block_rows: int = 2_000) -> DataFrame:
     """The k most similar of the pool for each query, at most one per author.
 
     Both sides: key, author_id, text_vec, visual_vec (null if missing), strategy, categories
     (arrays).  A part that the query lacks is dropped without new weights; a candidate without
     the vector scores 0 there.  Equal scores: within an author the larger key, between authors
-    the smaller.  Rows with a null key are left out.
+    the smaller.  Rows with a null key are left out.  See ``SimilarityIndex`` for how.
+    """
+    return SimilarityIndex(pool, key, cells, block_rows).search(queries, k)
+
+
+class SimilarityIndex:
+    """An inverted file of the pool: cells around centres, with a bound on what any row of a cell can score.
 
-    Both sides are dealt to blocks of about ``block_rows`` by hash of the key, and each pair of
-    blocks is one task's matrix products.  A task passes on the authors that reach the k-th best
-    score of its block, ties included, so the final ranking is exact.
+    Centres are up to ``cells`` of the pool's distinct vectors, chosen by hash; every row goes to the
+    nearest one.  A cell keeps the widest angle between its centre and its rows, by vector, the bits of
+    its labels' hashes and its fewest labels: from these follows an upper bound of a query's score in
+    the cell.  A search first visits the cells with the highest bounds, until they hold 16 k rows, and
+    then only cells whose bound reaches the k-th best author found, so the result is exact.
+
+    A cell with more than ``block_rows`` rows (one vector may stand in a third of all rows) is cut
+    into parts by row number, and so are the queries; a task compares one part with one of them.  What
+    is broadcast is bounded by ``cells``.
     """
-    sides = [_dealt(df, key, block_rows) for df in (queries, pool)]
-    (q, nq), (c, nc) = sides
-    q = q.withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))).withColumnRenamed("_b", "_qb")
-    c = c.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumnRenamed("_b", "_cb")
-    kind, author = pool.schema[key].dataType.simpleString(), pool.schema["author_id"].dataType.simpleString()
-    schema = f"q_id {queries.schema[key].dataType.simpleString()}, c_id {kind}, author_id {author}, score double, text_sim double, visual_sim double, overlap double, category_conflict boolean"
-    found = q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInPandas(lambda a, b: _best_of_block(a, b, k), schema)
-    top = F.max(F.struct("score", F.struct("c_id", "text_sim", "visual_sim", "overlap", "category_conflict").alias("r")))
-    rows = found.groupBy("q_id", "author_id").agg(top.alias("t")).select("q_id", "author_id", "t.score", "t.r.*")
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "c_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).withColumnsRenamed({"q_id": "query_id", "c_id": key})
-
-
-def _dealt(df: DataFrame, key: str, block_rows: int) -> tuple[DataFrame, int]:
-    """The columns that are compared with a block number, and the number of blocks."""
+
+    def __init__(self, pool: DataFrame, key: str = "video_id", cells: int = 4_096, block_rows: int = 2_000):
+        self.key, self.block_rows, self.types = key, block_rows, {c: pool.schema[c].dataType.simpleString() for c in (key, "author_id")}
+        rows = _prepared(pool, key)
+        marks = rows.select("mark").distinct().orderBy("mark").limit(cells).agg(F.max("mark")).first()[0]
+        centres = [] if marks is None else rows.where(F.col("mark") <= marks).dropDuplicates(["mark"]).orderBy("mark").select("text", "visual").collect()  # at most ``cells`` rows
+        self.shared = pool.sparkSession.sparkContext.broadcast((_matrix([r.text for r in centres]), _matrix([r.visual for r in centres])))
+        angles = "cell int, text_cos double, visual_cos double"
+        kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "mark"]
+        self.rows = settled(rows.drop("mark").mapInPandas(_nearest(self.shared), ", ".join([*kept, angles])))
+        bits = F.aggregate("bits", F.lit(0).cast("long"), lambda m, b: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+        cell = self.rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("text_cos").alias("text_cos"), F.min("visual_cos").alias("visual_cos"), F.count("text").alias("texts"), F.count("visual").alias("visuals"), F.bit_or(bits).alias("labels"), F.min(F.size("bits")).alias("fewest"))
+        self.cells = cell.orderBy("cell").toPandas()  # at most ``cells`` rows
+        self.bounds = pool.sparkSession.sparkContext.broadcast(self.cells)
+        self.parts = {int(c): -(-int(n) // block_rows) for c, n in zip(self.cells["cell"], self.cells["n"], strict=True)}
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        q = self._numbered(queries)
+        first = settled(self._compared(q, self.visits(q, k), k))
+        one = first.groupBy("q_no", "author_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("q_no").orderBy(F.desc("score")))
+        reached = one.withColumn("r", rank).where(F.col("r") == k).select("q_no", F.col("score").alias("least"))
+        second = self._compared(q, self.visits(q.join(reached, "q_no", "left"), k), k)
+        top = F.max(F.struct("score", F.struct("c_id", "text_sim", "visual_sim", "overlap", "category_conflict").alias("r")))
+        best = first.unionByName(second).groupBy("q_id", "author_id").agg(top.alias("t")).select("q_id", "author_id", "t.score", "t.r.*")
+        rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "c_id"))
+        return best.withColumn("rank", rank).where(F.col("rank") <= k).withColumnsRenamed({"q_id": "query_id", "c_id": self.key})
+
+    def _numbered(self, queries: DataFrame) -> DataFrame:
+        return settled(_prepared(queries, self.key).drop("mark").withColumn("q_no", F.monotonically_increasing_id()))
+
+    def visits(self, queries: DataFrame, k: int) -> DataFrame:
+        """(q_no, cell): without a column ``least`` the first cells of each query; with it the others whose bound
+        reaches it (all others where it is null)."""
+        shared, cells, later = self.shared, self.bounds, "least" in queries.columns
+
+        def chosen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = cells.value["n"].to_numpy()
+            for frame in frames:
+                for i in range(0, len(frame), 256):
+                    q = frame.iloc[i : i + 256]
+                    bound = _upper_bounds(q, shared.value, cells.value) if len(rows) else np.zeros((len(q), 0))
+                    order = np.argsort(-bound, axis=1, kind="stable")
+                    before = np.cumsum(rows[order], axis=1) - rows[order]
+                    take = np.zeros_like(bound, bool)
+                    np.put_along_axis(take, order, before < 16 * k, axis=1)
+                    if later:
+                        take = ~take & (bound + 1e-6 >= q["least"].fillna(-np.inf).to_numpy()[:, None])
+                    at_q, at_c = np.nonzero(take)
+                    yield pd.DataFrame({"q_no": q["q_no"].to_numpy()[at_q], "cell": cells.value["cell"].to_numpy()[at_c]})
+
+        return queries.select("q_no", "text", "visual", "bits", *(["least"] if later else [])).mapInPandas(chosen, "q_no long, cell int")
+
+    def _compared(self, queries: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+        """The best candidates of the visited cells.  Cell parts are dealt to shards of about ``block_rows`` rows, and a
+        task compares a shard with a part of the queries, cell by cell as they visit them."""
+        spark, shards = queries.sparkSession, max(1, -(-int(self.cells["n"].sum()) // self.block_rows))
+        q_part = F.pmod(F.xxhash64("q_no"), F.lit(max(1, -(-queries.count() // self.block_rows)))).cast("int")
+        cut = F.broadcast(spark.createDataFrame(list(self.parts.items()), "cell int, parts int"))  # at most ``cells`` rows
+        shard = F.pmod(F.xxhash64("cell", "part"), F.lit(shards)).cast("int").alias("shard")
+        pairs = visits.join(cut, "cell").select("q_no", "cell", q_part.alias("q_part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        pairs = settled(pairs.groupBy("q_no", "q_part", shard).agg(F.collect_list(F.struct("cell", "part")).alias("cells")))
+        q = pairs.join(queries.drop("bits"), "q_no")
+        visited = pairs.select(F.col("shard").alias("shard"), F.col("q_part").alias("q_part")).distinct()
+        rows = self.rows.join(cut, "cell").withColumn("part", F.pmod(F.xxhash64("number"), F.col("parts")).cast("int"))
+        c = rows.select(shard, "cell", "part", "id", "author_id", "text", "visual", "strategy", "categories").join(visited, "shard")
+        schema = f"q_no long, q_id {queries.schema['id'].dataType.simpleString()}, c_id {self.types[self.key]}, author_id {self.types['author_id']}, score double, text_sim double, visual_sim double, overlap double, category_conflict boolean"
+        return q.groupBy("shard", "q_part").cogroup(c.groupBy("shard", "q_part")).applyInPandas(lambda a, b: _best_of_shard(a, b, k), schema)
+
+
+def _prepared(df: DataFrame, key: str) -> DataFrame:
+    """The columns that are compared, the vectors' hash and the rows' number, settled."""
     empty = F.expr(EMPTY)
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), "author_id", unit(F.col("text_vec")).alias("text"), unit(F.col("visual_vec")).alias("visual"), F.coalesce("strategy", empty).alias("strategy"), F.coalesce("categories", empty).alias("categories"))
-    rows = settled(rows)  # counted, then read
-    blocks = max(1, -(-rows.count() // block_rows))
-    return rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), blocks
-
-
-def _cosines(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Products of unit vectors: null (NaN) in the row of a query without one, 0 for a candidate without one."""
-    have_a, have_b = a.notna().to_numpy(), b.notna().to_numpy()
-    out = np.zeros((len(a), len(b)))
-    if have_a.any() and have_b.any():
-        out[np.ix_(have_a, have_b)] = np.stack(a[have_a].to_list()) @ np.stack(b[have_b].to_list()).T
-    out[~have_a] = np.nan
+    strategy = F.array_distinct(F.coalesce("strategy", empty))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), "author_id", unit(F.col("text_vec")).alias("text"), unit(F.col("visual_vec")).alias("visual"), strategy.alias("strategy"), F.coalesce("categories", empty).alias("categories"))
+    bits = F.transform("strategy", lambda x: F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    return settled(rows.withColumns({"bits": bits, "mark": F.xxhash64("text", "visual"), "number": F.monotonically_increasing_id()}))
+
+
+def _matrix(vectors: list | pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, zeros where there is none, and which ones there are."""
+    have = np.array([v is not None for v in vectors], bool)
+    width = next((len(v) for v in vectors if v is not None), 0)
+    out = np.zeros((len(have), width))
+    for i in np.flatnonzero(have):
+        out[i] = vectors[i] if isinstance(vectors, list) else vectors.iloc[i]
+    return out, have
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a @ b.T if a.shape[1] and b.shape[1] else np.zeros((len(a), len(b)))
+
+
+def _nearest(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Adds the nearest centre to each row and the cosines to it (null for a vector that the row or centre lacks)."""
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres = shared.value
+        for frame in frames:
+            for i in range(0, len(frame), 512):
+                rows = frame.iloc[i : i + 512].copy()
+                sides = [_matrix(rows["text"]), _matrix(rows["visual"])]
+                cosines = [_products(x, c) for (x, _), (c, _) in zip(sides, centres, strict=True)]
+                cell = (cosines[0] + cosines[1]).argmax(1)
+                rows["cell"] = cell.astype(np.int32)
+                for name, cosine, (_, have), (_, known) in zip(("text_cos", "visual_cos"), cosines, sides, centres, strict=True):
+                    rows[name] = np.where(have & known[cell], cosine[np.arange(len(cell)), cell], np.where(have, -1.0, np.nan))
+                yield rows
+
+    return assign
+
+
+def _upper_bounds(q: pd.DataFrame, centres: tuple, cells: pd.DataFrame) -> np.ndarray:
+    """What a row of each cell can score at most, for each query: by the angle that is left between the query and the
+    cell's rows, and by the query's labels whose bits the cell has."""
+    at = cells["cell"].to_numpy()
+    total = np.zeros((len(q), len(at)))
+    for name, (centre, known) in zip(("text", "visual"), centres, strict=True):
+        x, have = _matrix(q[name])
+        count, least = cells[f"{name}s"].to_numpy(), cells[f"{name}_cos"].to_numpy(float)
+        away = np.where(known[at], np.arccos(np.clip(np.nan_to_num(least, nan=1.0), -1, 1)), np.pi)
+        bound = np.cos(np.maximum(0, np.arccos(np.clip(_products(x, centre[at]), -1, 1)) - away[None, :]))
+        bound = np.where(count[None, :] == 0, 0.0, np.where(count[None, :] < cells["n"].to_numpy()[None, :], np.maximum(bound, 0), bound))
+        total += WEIGHTS[name] * np.where(have[:, None], bound, 0)
+    counts = np.zeros((len(q), 64))
+    for i, bits in enumerate(q["bits"]):
+        np.add.at(counts[i], np.asarray(bits, int), 1)
+    labels = cells["labels"].to_numpy(np.int64).view(np.uint64)
+    held = (labels[:, None] >> np.arange(64, dtype=np.uint64)[None, :]) & np.uint64(1)
+    size = counts.sum(1)
+    return total + WEIGHTS["strategy"] * (counts @ held.T.astype(float)) / (np.maximum(size[:, None], cells["fewest"].to_numpy()[None, :]) + 1)
+
+
+def _flags(labels: list, codes: dict) -> np.ndarray:
+    """Rows x labels: which labels each row has."""
+    out = np.zeros((len(labels), len(codes)), bool)
+    for i, names in enumerate(labels):
+        out[i, [codes[x] for x in names]] = True
     return out
 
 
-def _common(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes of the sets on both sides and of their intersections."""
-    words: dict = {}
-    hot = []
-    for side in (a, b):
-        hot.append([sorted({words.setdefault(x, len(words)) for x in labels}) for labels in side])
-    flags = []
-    for side in hot:
-        m = np.zeros((len(side), max(1, len(words))))
-        for i, at in enumerate(side):
-            m[i, at] = 1
-        flags.append(m)
-    return flags[0].sum(1), flags[1].sum(1), flags[0] @ flags[1].T
-
-
-def _best_of_block(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best candidate of each author that reaches the query's k-th best author of this block."""
-    columns = ["q_id", "c_id", "author_id", "score", "text_sim", "visual_sim", "overlap", "category_conflict"]
+class _Side:
+    """Vectors and label flags of one side of a comparison; labels are numbered alike on both sides."""
+
+    def __init__(self, df: pd.DataFrame, codes: dict[str, dict]):
+        self.vectors = {n: _matrix(df[n]) for n in ("text", "visual")}
+        self.flags = {n: _flags(df[n].to_list(), codes[n]) for n in ("strategy", "categories")}
+        self.sizes = {n: f.sum(1) for n, f in self.flags.items()}
+
+
+def _scores(q: _Side, c: _Side, i: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray]:
+    """Score and its parts of the pairs (i, j); a part that the query lacks is NaN, and so is a score without any part."""
+    out = {}
+    for name in ("text", "visual"):
+        (x, have), (y, known) = q.vectors[name], c.vectors[name]
+        dots = np.einsum("ij,ij->i", x[i], y[j]) if x.shape[1] and y.shape[1] else np.zeros(len(i))
+        out[name] = np.where(have[i], np.where(known[j], dots, 0.0), np.nan)
+    both = {n: (q.flags[n][i] & c.flags[n][j]).sum(1) for n in ("strategy", "categories")}
+    nq, nc = q.sizes["strategy"][i], c.sizes["strategy"][j]
+    out["overlap"] = np.where(nq > 0, both["strategy"] / (nq + nc - both["strategy"] + 1), np.nan)
+    out["conflict"] = (q.sizes["categories"][i] > 0) & (c.sizes["categories"][j] > 0) & (both["categories"] == 0)
+    score = np.nan_to_num(out["text"]) * WEIGHTS["text"] + np.nan_to_num(out["visual"]) * WEIGHTS["visual"] + np.nan_to_num(out["overlap"]) * WEIGHTS["strategy"] - CONFLICT * out["conflict"]
+    score = np.round(score, 9) + 0.0  # equal up to rounding is a tie
+    out["score"] = np.where(np.isnan(out["text"]) & np.isnan(out["visual"]) & np.isnan(out["overlap"]), np.nan, score)
+    return out
+
+
+def _best_of_shard(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Of each query's visited cells the best candidate of every author that reaches the query's k-th best author."""
+    columns = ["q_no", "q_id", "c_id", "author_id", "score", "text_sim", "visual_sim", "overlap", "category_conflict"]
     if q.empty or c.empty:
         return pd.DataFrame(columns=columns)
+    q, c = q.sort_values("q_no").reset_index(drop=True), c.sort_values(["cell", "part"]).reset_index(drop=True)
+    codes = {n: {x: i for i, x in enumerate(dict.fromkeys(x for side in (q, c) for names in side[n] for x in names))} for n in ("strategy", "categories")}
+    sides = _Side(q, codes), _Side(c, codes)
     author = c["author_id"].astype(object).where(c["author_id"].notna(), None)
-    code = pd.factorize(author, use_na_sentinel=False)[0]
-    order = np.lexsort((pd.factorize(c["id"], sort=True)[0], code))  # an author's rows together, the larger key last
-    c, author, code = c.iloc[order].reset_index(drop=True), author.iloc[order].to_numpy(), code[order]
-    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-    text, visual = _cosines(q["text"], c["text"]), _cosines(q["visual"], c["visual"])
-    nq, nc, both = _common(q["strategy"], c["strategy"])
-    overlap = both / (nq[:, None] + nc[None, :] - both + 1)
-    overlap[nq == 0] = np.nan
-    nq, nc, both = _common(q["categories"], c["categories"])
-    conflict = (nq[:, None] > 0) & (nc[None, :] > 0) & (both == 0)
-    score = np.nan_to_num(text) * WEIGHTS["text"] + np.nan_to_num(visual) * WEIGHTS["visual"] + np.nan_to_num(overlap) * WEIGHTS["strategy"] - CONFLICT * conflict
-    score = np.round(score, 9)  # equal up to rounding is a tie
-    score[np.isnan(text) & np.isnan(visual) & np.isnan(overlap)] = -np.inf
-    score[q["id"].to_numpy()[:, None] == c["id"].to_numpy()[None, :]] = -np.inf
-    best = np.maximum.reduceat(score, starts, axis=1)
-    least = np.partition(best, -k, axis=1)[:, -k] if best.shape[1] > k else np.full(len(q), -np.inf)
-    at_q, at_a = np.nonzero((best >= least[:, None]) & (best > -np.inf))
-    ends = np.r_[starts[1:], len(c)]
-    at_c = np.array([starts[a] + np.flatnonzero(score[i, starts[a] : ends[a]] == best[i, a])[-1] for i, a in zip(at_q, at_a, strict=True)], dtype=int)
-    pick = lambda m: pd.Series(m[at_q, at_c]).astype(object).where(~np.isnan(m[at_q, at_c]), None)
-    return pd.DataFrame({"q_id": q["id"].to_numpy()[at_q], "c_id": c["id"].to_numpy()[at_c], "author_id": author[at_c], "score": score[at_q, at_c] + 0.0, "text_sim": pick(text), "visual_sim": pick(visual), "overlap": pick(overlap), "category_conflict": conflict[at_q, at_c]}, columns=columns)
+    code, order = pd.factorize(author, use_na_sentinel=False)[0], pd.factorize(c["id"], sort=True)[0]
+    at = {key: (rows.min(), rows.max() + 1) for key, rows in c.groupby(["cell", "part"]).indices.items()}
+    ids_q, ids_c = q["id"].to_numpy(), c["id"].to_numpy()
+    width = max(64, *(len(x) for x in codes.values()), *(m.shape[1] for m, _ in sides[1].vectors.values()))
+    found, held, pairs = [], [], 0
+
+    def flush() -> None:
+        nonlocal pairs
+        if not held:
+            return
+        i = np.repeat([x for x, _, _ in held], [b - a for _, a, b in held])
+        j = np.concatenate([np.arange(a, b) for _, a, b in held])
+        held.clear()
+        pairs = 0
+        other = ids_q[i] != ids_c[j]
+        i, j = i[other], j[other]
+        parts = _scores(*sides, i, j)
+        table = pd.DataFrame({"i": i, "j": j, "author": code[j], "order": order[j], **parts}).dropna(subset=["score"])
+        # an author's best, the larger key among equals; then the authors down to the k-th, ties included
+        table = table.sort_values(["i", "author", "score", "order"], ascending=[True, True, False, False]).drop_duplicates(["i", "author"])
+        found.append(table[table.groupby("i")["score"].rank(method="min", ascending=False) <= k])
+
+    for n, cells in enumerate(q["cells"]):
+        for cell in cells:
+            if (span := at.get((cell["cell"], cell["part"]))) is not None:
+                held.append((n, *span))
+                pairs += span[1] - span[0]
+        if pairs * width > 8_000_000:
+            flush()  # a query's visits are never split, so its k-th best is that of all of them
+    flush()
+    if not found:
+        return pd.DataFrame(columns=columns)
+    best = pd.concat(found)
+    i, j, none = best["i"].to_numpy(), best["j"].to_numpy(), lambda x: x.astype(object).where(x.notna(), None).to_numpy()
+    return pd.DataFrame({"q_no": q["q_no"].to_numpy()[i], "q_id": ids_q[i], "c_id": ids_c[j], "author_id": author.to_numpy()[j], "score": best["score"].to_numpy(), "text_sim": none(best["text"]), "visual_sim": none(best["visual"]), "overlap": none(best["overlap"]), "category_conflict": best["conflict"].to_numpy()}, columns=columns)
 
 
 def shared_labels(pairs: list[tuple[str, str]], limit: int = 4) -> Column:

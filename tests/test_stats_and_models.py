@@ -156,3 +156,75 @@ def test_streaming_upsert_is_idempotent(spark, tmp_path):
         upsert.merge(make([("a", 2, "new"), ("b", 3, "late"), ("c", 1, "c")]), 1, target, "k", "at", 4)
     assert {(r.k, r.v) for r in upsert.current(spark, target).collect()} == {("a", "new"), ("b", "b"), ("c", "c")}
     assert upsert.current(spark, str(tmp_path / "none")) is None
+
+
+def by_brute_force(queries, pool, k):
+    """Ranked (query, key, rounded score) by the definition, pair by pair."""
+    unit = lambda v: None if v is None else [x / sum(y * y for y in v) ** 0.5 for x in v]
+    out = {}
+    for q in queries:
+        best = {}
+        for c in pool:
+            if c[0] is None or q[0] is None or c[0] == q[0]:
+                continue
+            parts = []
+            for i, w in ((2, 0.4), (3, 0.4)):
+                if q[i] is not None:
+                    parts.append(w * sum(x * y for x, y in zip(unit(q[i]), unit(c[i]))) if c[i] is not None else 0.0)
+            a, b = set(q[4] or []), set(c[4] or [])
+            if a:
+                parts.append(0.2 * len(a & b) / (len(a | b) + 1))
+            if not parts:
+                continue
+            conflict = bool(q[5]) and bool(c[5]) and not set(q[5]) & set(c[5])
+            score = round(sum(parts) - 0.1 * conflict, 9)
+            if c[1] not in best or (score, c[0]) > best[c[1]]:
+                best[c[1]] = (score, c[0])
+        ranked = sorted(best.values(), key=lambda x: (-x[0], x[1]))[:k]
+        out[q[0]] = [(key, round(score, 6)) for score, key in ranked]
+    return out
+
+
+@pytest.mark.parametrize("cells, block", [(4096, 2000), (6, 7), (1, 50)])
+def test_similarity_index_against_brute_force(spark, cells, block):
+    """Copies of one vector in a third of the pool, missing vectors and labels, repeated rows, null keys and authors."""
+    rng = random.Random(8)
+    vec = lambda: [rng.gauss(0, 1) for _ in range(6)] if rng.random() < 0.8 else None
+    hot, labels = [1.0, 2.0, 0.0, 0.5, -1.0, 0.0], lambda: rng.choice([None, [], ["a"], ["a", "b"], ["c", "d", "a"], ["e"]])
+    pool = [(f"p{i}", rng.choice([*"uvwxyz", None]) if i % 3 else f"w{i}", hot if i % 3 == 0 else vec(), hot if i % 3 == 0 else vec(), labels(), rng.choice([None, ["s"], ["t"]])) for i in range(180)]
+    queries = [(f"q{i}" if i else "p5", None, vec(), vec(), labels(), rng.choice([None, ["s"]])) for i in range(25)]
+    pool += [pool[7], (None, "u", hot, hot, ["a"], None)]
+    schema = "video_id string, author_id string, text_vec array<double>, visual_vec array<double>, strategy array<string>, categories array<string>"
+    got = {}
+    for r in rt.similar(spark.createDataFrame(queries, schema), spark.createDataFrame(pool, schema).repartition(3), 5, cells=cells, block_rows=block).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.video_id, round(r.score, 6)))
+    want = {q: rows for q, rows in by_brute_force(queries, pool, 5).items() if rows}
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-6)
+        assert got[q] == want[q] or len({s for _, s in want[q]}) < len(want[q])
+
+
+def test_few_cells_are_visited(spark):
+    """Where vectors lie in groups, queries visit a few cells; the bound of every cell holds for all of its rows."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    make = lambda n, tag: [(f"{tag}{i}", f"a{i}", [float(x) for x in centres[i % 40] + rng.normal(0, 0.02, 16)], None, ["l"], None) for i in range(n)]
+    schema = "video_id string, author_id string, text_vec array<double>, visual_vec array<double>, strategy array<string>, categories array<string>"
+    pool, queries = spark.createDataFrame(make(1200, "p"), schema), spark.createDataFrame(make(30, "q"), schema)
+    index = rt.SimilarityIndex(pool, cells=60)
+    q = index._numbered(queries)
+    first = index.visits(q, 5).count()
+    late = index.visits(q.withColumn("least", F.lit(0.4)), 5).count()
+    assert (first + late) / (30 * len(index.cells)) < 0.2
+    bound = rt._upper_bounds(q.toPandas(), index.shared.value, index.cells)
+    rows, cell_at = index.rows.toPandas(), {c: i for i, c in enumerate(index.cells["cell"])}
+    for i, r in enumerate(q.collect()):
+        scores = np.array([np.dot(r.text, t) for t in rows["text"]]) * 0.4 + 0.2 / 2
+        assert (scores <= bound[i][[cell_at[c] for c in rows["cell"]]] + 1e-9).all()
+
+
+def test_similarity_of_nothing(spark):
+    schema = "video_id string, author_id string, text_vec array<double>, visual_vec array<double>, strategy array<string>, categories array<string>"
+    none, one = spark.createDataFrame([], schema), spark.createDataFrame([("q", "a", [1.0], None, None, None)], schema)
+    assert rt.similar(one, none).count() == 0 and rt.similar(none, one).count() == 0
