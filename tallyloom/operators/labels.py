@@ -169,10 +169,14 @@ def comment_topics(text: Column, topics: dict) -> Column:
                 out.append(F.when(n > 0, F.struct(F.lit(rank[layer[topic]]).alias("layer"), F.lit(i).alias("priority"), (-n).alias("hits"), F.lit(topic).alias("topic"))))
         return F.array_compact(F.array(*out))
 
+    slang = topics.get("slang", [])
+
     def rest(low: Column) -> Column:
-        bare = F.trim(F.regexp_replace(F.regexp_replace(low, r"\[(?:photo|sticker|stickers)\]", " "), r"[^\p{L}\p{N}]+", " "))
-        chatter = (F.length(bare) <= 2) | bare.rlike("^(?:fr|ngl|tbh|imo|idk|omg|smh|lmao|lol|yes|ok|same)+$") | low.rlike(r"(?:^|\s)@[a-z0-9._]+")
-        return F.when(low == "", "other_unclear").when(chatter, "meme_chatter").otherwise("other_unclear")
+        """A text without any hit: chatter if it addresses somebody, or says nothing but slang or marks in brackets."""
+        spoken = F.filter(F.split(F.regexp_replace(low, r"\[[^\]]*\]|[^\p{L}\p{N}@]", " "), " "), lambda w: w != "")
+        addressed = F.exists(spoken, lambda w: w.rlike("^@."))
+        plain = (F.length(F.array_join(spoken, "")) < 3) | F.forall(spoken, lambda w: w.isin(slang))
+        return F.when((low != "") & (addressed | plain), "meme_chatter").otherwise("other_unclear")
 
     def all_topics(found: Column) -> Column:
         by = F.array_sort(F.transform(found, lambda x: F.struct(x["priority"].alias("p"), x["hits"].alias("h"), x["topic"].alias("topic"))))
