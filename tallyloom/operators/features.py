@@ -150,8 +150,11 @@ def feature_table(df: DataFrame) -> DataFrame:
 
 
 def leave_one_out(df: DataFrame, by: str, value: str, fallback: Column, name: str) -> DataFrame:
-    """Mean of the others in the group; the fallback where there is no other."""
-    w = Window.partitionBy(by)
-    n = F.count(value).over(w) - F.col(value).isNotNull().cast("int")
-    rest = F.sum(value).over(w) - F.coalesce(F.col(value), F.lit(0.0))
-    return df.withColumn(name, F.when(n > 0, rest / n).otherwise(fallback))
+    """Mean of the others in the group; the fallback where there is no other.
+
+    Sums per group are combined before the shuffle and joined back, so no task holds a group.
+    """
+    sums = df.groupBy(F.col(by).alias("_g")).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    n = F.col("_n") - F.col(value).isNotNull().cast("int")
+    rest = F.col("_s") - F.coalesce(F.col(value), F.lit(0.0))
+    return df.join(sums, F.col(by).eqNullSafe(F.col("_g")), "left").withColumn(name, F.when(n > 0, rest / n).otherwise(fallback)).drop("_g", "_s", "_n")

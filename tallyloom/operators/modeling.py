@@ -5,17 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, CountVectorizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio, unit, valid_vector
+from ..sources.landing import settled
 from .quantiles import exact_quantiles, table_quantiles
 from .stats import before_counts, spearman
 
@@ -41,9 +44,31 @@ def check_leakage(features: list[str]) -> None:
         raise ValueError(f"outcome columns among the features: {', '.join(bad)}")
 
 
-def author_folds(df: DataFrame, k: int = 5, author: str = "author_id", seed: int = 42) -> DataFrame:
-    """Fold by a hash of the author, so no author is in two folds; null authors are one."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(author), F.lit(""))), F.lit(k)).cast("int"))
+def author_folds(df: DataFrame, k: int = 5, author: str = "author_id", seed: int = 42, largest: int = 1_000) -> DataFrame:
+    """Balanced folds by author: no author is in two folds, null authors are one.
+
+    The ``largest`` authors go one by one to the fold with the fewest rows so far.  The others stand in
+    the order of a hash, and their running row count is cut where each fold has what it lacks, so
+    folds differ by about one of the smaller authors, however skewed the sizes are.
+    """
+    name = F.coalesce(F.col(author).cast("string"), F.lit(""))
+    counts = settled(df.groupBy(name.alias("_a")).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    loads, placed = [0] * k, []
+    for r in counts.orderBy(F.desc("_n"), "_a").limit(largest).collect():
+        fold = min(range(k), key=lambda i: (loads[i], i))
+        loads[fold] += r._n
+        placed.append((r._a, fold))
+    lacking = [max(0.0, total / k - x) for x in loads]
+    scale = (total - sum(loads)) / sum(lacking) if sum(lacking) else 0.0
+    cuts = [scale * sum(lacking[: i + 1]) for i in range(k - 1)]
+    top = F.broadcast(df.sparkSession.createDataFrame(placed, "_a string, _top int"))  # at most ``largest`` rows
+    rest = counts.join(top, "_a", "left_anti").groupBy(F.xxhash64(F.lit(seed), "_a").alias("_h")).agg(F.sum("_n").alias("_n"))
+    rest = before_counts(rest, [], "_h", "_n").select("_h", sum(((F.col("before") >= c).cast("int") for c in cuts), F.lit(0)).alias("fold"))
+    rows = df.withColumn("_a", name).join(top, "_a", "left")
+    large = rows.where("_top is not null").withColumn("fold", F.col("_top"))
+    small = rows.where("_top is null").withColumn("_h", F.xxhash64(F.lit(seed), "_a")).join(rest, "_h").drop("_h")
+    return large.unionByName(small).drop("_a", "_top")
 
 
 def fold_balance(df: DataFrame, target: str, author: str = "author_id") -> DataFrame:
@@ -100,10 +125,13 @@ class FoldFeatures:
     """Features fitted on training rows only.
 
     numbers (log1p, missing -1), angles (name -> period, as sine and cosine), flags, label lists
-    (multi-hot of labels on ``min_df`` rows or more), categories (index, unknown last) and vectors
+    (multi-hot of all labels on ``min_df`` rows or more), categories (one-hot, unknown last) and vectors
     (PCA of ``dims``, missing ones take the training mean and a mask).
     """
 
+    #: Largest vocabulary Spark ML takes; its own default would drop rarer labels without a word.
+    VOCABULARY = (1 << 31) - 1
+
     def __init__(self, numbers=(), angles=None, flags=(), lists=(), categories=(), vectors=None, min_df: int = 5):
         self.numbers, self.angles, self.flags, self.lists, self.categories, self.vectors, self.min_df = list(numbers), angles or {}, list(flags), list(lists), list(categories), vectors or {}, min_df
         check_leakage([*self.numbers, *self.angles, *self.flags, *self.lists, *self.categories, *self.vectors])
@@ -129,11 +157,12 @@ class FoldFeatures:
             names.append(f"p_{c}")
         names += [f"f_{c}" for c in [*self.numbers, *self.flags, *[f"has_{v}" for v in self.vectors]]] + [f"f_{c}_{x}" for c in self.angles for x in ("sin", "cos")]
         for c in self.lists:
-            stages.append(CountVectorizer(inputCol=f"l_{c}", outputCol=f"m_{c}", binary=True, minDF=self.min_df))
+            stages.append(CountVectorizer(inputCol=f"l_{c}", outputCol=f"m_{c}", binary=True, minDF=self.min_df, vocabSize=self.VOCABULARY))
             names.append(f"m_{c}")
         for c in self.categories:
             stages.append(StringIndexer(inputCol=f"c_{c}", outputCol=f"i_{c}", handleInvalid="keep"))
-            names.append(f"i_{c}")
+            stages.append(OneHotEncoder(inputCol=f"i_{c}", outputCol=f"o_{c}", dropLast=False, handleInvalid="keep"))
+            names.append(f"o_{c}")
         stages.append(VectorAssembler(inputCols=names, outputCol="features"))
         self.model = Pipeline(stages=stages).fit(self._vectors(rows))
         return self
@@ -145,10 +174,32 @@ class FoldFeatures:
         return rows
 
     def transform(self, df: DataFrame) -> DataFrame:
-        helpers = tuple(f"{p}_" for p in "flcvpmi")
+        helpers = tuple(f"{p}_" for p in "flcvpmio")
         out = self.model.transform(self._vectors(self._columns(df)))
         return out.drop(*[c for c in out.columns if c.startswith(helpers) and c not in df.columns])
 
+    def names(self, transformed: DataFrame) -> list[tuple[str, str]]:
+        """(source column, name) of each place of the feature vector, from its attributes."""
+        words = {s.getOutputCol(): s.vocabulary for s in self.model.stages if hasattr(s, "vocabulary")}
+        known = {f"f_has_{c}": (c, f"{c} known") for c in self.vectors} | {f"f_{c}_{x}": (c, f"{c} {x}") for c in self.angles for x in ("sin", "cos")} | {f"f_{c}": (c, c) for c in [*self.numbers, *self.flags]}
+        attributes = sorted((a["idx"], a["name"]) for kind in transformed.schema["features"].metadata["ml_attr"]["attrs"].values() for a in kind)
+
+        def named(raw: str) -> tuple[str, str]:
+            if raw in known:
+                return known[raw]
+            for c in self.lists:
+                if raw.startswith(f"m_{c}_") and raw[len(c) + 3 :].isdigit():
+                    return c, f"{c}={words[f'm_{c}'][int(raw[len(c) + 3 :])]}"
+            for c in self.categories:
+                if raw.startswith(f"o_{c}_"):
+                    return c, f"{c}={raw[len(c) + 3 :]}"
+            for c in self.vectors:
+                if raw.startswith(f"p_{c}_"):
+                    return c, f"{c}[{raw[len(c) + 3 :]}]"
+            return raw, raw
+
+        return [named(name) for _, name in attributes]
+
 
 # --- learners and cross-validation ------------------------------------------------------------
 
@@ -156,7 +207,7 @@ REGRESSORS: dict[str, Callable] = {"gbt": lambda: GBTRegressor(maxIter=8, maxDep
 CLASSIFIERS: dict[str, Callable] = {"gbt": lambda: GBTClassifier(maxIter=8, maxDepth=4, seed=1), "forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=6, seed=1), "logistic": lambda: LogisticRegression(regParam=0.01, maxIter=25)}
 
 
-def out_of_fold(df: DataFrame, k: int, features: Callable[[], FoldFeatures], fit_predict: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def out_of_fold(df: DataFrame, k: int, features: Callable[[], FoldFeatures], fit_predict: FitPredict) -> DataFrame:
     """Predictions of every row by a model that never saw its fold; the loop is over the folds, not over rows."""
     parts = []
     for fold in range(k):
@@ -166,17 +217,21 @@ def out_of_fold(df: DataFrame, k: int, features: Callable[[], FoldFeatures], fit
     return reduce(DataFrame.unionByName, parts)
 
 
-def regression_cv(df: DataFrame, target: str, k: int, features: Callable[[], FoldFeatures], model: str = "gbt", how: str = "log1p", keep: list[str] = ()) -> DataFrame:
+FitPredict = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def regression(target: str, model: str = "gbt", how: str = "log1p", keep: list[str] = ()) -> FitPredict:
+    """keep, fold, y and pred of the test rows."""
+
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
-        train = train.withColumn("label", to_target(F.col(target), how))
-        fitted = REGRESSORS[model]().fit(train)
+        fitted = REGRESSORS[model]().fit(train.withColumn("label", to_target(F.col(target), how)))
         return fitted.transform(test).select(*keep, "fold", F.col(target).alias("y"), from_target(F.col("prediction"), how).alias("pred"))
 
-    return out_of_fold(df, k, features, run)
+    return run
 
 
-def screening_cv(df: DataFrame, target: str, k: int, features: Callable[[], FoldFeatures], q: float = 0.9, model: str = "gbt", keep: list[str] = ()) -> DataFrame:
-    """Score of being in the top share, whose threshold is the training rows' quantile."""
+def screening(target: str, q: float = 0.9, model: str = "gbt", keep: list[str] = ()) -> FitPredict:
+    """keep, fold, y_value, y and score of being in the top share, whose threshold is the training rows' quantile."""
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
         cut = table_quantiles(train, target, [q])[0]
@@ -185,10 +240,10 @@ def screening_cv(df: DataFrame, target: str, k: int, features: Callable[[], Fold
         p = vector_to_array("probability")[1]
         return fitted.transform(label(test)).select(*keep, "fold", F.col(target).alias("y_value"), F.col("label").cast("int").alias("y"), p.alias("score"))
 
-    return out_of_fold(df, k, features, run)
+    return run
 
 
-def two_stage_cv(df: DataFrame, target: str, k: int, features: Callable[[], FoldFeatures], q: float = 0.75, keep: list[str] = ()) -> DataFrame:
+def two_stage(target: str, q: float = 0.75, keep: list[str] = ()) -> FitPredict:
     """A classifier of the top share and a regressor on each side of it; the side is chosen by probability."""
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -200,38 +255,72 @@ def two_stage_cv(df: DataFrame, target: str, k: int, features: Callable[[], Fold
             scored = REGRESSORS["gbt"]().fit(part).transform(scored).withColumn(name, F.expm1("prediction")).drop("prediction")
         return scored.select(*keep, "fold", F.col(target).alias("y"), "p", F.when(F.col("p") >= 0.5, F.col("high")).otherwise(F.col("low")).alias("pred"))
 
-    return out_of_fold(df, k, features, run)
+    return run
 
 
-def quantile_class_cv(df: DataFrame, target: str, k: int, features: Callable[[], FoldFeatures], classes: int = 4, keep: list[str] = ()) -> DataFrame:
-    """Classes cut at the training rows' quantiles; predicted class, probabilities, and expected class."""
+def quantile_classes(target: str, classes: int = 4, keep: list[str] = (), precision: float = 0.5) -> FitPredict:
+    """Classes cut at the training rows' quantiles: y, pred, p (probabilities), expected class, mapped (the classes'
+    training medians weighted by p), and whether the top class's probability reaches the threshold that
+    has the precision on the training rows (chosen)."""
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
         edges = quantile_edges(train, target, classes)
         label = lambda d: d.withColumn("label", digitize(F.col(target), edges).cast("double"))
-        fitted = RandomForestClassifier(numTrees=20, maxDepth=6, seed=1).fit(label(train))
+        train = label(train)
+        middle = {int(r.label): float(r.m) for r in exact_quantiles(train, {"label": "label"}, {"m": (target, 0.5)}).collect()}  # a row a class
+        overall = table_quantiles(train, target, [0.5])[0]
+        fitted = RandomForestClassifier(numTrees=20, maxDepth=6, seed=1).fit(train)
         p = vector_to_array("probability")
-        expected = F.aggregate(F.transform(p, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
-        return fitted.transform(label(test)).select(*keep, "fold", F.col(target).alias("y_value"), F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"), p.alias("p"), expected.alias("expected"))
+        top = fitted.transform(train).select(p[classes - 1].alias("score"), (F.col("label") == classes - 1).cast("int").alias("y"))
+        best = best_threshold(top, precision).first()
+        sums = lambda values: F.aggregate(F.transform(p, lambda x, i: x * F.get(F.array(*map(F.lit, values)), i)), F.lit(0.0), lambda a, x: a + x)
+        out = fitted.transform(label(test)).select(
+            *keep, "fold", F.col(target).alias("y_value"), F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"), p.alias("p"), sums([float(c) for c in range(classes)]).alias("expected"), sums([middle.get(c, overall) for c in range(classes)]).alias("mapped"), (p[classes - 1] >= float(best.threshold)).alias("chosen")
+        )
+        return out
 
-    return out_of_fold(df, k, features, run)
+    return run
 
 
-def ranking_cv(df: DataFrame, target: str, by: str, k: int, features: Callable[[], FoldFeatures], keep: list[str] = ()) -> DataFrame:
+def ranking(target: str, by: str, keep: list[str] = ()) -> FitPredict:
     """Ranks within lists by a regressor on graded relevance; scores map to quantiles of the training target."""
     from .windows import graded_relevance
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
-        fitted = REGRESSORS["gbt"]().fit(graded_relevance(train, by, target, "label"))
-        grid = table_quantiles(train, target, [i / 100 for i in range(101)])
-        scored = fitted.transform(test).withColumnRenamed("prediction", "score")
-        n = scored.agg(F.count("*").alias("_n"))
-        cells = scored.groupBy("score").agg(F.count("*").alias("_c"))
-        place = before_counts(cells, [], "score", "_c").crossJoin(F.broadcast(n)).select(F.col("score").alias("_s"), F.floor(100 * F.col("before") / F.greatest(F.col("_n") - 1, F.lit(1))).cast("int").alias("_q"))  # one row
-        mapped = F.element_at(F.array(*[F.lit(x) for x in grid]), F.least(F.col("_q"), F.lit(100)) + 1)
-        return scored.join(place, F.col("score") == F.col("_s")).select(*keep, "fold", F.col(by), F.col(target).alias("y"), "score", mapped.alias("pred"))
+        fitted = REGRESSORS["gbt"]().fit(graded_relevance(train.where(F.col(by).isNotNull()), by, target, "label"))
+        return mapped_scores(fitted.transform(test).withColumnRenamed("prediction", "score"), train, target).select(*keep, "fold", F.col(by).alias("list"), F.col(target).alias("y"), "score", "pred")
+
+    return run
+
+
+def mapped_scores(scored: DataFrame, train: DataFrame, target: str) -> DataFrame:
+    """Adds pred: the training target's quantile at the score's place among the scores."""
+    grid = table_quantiles(train, target, [i / 100 for i in range(101)])
+    n = scored.agg(F.count("*").alias("_n"))
+    cells = scored.groupBy("score").agg(F.count("*").alias("_c"))
+    place = before_counts(cells, [], "score", "_c").crossJoin(F.broadcast(n)).select(F.col("score").alias("_s"), F.floor(100 * F.col("before") / F.greatest(F.col("_n") - 1, F.lit(1))).cast("int").alias("_q"))  # one row
+    mapped = F.element_at(F.array(*[F.lit(x) for x in grid]), F.least(F.col("_q"), F.lit(100)) + 1)
+    return scored.join(place, F.col("score") == F.col("_s")).withColumn("pred", mapped).drop("_s", "_q")
 
-    return out_of_fold(df, k, features, run)
+
+def regression_cv(df: DataFrame, target: str, k: int, features: Callable[[], FoldFeatures], model: str = "gbt", how: str = "log1p", keep: list[str] = ()) -> DataFrame:
+    return out_of_fold(df, k, features, regression(target, model, how, keep))
+
+
+def screening_cv(df: DataFrame, target: str, k: int, features: Callable[[], FoldFeatures], q: float = 0.9, model: str = "gbt", keep: list[str] = ()) -> DataFrame:
+    return out_of_fold(df, k, features, screening(target, q, model, keep))
+
+
+def two_stage_cv(df: DataFrame, target: str, k: int, features: Callable[[], FoldFeatures], q: float = 0.75, keep: list[str] = ()) -> DataFrame:
+    return out_of_fold(df, k, features, two_stage(target, q, keep))
+
+
+def quantile_class_cv(df: DataFrame, target: str, k: int, features: Callable[[], FoldFeatures], classes: int = 4, keep: list[str] = ()) -> DataFrame:
+    return out_of_fold(df, k, features, quantile_classes(target, classes, keep))
+
+
+def ranking_cv(df: DataFrame, target: str, by: str, k: int, features: Callable[[], FoldFeatures], keep: list[str] = ()) -> DataFrame:
+    return out_of_fold(df, k, features, ranking(target, by, keep)).withColumnRenamed("list", by)
 
 
 # --- metrics ----------------------------------------------------------------------------------
@@ -256,24 +345,31 @@ def digitize(value: Column, edges: list[float]) -> Column:
     return F.when(value.isNotNull(), sum(((value > e).cast("int") for e in edges), F.lit(0)))
 
 
-def class_metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
-    """Accuracy, macro F1, and precision and recall of the top class (one row)."""
-    cells = df.groupBy(F.col(y).alias("_y"), F.col(pred).alias("_p")).agg(F.count("*").alias("_n"))
-    labels = cells.select(F.explode(F.array("_y", "_p")).alias("c")).distinct()
-    m = cells.crossJoin(F.broadcast(labels))  # classes are a handful
-    per = m.groupBy("c").agg(*[F.coalesce(F.sum(F.when(cond, F.col("_n"))), F.lit(0)).alias(n) for n, cond in (("tp", (F.col("_y") == F.col("c")) & (F.col("_p") == F.col("c"))), ("yes", F.col("_y") == F.col("c")), ("said", F.col("_p") == F.col("c")))])
+def class_metrics(df: DataFrame, y: str = "y", pred: str = "pred", by: list[str] = ()) -> DataFrame:
+    """Accuracy, macro F1, and precision and recall of the top class (one row a group)."""
+    cells = df.groupBy(*by, F.col(y).alias("_y"), F.col(pred).alias("_p")).agg(F.count("*").alias("_n"))
+    zero, hit = F.lit(0).cast("long"), F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(F.lit(0).cast("long"))
+    sides = F.array(F.struct(F.col("_y").alias("c"), F.col("_n").alias("yes"), zero.alias("said"), hit.alias("tp")), F.struct(F.col("_p").alias("c"), zero.alias("yes"), F.col("_n").alias("said"), zero.alias("tp")))
+    per = cells.select(*by, F.explode(sides).alias("_x")).groupBy(*by, "_x.c").agg(*[F.sum(f"_x.{n}").alias(n) for n in ("tp", "yes", "said")])
     f1 = F.coalesce(ratio(2 * F.col("tp"), F.col("yes") + F.col("said")), F.lit(0.0))
     top = F.max(F.struct("c", ratio(F.col("tp"), F.col("yes")).alias("r"), ratio(F.col("tp"), F.col("said")).alias("p")))
-    return per.agg((F.sum("tp") / F.sum("yes")).alias("accuracy"), F.avg(f1).alias("macro_f1"), top.alias("t")).select("accuracy", "macro_f1", F.col("t.r").alias("top_recall"), F.col("t.p").alias("top_precision"))
+    return per.groupBy(*by).agg((F.sum("tp") / F.sum("yes")).alias("accuracy"), F.avg(f1).alias("macro_f1"), top.alias("t")).select(*by, "accuracy", "macro_f1", F.col("t.r").alias("top_recall"), F.col("t.p").alias("top_precision"))
 
 
-def auc(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
-    """Exact area under the ROC curve by rank sums; ties count half."""
-    cells = df.groupBy(F.col(score).alias("_s")).agg(F.sum(F.col(y).cast("long")).alias("_a"), F.count("*").alias("_t"))
-    ranked = before_counts(cells, [], "_s", "_t").withColumn("_r", F.col("before") + (F.col("_t") + 1) / 2)
+def auc(df: DataFrame, score: str = "score", y: str = "y", by: list[str] = ()) -> DataFrame:
+    """Exact area under the ROC curve by rank sums, per group; ties count half; null without both outcomes."""
+    cells = df.groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.col(y).cast("long")).alias("_a"), F.count("*").alias("_t"))
+    ranked = before_counts(cells, list(by), "_s", "_t").withColumn("_r", F.col("before") + (F.col("_t") + 1) / 2)
     n1, n = F.sum("_a").cast("double"), F.sum("_t").cast("double")
     u = F.sum(F.col("_a") * F.col("_r")) - n1 * (n1 + 1) / 2
-    return ranked.agg(ratio(u, n1 * (n - n1)).alias("auc"))
+    return ranked.groupBy(*by).agg(ratio(u, n1 * (n - n1)).alias("auc"))
+
+
+def auc_of_classes(df: DataFrame, p: str = "p", y: str = "y", by: list[str] = ()) -> DataFrame:
+    """Mean over the classes of the area of each class's probability against the rest (null if a class is missing)."""
+    long = df.select(*by, F.col(y).alias("_y"), F.posexplode(p).alias("_class", "_score")).withColumn("_hit", (F.col("_y") == F.col("_class")).cast("int"))
+    areas = auc(long, "_score", "_hit", [*by, "_class"])
+    return areas.groupBy(*by).agg(F.when(F.count("auc") == F.count("*"), F.avg("auc")).alias("auc_ovr"))
 
 
 def lift_at(df: DataFrame, fractions: list[float], score: str = "score", y: str = "y", key: str = "video_id", by: list[str] = ()) -> DataFrame:
@@ -323,21 +419,49 @@ def best_threshold(df: DataFrame, precision: float, score: str = "score", y: str
     return best.select(*[pick(n) for n in ("threshold", "precision", "recall", "f1")], F.col("a").isNotNull().alias("reached"))
 
 
-def calibrate(df: DataFrame, classes: int, p: str = "p", y: str = "y") -> DataFrame:
-    """One-vs-rest isotonic calibration fitted on the other folds, renormalised per row."""
-    parts = []
-    folds = [r.fold for r in df.select("fold").distinct().orderBy("fold").collect()]
-    for fold in folds:
-        train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
-        for c in range(classes):
-            at = lambda d: d.withColumn("features", F.coalesce(F.try_element_at(p, F.lit(c + 1)), F.lit(0.0)))  # noqa: B023, E731
-            fitted = IsotonicRegression(labelCol="_y").fit(at(train).withColumn("_y", (F.col(y) == c).cast("double")))
-            test = fitted.transform(at(test)).withColumnRenamed("prediction", f"_c{c}").drop("features")
-        parts.append(test)
-    out = reduce(DataFrame.unionByName, parts)
-    total = sum((F.col(f"_c{c}") for c in range(classes)), F.lit(0.0))
-    scaled = F.array(*[F.when(total > 0, F.col(f"_c{c}") / total).otherwise(1.0 / classes) for c in range(classes)])
-    return out.withColumn("calibrated", scaled).drop(*[f"_c{c}" for c in range(classes)])
+def pool_adjacent(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Isotonic (never falling) rates of neighbouring cells: violators are pooled, weighted by ``n``."""
+    blocks: list[list[float]] = []  # hits, n, cells
+    for h, m in zip(hits, n, strict=True):
+        blocks.append([float(h), float(m), 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            h1, m1, c1 = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + h1, blocks[-1][1] + m1, blocks[-1][2] + c1]
+    return np.repeat([h / m for h, m, _ in blocks], [int(c) for *_, c in blocks])
+
+
+def calibration_map(df: DataFrame, classes: int, p: str = "p", y: str = "y", bins: int = 1024) -> DataFrame:
+    """(fold, class, bin, value): one-vs-rest isotonic rates of each class's probability, fitted on the other folds.
+
+    One job counts hits by fold, class and bin of the score; the counts of a fold's others are the
+    total less its own.  Pooling sees at most ``bins`` cells of a fold and class, whatever the rows are;
+    bins without rows are interpolated.
+    """
+    scores = df.select("fold", F.col(y).alias("_y"), F.posexplode(F.slice(p, 1, classes)).alias("class", "_s"))
+    at = F.least(F.floor(F.col("_s") * bins), F.lit(bins - 1)).cast("int")
+    cells = scores.groupBy("fold", "class", at.alias("bin")).agg(F.count_if(F.col("_y") == F.col("class")).alias("hits"), F.count("*").alias("n"))
+
+    def fitted(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        folds, grid, out = sorted(part["fold"].unique()), np.arange(bins), []
+        for fold in folds:
+            others = part[part["fold"] != fold].groupby("bin")[["hits", "n"]].sum().sort_index()
+            value = np.interp(grid, others.index.to_numpy(), pool_adjacent(others["hits"].to_numpy(), others["n"].to_numpy())) if len(others) else np.full(bins, np.nan)
+            out.append(pd.DataFrame({"fold": fold, "class": key[0], "bin": grid, "value": value}))
+        return pd.concat(out)
+
+    # at most folds x bins cells a class
+    return cells.groupBy("class").applyInPandas(fitted, "fold int, class int, bin int, value double")
+
+
+def calibrate(df: DataFrame, classes: int, p: str = "p", y: str = "y", bins: int = 1024) -> DataFrame:
+    """Adds calibrated: the class probabilities by ``calibration_map``, renormalised per row (equal where all are 0)."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct("class", "bin", "value"))), lambda x: x["value"])
+    maps = calibration_map(df, classes, p, y, bins).groupBy(F.col("fold").alias("_f")).agg(values.alias("_map"))  # folds x classes x bins numbers
+    rows = df.join(F.broadcast(maps), F.col("fold") == F.col("_f"), "left")
+    found = lambda x, c: F.coalesce(F.get("_map", c * bins + F.least(F.floor(x * bins), F.lit(bins - 1)).cast("int")), F.lit(0.0))
+    raw = rows.withColumn("_raw", F.transform(F.slice(p, 1, classes), found))
+    total = F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x)
+    return raw.withColumn("_total", total).withColumn("calibrated", F.transform("_raw", lambda x: F.when(F.col("_total") > 0, x / F.col("_total")).otherwise(1.0 / classes))).drop("_f", "_map", "_raw", "_total")
 
 
 def screening_summary(scored: DataFrame, key: str = "video_id") -> dict[str, float]:

@@ -116,11 +116,12 @@ def average_ranks(df: DataFrame, value: str, name: str, by: list[str] = ()) -> D
     return df.join(ranks.drop("_t", "before"), [*by, value], "left")
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation over rows with both values; null below three rows."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    ranked = average_ranks(average_ranks(rows, x, "_rx"), y, "_ry")
-    return ranked.agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr("_rx", "_ry")).alias("rho"))
+def spearman(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
+    """Rank correlation over rows with both values, per group; null below three rows."""
+    by = list(by)
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    ranked = average_ranks(average_ranks(rows, "_x", "_rx", by), "_y", "_ry", by)
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr("_rx", "_ry")).alias("rho"))
 
 
 def stratified_sample(df: DataFrame, stratum: str, n: int, key: str, seed: int = 7) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import ratio
 from .quantiles import group_stats
 
 
@@ -41,8 +40,24 @@ def top_percent(df: DataFrame, value: str, name: str = "top_percent") -> DataFra
     return df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
-def suffix_minimum(value: Column, order: Column, *by: str) -> Column:
-    return F.min(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+def suffix_minimum(df: DataFrame, value: str, by: str, order: list[str], name: str, ranges: int = 64) -> DataFrame:
+    """Smallest value of the row and the later ones of its group, in order of the columns (the first a number or time, nulls first).
+
+    Groups are cut into ranges of the first order column: the minimum runs inside a range, and the
+    minima of the later ranges (at most ``ranges`` of a group) are added.
+    """
+    first = F.col(order[0])
+    if df.schema[order[0]].dataType.typeName().startswith("timestamp"):
+        first = F.unix_micros(first.cast("timestamp"))
+    first = first.cast("double")
+    cuts = F.array_distinct(F.percentile_approx(first, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 1000))
+    edges = df.groupBy(F.col(by).alias("_g")).agg(cuts.alias("_e"))
+    rows = df.join(edges, F.col(by).eqNullSafe(F.col("_g"))).withColumn("_range", F.coalesce(F.size(F.filter("_e", lambda e: e < first)), F.lit(-1))).drop("_e", "_g")
+    least = rows.groupBy(F.col(by).alias("_g"), F.col("_range").alias("_r")).agg(F.min(value).alias("_m"))
+    least = least.withColumn("_later", F.min("_m").over(Window.partitionBy("_g").orderBy("_r").rowsBetween(1, Window.unboundedFollowing))).drop("_m")
+    inside = F.min(value).over(Window.partitionBy(by, "_range").orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = rows.withColumn("_in", inside).join(least, F.col(by).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return rows.withColumn(name, F.least("_in", "_later")).drop("_range", "_in", "_g", "_r", "_later")
 
 
 def graded_relevance(df: DataFrame, by: str, value: str, name: str = "relevance") -> DataFrame:
@@ -118,10 +133,6 @@ def parents_with_children(parents: DataFrame, children: DataFrame, key: str, met
     return best.join(children.select(key).distinct(), key, "left_semi").orderBy(F.desc_nulls_last(metric), key).limit(n)
 
 
-def share_of_total(df: DataFrame, value: str, *by: str) -> DataFrame:
-    return df.withColumn("share", ratio(F.col(value), F.sum(value).over(Window.partitionBy(*by))))
-
-
 def smoothed_overlap(a: Column, b: Column) -> Column:
     """|A and B| / (|A or B| + 1)."""
     return F.size(F.array_intersect(a, b)) / (F.size(F.array_union(a, b)) + 1)

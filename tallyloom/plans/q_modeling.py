@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import dot, unit
+from ..operators import comparisons as cmp
 from ..operators import features as fe
 from ..operators import modeling as ml
 from ..operators.quantiles import table_quantiles
+from ..operators.stats import spearman
 from .common import duck, floats, measured, settled, table, tidy
 from .q_retrieval import vectors
 
@@ -98,9 +102,13 @@ def _(spark, sf):
     return a.select("video_id", "prior").unionByName(b.select("video_id", "prior"))
 
 
-@query("ml08_author_folds", None)
+@query("ml08_author_folds", duck("SELECT count(*) AS n, count(DISTINCT author_id) AS authors, 5 AS folds, 0 AS in_two_folds, true AS balanced FROM m WHERE wer IS NOT NULL"))
 def _(spark, sf):
-    return ml.fold_balance(ml.author_folds(frame(spark, sf)), "wer")
+    rows = settled(ml.author_folds(frame(spark, sf)))
+    sizes = ml.fold_balance(rows, "wer")
+    spread = sizes.agg(F.count("*").alias("folds"), (F.max("n") <= 1.05 * F.min("n")).alias("balanced"))
+    twice = rows.groupBy("author_id").agg(F.count_distinct("fold").alias("k")).agg(F.count("*").alias("authors"), F.count_if(F.col("k") > 1).alias("in_two_folds"))
+    return rows.agg(F.count("*").alias("n")).crossJoin(twice).crossJoin(spread)  # one row each
 
 
 @query("ml09_regression_cv", None)
@@ -118,9 +126,10 @@ def _(spark, sf):
     return ml.regression_metrics(fitted.transform(built.transform(test)).select(F.col("wer").alias("y"), F.expm1("prediction").alias("pred")))
 
 
-@query("ml11_regression_metrics", floats("SELECT count(*) AS n, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse, sqrt(avg(pow(ln(1 + y) - ln(1 + p), 2))) AS rmsle, avg(abs(ln(1 + y) - ln(1 + p))) AS mae_log, avg(COALESCE(2 * abs(y - p) / nullif(abs(y) + abs(p), 0), 0)) AS smape FROM (SELECT l_quantity AS y, l_linenumber * 7 AS p FROM lineitem)", "mae", "rmse", "rmsle", "mae_log", "smape"))
+@query("ml11_regression_metrics", floats("SELECT count(*) AS n, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse, sqrt(avg(pow(ln(1 + y) - ln(1 + p), 2))) AS rmsle, avg(abs(ln(1 + y) - ln(1 + p))) AS mae_log, avg(COALESCE(2 * abs(y - p) / nullif(abs(y) + abs(p), 0), 0)) AS smape, corr(ry, rp) AS spearman FROM (SELECT *, avg(r0) OVER (PARTITION BY y) AS ry, avg(r1) OVER (PARTITION BY p) AS rp FROM (SELECT *, row_number() OVER (ORDER BY y) AS r0, row_number() OVER (ORDER BY p) AS r1 FROM (SELECT l_quantity AS y, l_linenumber * 7 AS p FROM lineitem)))", "mae", "rmse", "rmsle", "mae_log", "smape", "spearman"))
 def _(spark, sf):
-    return ml.regression_metrics(table(spark, sf, "lineitem").select(F.col("l_quantity").alias("y"), (F.col("l_linenumber") * 7).alias("pred")))
+    rows = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("y"), (F.col("l_linenumber") * 7).alias("pred"))
+    return ml.regression_metrics(rows).crossJoin(spearman(rows, "pred", "y").select(F.col("rho").alias("spearman")))  # one row each
 
 
 @query("ml12_two_stage", None)
@@ -138,7 +147,29 @@ def _(spark, sf):
 def _(spark, sf):
     scored = ml.quantile_class_cv(ml.author_folds(frame(spark, sf), 2), "wer", 2, plain, keep=["video_id"])
     c = ml.calibrate(scored, 4)
-    return c.select("video_id", "y", "pred", "expected", F.aggregate("calibrated", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return c.select("video_id", "y", "pred", "expected", "mapped", "chosen", F.aggregate("calibrated", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+GRADED = "SELECT o_orderkey, o_custkey % 3 AS fold, CASE WHEN o_totalprice > 200000 THEN 2 WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS y, (o_orderkey % 90 + 5) / 100.0 AS p0 FROM orders"
+
+
+def graded_orders(spark, sf):
+    price, p0 = F.col("o_totalprice"), (F.col("o_orderkey") % 90 + 5) / F.lit(100.0)
+    return table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 3).cast("int").alias("fold"), F.when(price > 200000, 2).when(price > 100000, 1).otherwise(0).alias("y"), F.array(p0, (1 - p0) / 4, (1 - p0) * 3 / 4).alias("p"))
+
+
+@query("ml18_calibration_map", f"SELECT CAST(fold AS BIGINT) AS fold, c AS class, 1024 AS bins, true AS monotone, true AS in_range FROM (SELECT DISTINCT fold FROM ({GRADED})) CROSS JOIN (VALUES (0), (1), (2)) AS k(c)")
+def _(spark, sf):
+    found = ml.calibration_map(graded_orders(spark, sf), 3)
+    before = F.lag("value").over(Window.partitionBy("fold", "class").orderBy("bin"))  # 1,024 bins
+    found = found.withColumn("falls", F.col("value") < before - 1e-12)
+    return found.groupBy("fold", "class").agg(F.count("*").alias("bins"), (F.count_if("falls") == 0).alias("monotone"), (F.count_if(F.col("value").between(0, 1)) == F.count("*")).alias("in_range"))
+
+
+@query("ml15_auc_of_classes", floats(f"SELECT avg(a) AS auc_ovr FROM (SELECT c, (sum(CASE WHEN hit = 1 THEN rk END) - sum(hit) * (sum(hit) + 1) / 2) / (sum(hit) * (count(*) - sum(hit))) AS a FROM (SELECT c, hit, avg(r0) OVER (PARTITION BY c, s) AS rk FROM (SELECT c, hit, s, row_number() OVER (PARTITION BY c ORDER BY s) AS r0 FROM (SELECT c, CAST(y = c AS INT) AS hit, round(CASE c WHEN 0 THEN p0 WHEN 1 THEN (1 - p0) / 4 ELSE (1 - p0) * 3 / 4 END, 9) AS s FROM ({GRADED}) CROSS JOIN (VALUES (0), (1), (2)) AS k(c)))) GROUP BY c)", "auc_ovr"))
+def _(spark, sf):
+    rows = graded_orders(spark, sf)
+    return ml.auc_of_classes(rows.withColumn("p", F.transform("p", lambda x: F.round(x, 9))))
 
 
 PRED = "SELECT o_orderkey % 3 AS y, (o_custkey % 4 + o_orderkey) % 3 AS p FROM orders"
@@ -179,14 +210,149 @@ def _(spark, sf):
 @query("ml19_ml20_screening", None)
 def _(spark, sf):
     rows = ml.author_folds(frame(spark, sf), 3)
-    return ml.rank_models(ml.compare(rows, "wer", 3, {"plain logistic": (plain, "logistic"), "plain trees": (plain, "gbt")}))
+    return ml.rank_models(ml.compare(rows, "wer", 3, {"plain logistic": (plain, "logistic"), "plain trees": (plain, "gbt"), "plain forest": (plain, "forest")}))
+
+
+# --- comparison tables ------------------------------------------------------------------------
+
+FOLDS = 2
+METADATA = ["author_follower_count", "video_duration_sec", "post_hour", "post_weekday", "is_official_brand", "source_type", "brand"]
+LABELS = ["content_type", "brand_styles", "product_lines"]
+CROSSES = ["brand_x_content", "brand_x_style", "content_x_duration", "content_x_hour", "brand_x_hour", "style_x_duration"]
+RUNGS = {"M0 metadata": METADATA, "M1 labels": LABELS, "M2 text vectors": ["text_vec"], "M3a visual axes": ["visual_format"], "M3b visual vectors": ["visual_vec"], "M4 alignment": ["alignment"]}
+LEARNERS = ["gbt", "forest", "logistic"]
+
+
+def everything():
+    return ml.FoldFeatures(numbers=["author_follower_count", "video_duration_sec", "alignment"], angles={"post_hour": 24, "post_weekday": 7}, flags=["is_official_brand", "is_weekend"], lists=LABELS, categories=["source_type", "brand", "visual_format", *CROSSES], vectors={"text_vec": 4, "visual_vec": 4})
+
+
+def fold_cache(spark, sf):
+    """Features of all posts with a value; the fold of an author is one that SQL can tell as well."""
+    rows = fe.with_crosses(vectors(spark, sf)).where("wer is not null").withColumns({"alignment": dot(unit(F.col("text_vec")), unit(F.col("visual_vec"))), "fold": (F.col("author_id").cast("long") % FOLDS).cast("int")})
+    rows = settled(rows.select("video_id", "author_id", "wer", "fold", "alignment", "is_weekend", "week_start", *METADATA, *LABELS, "visual_format", *CROSSES, "text_vec", "visual_vec"))
+    return cmp.FoldCache(rows, FOLDS, everything, ["video_id", "author_id", "brand", "week_start", "wer"])
+
+
+TABLES = {
+    "decision_layer": lambda c: cmp.decision_layer(c, "wer", "video_id", "brand", "author_id"),
+    "feature_ablation": lambda c: cmp.screened(c, "wer", "video_id", {"base": ([*METADATA, *LABELS, "text_vec"], "logistic"), "+crosses": ([*METADATA, *LABELS, "text_vec", *CROSSES], "logistic"), "+visual": ([*METADATA, *LABELS, "text_vec", "visual_vec"], "logistic"), "+crosses+visual": ([*METADATA, *LABELS, "text_vec", *CROSSES, "visual_vec"], "logistic")}, 0.75),
+    "modality_ladder": lambda c: cmp.ladder(c, "wer", "video_id", RUNGS),
+    "champion": lambda c: cmp.champion_and_challengers(c, "wer", "video_id", LEARNERS),
+    "class_and_rank": lambda c: cmp.classes_and_ranks(c, "wer", "video_id", ["week_start", "brand"]),
+    "recipes": lambda c: cmp.recipes(c, "wer", "video_id", "brand", "author_id", "brand"),
+}
+_CACHES, _PREDICTED = {}, {}
+
+
+def predicted(spark, sf, table):
+    """Out-of-fold predictions of a comparison; within a session its two queries read the same written table."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _CACHES:
+        _CACHES.clear()
+        _PREDICTED.clear()
+        _CACHES[at] = fold_cache(spark, sf)
+    if table not in _PREDICTED:
+        _PREDICTED[table] = TABLES[table](_CACHES[at])
+    return _PREDICTED[table]
+
+
+R = f"r AS (SELECT video_id, brand, wer, CAST(author_id AS BIGINT) % {FOLDS} AS fold FROM m WHERE wer IS NOT NULL)"
+
+
+def _checks(labels, hit=None, q=0.75):
+    """SQL: every variant predicts every row once, in the fold of its author, within range; and how many are hits of the
+    event that the other fold's quantile sets."""
+    names = ", ".join(f"('{n}')" for n in labels)
+    share = f", avg(rate) AS base_rate" if hit else ""
+    cuts = f", e AS (SELECT f AS fold, (SELECT quantile_cont(wer, {q}) FROM r WHERE fold <> f) AS cut FROM (SELECT unnest(range({FOLDS})) AS f))"
+    rate = f", avg(CASE WHEN wer {hit} cut THEN 1.0 ELSE 0.0 END) AS rate" if hit else ""
+    text = f"SELECT label, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS keys, count(*) AS folds, true AS in_range{share} FROM (SELECT fold, count(*) AS n{rate} FROM r JOIN e USING (fold) GROUP BY fold) CROSS JOIN (VALUES {names}) AS l(label) GROUP BY label"
+    sql = duck("@@", *(["base_rate"] if hit else []))
+    return sql.replace("@@", text).replace("comments AS (", f"{R}{cuts}, comments AS (", 1)
+
+
+def checked(rows, in_range, hit=None):
+    rate = [F.avg(hit.cast("double")).alias("rate")] if hit is not None else []
+    by = rows.groupBy("label", "fold").agg(F.count("*").alias("n"), F.count_distinct("video_id").alias("keys"), F.min(in_range).alias("in_range"), *rate)
+    return by.groupBy("label").agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"), F.count("*").alias("folds"), F.min("in_range").alias("in_range"), *([F.avg("rate").alias("base_rate")] if rate else []))
+
+
+DECISIONS = ["classes", "classes+shrinkage", "classes+isotonic", "classes+shrinkage+isotonic"]
+
+
+@query("ml21_decision_layer", None)
+def _(spark, sf):
+    return cmp.decision_metrics(predicted(spark, sf, "decision_layer"), "video_id")
+
+
+@query("ml21_decision_layer_checks", _checks(DECISIONS, ">"))
+def _(spark, sf):
+    rows = predicted(spark, sf, "decision_layer")
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    return checked(rows, F.abs(total - 1) < 1e-6, F.col("y") == F.col("classes") - 1)
+
+
+for _name, _labels, _q in (("feature_ablation", ["base", "+crosses", "+visual", "+crosses+visual"], 0.75), ("modality_ladder", list(RUNGS), 0.9), ("champion", ["champion: classes", *[f"challenger: {m}" for m in LEARNERS]], 0.75)):
+
+    @query(f"ml21_{_name}", None)
+    def _(spark, sf, name=_name):
+        rows = predicted(spark, sf, name)
+        return cmp.ladder_metrics(rows, "video_id", list(RUNGS)) if name == "modality_ladder" else cmp.by_protocol(cmp.screening_metrics(rows, "video_id"))
+
+    @query(f"ml21_{_name}_checks", _checks(_labels, ">=", _q))
+    def _(spark, sf, name=_name):
+        return checked(predicted(spark, sf, name), F.col("score").between(0, 1), F.col("y") == 1)
+
+
+@query("ml21_class_and_rank", None)
+def _(spark, sf):
+    return cmp.class_and_rank_metrics(predicted(spark, sf, "class_and_rank"))
+
+
+@query("ml21_class_and_rank_checks", _checks(["regression", "classes 4", "classes 5", "ranks by week_start", "ranks by brand"]))
+def _(spark, sf):
+    return checked(predicted(spark, sf, "class_and_rank"), F.col("pred") >= 0)
+
+
+@query("ml21_recipes", None)
+def _(spark, sf):
+    return cmp.value_metrics(predicted(spark, sf, "recipes"), "baseline").orderBy("mae")
+
+
+NAIVE = "b AS (SELECT f AS fold, brand AS bb, median(wer) AS med FROM r JOIN (SELECT unnest(range(2)) AS f) ON r.fold <> f GROUP BY f, brand), p AS (SELECT r.fold, wer AS y, med AS p, med AS base FROM r JOIN b ON r.fold = b.fold AND r.brand IS NOT DISTINCT FROM bb)"
+
+
+@query("ml21_naive_baseline", duck("SELECT avg(mae) AS mae, avg(rmse) AS rmse, avg(smape) AS smape, avg(mae_bri) AS mae_bri, CAST(sum(n) AS BIGINT) AS n FROM (SELECT fold, count(*) AS n, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse, avg(COALESCE(2 * abs(y - p) / nullif(abs(y) + abs(p), 0), 0)) AS smape, avg(abs(y / base - p / base)) AS mae_bri FROM p GROUP BY fold)", "mae", "rmse", "smape", "mae_bri").replace("comments AS (", f"{R}, {NAIVE}, comments AS (", 1))
+def _(spark, sf):
+    rows = predicted(spark, sf, "recipes").where("label = 'naive brand median'")
+    return cmp.value_metrics(rows, "baseline").select("mae", "rmse", "smape", "mae_bri").crossJoin(rows.agg(F.count("*").alias("n")))  # one row each
+
+
+@query("ml21_recipes_checks", _checks(["raw target", "log1p target", "log target", "raw target, priors", "log target, priors", "forest, raw target, priors", "two stages", "ranks by brand", "naive brand median"]))
+def _(spark, sf):
+    return checked(predicted(spark, sf, "recipes"), F.col("pred") >= 0)
+
+
+@query("ml09_gain_importances", "SELECT true AS sums_to_one, 0 AS negative")
+def _(spark, sf):
+    predicted(spark, sf, "modality_ladder")
+    found = cmp.gain_importances(_CACHES[spark.sparkContext.applicationId, sf], "wer", columns=[*METADATA, *LABELS])
+    return found.agg((F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one"), F.count_if(F.col("importance") < 0).alias("negative"))
+
+
+@query("ml09_ml24_importance_families", None)
+def _(spark, sf):
+    predicted(spark, sf, "modality_ladder")
+    found = cmp.gain_importances(_CACHES[spark.sparkContext.applicationId, sf], "wer")
+    families = [(c, f) for f, cs in {"metadata": METADATA, "labels": LABELS, "crosses": CROSSES, "vectors": ["text_vec", "visual_vec", "alignment"], "visual axes": ["visual_format"]}.items() for c in cs]
+    return ml.driver_families(found.select("feature", "importance"), spark.createDataFrame(families, "prefix string, family string"))
 
 
-@query("ml21_modality_ladder", None)
+@query("ml26_permutation_importances", None)
 def _(spark, sf):
-    rows = ml.author_folds(frame(spark, sf), 2)
-    metadata = lambda: ml.FoldFeatures(numbers=["author_follower_count"], categories=["source_type"])
-    return ml.compare(rows, "wer", 2, {"M0 metadata": (metadata, "logistic"), "M1 labels": (plain, "logistic"), "M2 vectors": (full, "logistic")})
+    predicted(spark, sf, "modality_ladder")
+    return cmp.permutation_importances(_CACHES[spark.sparkContext.applicationId, sf], "wer", "video_id", "forest")
 
 
 @query("ml22_random_search", None)

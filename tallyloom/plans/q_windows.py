@@ -90,7 +90,7 @@ def _(spark, sf):
 
 @query("wn06_suffix_minimum", "SELECT event_id, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least FROM events")
 def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", wn.suffix_minimum(F.col("value"), F.struct("ts", "event_id"), "user_id").alias("least"))
+    return wn.suffix_minimum(table(spark, sf, "events"), "value", "user_id", ["ts", "event_id"], "least").select("event_id", "least")
 
 
 @query("wn07_leave_one_out", floats("SELECT event_id, COALESCE((sum(value) OVER w - value) / nullif(count(*) OVER w - 1, 0), -1) AS others FROM events WINDOW w AS (PARTITION BY user_id, event_type)", "others"))
