@@ -49,7 +49,8 @@ class FoldCache:
             rows = settled(rows.select(*keep, "fold", "features"))
             return Fold(i, rows.where(F.col("fold") != i), rows.where(F.col("fold") == i), names)
 
-        self.folds = self.side_by_side([lambda i=i: build(i) for i in range(k)])
+        # one after the other: the decomposition inside Spark ML's PCA doesn't stand being called by several threads
+        self.folds = [build(i) for i in range(k)]
 
     def side_by_side(self, jobs: list[Callable]) -> list:
         with ThreadPoolExecutor(self.parallel) as pool:
