@@ -252,7 +252,7 @@ def two_stage(target: str, q: float = 0.75, keep: list[str] = ()) -> FitPredict:
         scored = CLASSIFIERS["gbt"]().fit(train).transform(test).withColumn("p", vector_to_array("probability")[1]).drop("prediction", "rawPrediction", "probability")
         for name, side in (("low", 0), ("high", 1)):
             part = train.where(F.col("label") == side).withColumn("label", F.log1p(target))
-            scored = REGRESSORS["gbt"]().fit(part).transform(scored).withColumn(name, F.expm1("prediction")).drop("prediction")
+            scored = REGRESSORS["gbt"]().fit(part).transform(scored).withColumn(name, from_target(F.col("prediction"), "log1p")).drop("prediction")
         return scored.select(*keep, "fold", F.col(target).alias("y"), "p", F.when(F.col("p") >= 0.5, F.col("high")).otherwise(F.col("low")).alias("pred"))
 
     return run

@@ -229,7 +229,7 @@ def everything():
 
 def fold_cache(spark, sf):
     """Features of all posts with a value; the fold of an author is one that SQL can tell as well."""
-    rows = fe.with_crosses(vectors(spark, sf)).where("wer is not null").withColumns({"alignment": dot(unit(F.col("text_vec")), unit(F.col("visual_vec"))), "fold": (F.col("author_id").cast("long") % FOLDS).cast("int")})
+    rows = fe.with_crosses(vectors(spark, sf)).where("wer is not null").withColumns({"alignment": dot(unit(F.col("text_vec")), unit(F.col("visual_vec"))), "fold": (F.floor(F.col("author_id").cast("long") / 7) % FOLDS).cast("int")})
     rows = settled(rows.select("video_id", "author_id", "wer", "fold", "alignment", "is_weekend", "week_start", *METADATA, *LABELS, "visual_format", *CROSSES, "text_vec", "visual_vec"))
     return cmp.FoldCache(rows, FOLDS, everything, ["video_id", "author_id", "brand", "week_start", "wer"])
 
@@ -257,7 +257,7 @@ def predicted(spark, sf, table):
     return _PREDICTED[table]
 
 
-R = f"r AS (SELECT video_id, brand, wer, CAST(author_id AS BIGINT) % {FOLDS} AS fold FROM m WHERE wer IS NOT NULL)"
+R = f"r AS (SELECT video_id, brand, wer, (CAST(author_id AS BIGINT) // 7) % {FOLDS} AS fold FROM m WHERE wer IS NOT NULL)"
 
 
 def _checks(labels, hit=None, q=0.75):
@@ -320,7 +320,7 @@ def _(spark, sf):
     return cmp.value_metrics(predicted(spark, sf, "recipes"), "baseline").orderBy("mae")
 
 
-NAIVE = "b AS (SELECT f AS fold, brand AS bb, median(wer) AS med FROM r JOIN (SELECT unnest(range(2)) AS f) ON r.fold <> f GROUP BY f, brand), p AS (SELECT r.fold, wer AS y, med AS p, med AS base FROM r JOIN b ON r.fold = b.fold AND r.brand IS NOT DISTINCT FROM bb)"
+NAIVE = "b AS (SELECT f AS fold, COALESCE(brand, '') AS bb, median(wer) AS med FROM r JOIN (SELECT unnest(range(2)) AS f) ON r.fold <> f GROUP BY f, COALESCE(brand, '')), p AS (SELECT r.fold, wer AS y, med AS p, med AS base FROM r JOIN b ON r.fold = b.fold AND COALESCE(r.brand, '') = bb)"
 
 
 @query("ml21_naive_baseline", duck("SELECT avg(mae) AS mae, avg(rmse) AS rmse, avg(smape) AS smape, avg(mae_bri) AS mae_bri, CAST(sum(n) AS BIGINT) AS n FROM (SELECT fold, count(*) AS n, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse, avg(COALESCE(2 * abs(y - p) / nullif(abs(y) + abs(p), 0), 0)) AS smape, avg(abs(y / base - p / base)) AS mae_bri FROM p GROUP BY fold)", "mae", "rmse", "smape", "mae_bri").replace("comments AS (", f"{R}, {NAIVE}, comments AS (", 1))
