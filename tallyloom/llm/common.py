@@ -67,13 +67,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches of this session hold at most ``rows`` rows (fewer stay fewer): texts make rows heavy, and a
-    Python worker holds a batch and its result at once."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16_000_000) -> None:
+    """Let Arrow batches of this session hold at most ``rows`` rows and about ``size`` bytes (fewer stay fewer): texts and
+    tiles make rows heavy, and a Python worker holds a batch and its result at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name))
     if now <= 0 or now > rows:
         spark.conf.set(name, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

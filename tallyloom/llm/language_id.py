@@ -243,7 +243,7 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", keep_t
             buf, offsets = text_buffer(column)
             known = _lettered(column) & bool(model.langs)
             pred, score, close = np.full(len(column), UNKNOWN, object), np.zeros(len(column)), np.zeros(len(column), bool)
-            for i, j in slices(offsets) if model.langs else ():
+            for i, j in slices(offsets, 1_000_000) if model.langs else ():
                 best, top, second = model.decode(*model.margins(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 at = np.flatnonzero(known[i:j])
                 pred[i + at] = np.array(model.langs, object)[best[at]]
