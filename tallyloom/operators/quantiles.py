@@ -1,20 +1,21 @@
 """Exact quantiles of groups of any size, with bounded memory in every task.
 
-A first pass sketches each group (a few kilobytes, combined before the shuffle) and brackets every
-wanted quantile between two values about 0.2 % of the group apart.  The second pass counts the rows
-below the bracket and keeps the values inside it, so the ordered part of a group is a few
-thousandths of it; groups of up to ``WHOLE`` rows are ordered whole.  Values between two rows are
-interpolated.  A bracket that doesn't hold its quantile raises an error instead of a wrong figure.
+The values of a group are counted once, combined before the shuffle: a cell is a (group, value) with
+its number of rows, shared by all quantiles of that value column.  A group of more than ``WHOLE``
+distinct values is cut into ranges by approximate quantiles of its cells; the ranges' totals say which
+of them hold a wanted place, and only those are ordered.  The result is exact whatever the cuts are.
+Values between two rows are interpolated.  Other aggregates join the result at the end, a row a group.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WHOLE, ACCURACY, MARGIN = 10_000, 10_000, 0.001
+from ..sources.landing import settled
+
+#: Distinct values up to which a group is ordered whole; ranges of larger ones, and how finely they are cut.
+WHOLE, RANGES, ACCURACY = 1_000_000, 256, 2_000
 
 Quantiles = dict[str, tuple[Column | str, float]]
 
@@ -23,8 +24,9 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _same(left: list[str], right: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)], F.lit(True))
+def _group(by: dict[str, Column | str]) -> Column:
+    """The keys as one value that is never null itself."""
+    return F.struct(F.lit(0).alias("_"), *[_column(c).alias(f"k{i}") for i, c in enumerate(by.values())])
 
 
 def exact_quantiles(df: DataFrame, by: dict[str, Column | str], wanted: Quantiles) -> DataFrame:
@@ -32,55 +34,61 @@ def exact_quantiles(df: DataFrame, by: dict[str, Column | str], wanted: Quantile
 
     Null keys are groups; null values don't count.  Without keys it is one row, of nulls if there is no value.
     """
-    return _found(df, by, [], wanted)
+    columns = list({str(_column(v)): _column(v) for v, _ in wanted.values()}.items())
+    place = {text: i for i, (text, _) in enumerate(columns)}
+    values = F.array(*[F.struct(F.lit(i).alias("_m"), c.cast("double").alias("_v")) for i, (_, c) in enumerate(columns)])
+    rows = df.select(_group(by).alias("_g"), F.explode(values).alias("_x")).select("_g", "_x.*").where("_v is not null")
+    cells = settled(rows.groupBy("_g", "_m", "_v").agg(F.count("*").alias("_c")))  # read by several branches
+
+    names = F.array(*[F.struct(F.lit(n).alias("_q"), F.lit(place[str(_column(v))]).alias("m"), F.lit(float(q)).alias("q")) for n, (v, q) in wanted.items()])
+    large = cells.groupBy("_g", "_m").agg(F.count("*").alias("_d")).where(F.col("_d") > WHOLE).drop("_d")
+    found = _in_ranges(cells, large, names) if large.take(1) else _in_order(cells, names)
+    a, b = F.floor("_at"), F.ceil("_at")
+    at = lambda n, p: F.max(F.when((F.col("_q") == n) & (F.col("_to") > p) & (F.col("_to") - F.col("_c") <= p), F.col("_v")))
+    ends = [x for i, n in enumerate(wanted) for x in (at(n, a).alias(f"_a{i}"), at(n, b).alias(f"_b{i}"), F.max(F.when(F.col("_q") == n, F.col("_at"))).alias(f"_at{i}"))]
+    out = found.groupBy(*(["_g"] if by else [])).agg(*ends)
+
+    def value(i: int) -> Column:
+        low, high, where = F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_at{i}")
+        return F.when(low == high, low).otherwise(low * (F.ceil(where) - where) + high * (where - F.floor(where)))
+
+    return out.select(*[F.col(f"_g.k{i}").alias(n) for i, n in enumerate(by)], *[value(i).alias(n) for i, n in enumerate(wanted)])
+
+
+def _in_order(cells: DataFrame, names: Column) -> DataFrame:
+    """Cells of groups of up to ``WHOLE`` values by wanted quantile (_q): rows up to the cell (_to) and the place (_at)."""
+    whole = Window.partitionBy("_g", "_m")
+    rows = cells.withColumns({"_to": F.sum("_c").over(whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(whole)})
+    rows = rows.select("_g", "_m", "_v", "_c", "_to", "_n", F.explode(names).alias("_w")).where("_w.m = _m")
+    return rows.select("_g", "_v", "_c", "_to", F.col("_w._q").alias("_q"), (F.col("_w.q") * (F.col("_n") - 1)).alias("_at"))
+
+
+def _in_ranges(cells: DataFrame, large: DataFrame, names: Column) -> DataFrame:
+    """The same of the ranges that hold a wanted place, for groups of any size."""
+    points = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    cuts = cells.join(large, ["_g", "_m"], "left_semi").groupBy("_g", "_m").agg(F.array_distinct(F.percentile_approx("_v", points, ACCURACY)).alias("_e"))
+    placed = cells.join(cuts, ["_g", "_m"], "left").withColumn("_b", F.coalesce(F.size(F.filter("_e", lambda e: e < F.col("_v"))), F.lit(0))).drop("_e")
+    whole = Window.partitionBy("_g", "_m")
+    totals = placed.groupBy("_g", "_m", "_b").agg(F.sum("_c").alias("_t"))  # at most ``RANGES`` rows a group and column
+    totals = totals.withColumns({"_n": F.sum("_t").over(whole), "_before": F.sum("_t").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")})
+    totals = totals.select("_g", "_m", "_b", "_t", "_n", "_before", F.explode(names).alias("_w")).where("_w.m = _m").withColumn("_at", F.col("_w.q") * (F.col("_n") - 1))
+    inside = lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_t"))
+    targets = totals.where(inside(F.floor("_at")) | inside(F.ceil("_at"))).select("_g", "_m", "_b", "_before", "_at", F.col("_w._q").alias("_q"))
+    running = F.sum("_c").over(Window.partitionBy("_g", "_m", "_b", "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    return placed.join(targets, ["_g", "_m", "_b"]).withColumn("_to", F.col("_before") + running)
 
 
 def group_stats(df: DataFrame, by: dict[str, Column | str] | list[str], aggregates: list[Column], wanted: Quantiles) -> DataFrame:
-    """groupBy(by).agg(aggregates) with exact quantiles beside them (null for a group without a value).
-
-    The aggregates are made in the pass that sketches, and travel with the group from there.
-    """
+    """groupBy(by).agg(aggregates) with exact quantiles beside them (null for a group without a value)."""
     by = by if isinstance(by, dict) else {c: c for c in by}
+    found = exact_quantiles(df, by, wanted)
     if not by:
-        return df.agg(*aggregates).crossJoin(F.broadcast(exact_quantiles(df, by, wanted)))  # one row
-    return _found(df, by, aggregates, wanted)
-
-
-def _found(df: DataFrame, by: dict[str, Column | str], aggregates: list[Column], wanted: Quantiles) -> DataFrame:
-    keys, around = [f"_g{i}" for i in range(len(by))], (-MARGIN, MARGIN)
-    values = {f"_v{i}": _column(v).cast("double") for i, (v, _) in enumerate(wanted.values())}
-    named = df.withColumns({**{k: _column(c) for k, c in zip(keys, by.values(), strict=True)}, **{k: v for k, v in values.items()}})
-    sketches = []
-    for v, (_, q) in zip(values, wanted.values(), strict=True):
-        points = F.array(*[F.lit(min(1.0, max(0.0, float(q) + d))) for d in around])
-        edges = F.when(F.count(v) > WHOLE, F.percentile_approx(v, points, ACCURACY))  # null: the group is ordered whole
-        sketches.append(F.struct(F.count(v).alias("n"), edges.alias("e")).alias(f"_s{v}"))
-    first = named.groupBy(*keys).agg(*aggregates, *sketches)
-    extra = [c for c in first.columns if c not in keys and not c.startswith("_s_v")]
-    carried = F.struct(*[F.col(f"`{c}`") for c in extra]) if extra else F.lit(None).cast("int")
-    first = first.select(*[F.col(k).alias(f"_o{k}") for k in keys], carried.alias("_more"), *[f"_s{v}" for v in values])
-
-    rows = named.select(*keys, *values)
-    placed = rows.join(first, _same(keys, [f"_o{k}" for k in keys])) if keys else rows.crossJoin(F.broadcast(first))  # one row
-    items = [F.struct(F.lit(n).alias("_m"), F.lit(float(q)).alias("_q"), F.col(f"_s{v}.n").alias("_n"), F.col(f"_s{v}.e").alias("_e"), F.col(v).alias("_v")) for v, (n, (_, q)) in zip(values, wanted.items(), strict=True)]
-    placed = placed.select(*keys, "_more", F.explode(F.array(*items)).alias("_x")).select(*keys, "_more", "_x.*")
-    if not extra:
-        placed = placed.where("_v is not null")
-    low, high = F.get("_e", F.lit(0)), F.get("_e", F.lit(1))
-    inside = F.when(low.isNull() | (F.col("_v") >= low), F.col("_v"))  # null: below the bracket, or no value
-    kept = placed.where(F.col("_v").isNull() | high.isNull() | (F.col("_v") <= high))
-    cells = kept.groupBy(*keys, "_m", "_q", "_n", inside.alias("_in")).agg(F.count("_v").alias("_c"), F.first("_more").alias("_more"))
-
-    upto = F.sum("_c").over(Window.partitionBy(*keys, "_m").orderBy(F.asc_nulls_first("_in")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    at = F.col("_q") * (F.col("_n") - 1)
-    a, b = F.floor(at), F.ceil(at)
-    pick = lambda p: F.max(F.when(F.col("_in").isNotNull() & (F.col("_to") > p) & (F.col("_to") - F.col("_c") <= p), F.col("_in")))
-    found = cells.withColumn("_to", upto).groupBy(*keys, "_m", "_q", "_n").agg(pick(a).alias("_a"), pick(b).alias("_b"), F.first("_more").alias("_more"))
-    value = F.when(a == b, F.col("_a")).otherwise(F.col("_a") * (b - at) + F.col("_b") * (at - a))
-    missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
-    found = found.withColumn("_y", F.when(F.col("_n") > 0, F.coalesce(value, missed)))
-    out = found.groupBy(*keys).agg(F.first("_more").alias("_more"), *[F.max(F.when(F.col("_m") == n, F.col("_y"))).alias(n) for n in wanted])
-    return out.select(*[F.col(k).alias(n) for k, n in zip(keys, by, strict=True)], *[F.col("_more")[c].alias(c) for c in extra], *wanted)
+        return df.agg(*aggregates).crossJoin(F.broadcast(found))  # one row
+    stats = df.groupBy(*[_column(c).alias(n) for n, c in by.items()]).agg(*aggregates)
+    key = lambda: F.struct(F.lit(0).alias("_"), *[F.col(n).alias(f"k{i}") for i, n in enumerate(by)])
+    right = found.select(key().alias("_g"), *wanted)
+    extra = [F.col(f"`{c}`") for c in stats.columns if c not in by]
+    return stats.withColumn("_g", key()).join(right, "_g", "left").select(*by, *extra, *wanted)
 
 
 def table_quantiles(df: DataFrame, value: str, fractions: list[float]) -> list[float]:
