@@ -228,3 +228,18 @@ def test_similarity_of_nothing(spark):
     schema = "video_id string, author_id string, text_vec array<double>, visual_vec array<double>, strategy array<string>, categories array<string>"
     none, one = spark.createDataFrame([], schema), spark.createDataFrame([("q", "a", [1.0], None, None, None)], schema)
     assert rt.similar(one, none).count() == 0 and rt.similar(none, one).count() == 0
+
+
+def test_exact_p_by_enumeration(spark):
+    """All orders of small groups; a tied or larger group keeps the normal p."""
+    from itertools import combinations
+
+    for n1, n2 in ((1, 1), (2, 3), (3, 4), (4, 4), (5, 3)):
+        us = [sum(c) - n1 * (n1 + 1) / 2 for c in combinations(range(1, n1 + n2 + 1), n1)]
+        tail = ts.u_tail(n1, n2)
+        assert tail == pytest.approx([np.mean([u >= x for u in us]) for x in range(n1 * n2 + 1)])
+    assert ts.u_tail(8, 900)[0] == pytest.approx(1) and (np.diff(ts.u_tail(8, 900)) <= 1e-12).all()
+    rows = [("a", float(x), True) for x in (1, 2, 3)] + [("a", float(x), False) for x in (4, 5, 6, 7)] + [("b", 1.0, True), ("b", 1.0, False), ("b", 2.0, False)]
+    got = {r.g: r for r in ts.rank_sums(spark.createDataFrame(rows, "g string, x double, inside boolean"), ["g"], "x", "inside").collect()}
+    assert got["a"].p_value == pytest.approx(2 / 35) and got["a"].u == 0
+    assert 0 < got["b"].p_value <= 1
