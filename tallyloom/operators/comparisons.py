@@ -8,11 +8,14 @@ Variants are fitted side by side, a few at a time.
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -228,6 +231,44 @@ def recipes(cache: FoldCache, target: str, key: str, brand: str, author: str, by
     return settled(rows.join(naive_baseline(cache, target, key, brand).select(key, "baseline"), key))
 
 
+# --- parameter search -------------------------------------------------------------------------
+
+
+def halving(trials: int, score: Callable[[list[int], int], dict[int, float]], least: int = 1, factor: int = 2, gain: float = 0.01, patience: int = 2) -> list[tuple[int, int, int, float, bool, bool]]:
+    """Successive halving: all trials with ``least`` effort, then the best 1/``factor`` of them with ``factor`` times as
+    much, until one is left or ``patience`` rungs in turn bring no relative gain over the best so far.
+
+    Rows (rung, trial, effort, score, kept, improved); ``score`` rates the living trials at an effort.
+    """
+    alive, effort, best, idle, rows = list(range(trials)), least, 0.0, 0, []
+    for rung in range(trials):
+        scores = score(alive, effort)
+        order = sorted(alive, key=lambda t: (-scores[t], t))
+        kept = order[: max(1, len(alive) // factor)]
+        improved = scores[order[0]] > best * (1 + gain)
+        rows += [(rung, t, effort, float(scores[t]), t in kept, improved and t == order[0]) for t in order]
+        best, idle = (scores[order[0]], 0) if improved else (best, idle + 1)
+        if len(alive) == 1 or idle >= patience:
+            break
+        alive, effort = kept, effort * factor
+    return rows
+
+
+def search(cache: FoldCache, target: str, key: str, trials: int = 20, columns: Sequence[str] | None = None, q: float = 0.9, seed: int = 1, **rule) -> DataFrame:
+    """Random settings of boosted trees, halved by lift at 10 %: effort is the number of boosting rounds.  The trials of a
+    rung are fitted side by side on the cached features, and one job rates them all."""
+    rng = random.Random(seed)
+    drawn = [(rng.choice([2, 3, 4, 5]), round(math.exp(rng.uniform(math.log(0.03), math.log(0.4))), 4), rng.choice([0.5, 0.75, 1.0])) for _ in range(trials)]
+
+    def score(alive: list[int], rounds: int) -> dict[int, float]:
+        make = lambda t: GBTClassifier(maxDepth=drawn[t][0], stepSize=drawn[t][1], subsamplingRate=drawn[t][2], maxIter=rounds, seed=1)
+        rows = long_table(cache, {str(t): lambda t=t: cache.out_of_fold(ml.screening(target, q, lambda: make(t), [key]), columns) for t in alive})
+        return {int(r.label): r.lift_10 or 0.0 for r in screening_metrics(rows, key).collect()}  # a row a trial
+
+    rows = [(rung, t, *drawn[t], effort, lift, kept, improved) for rung, t, effort, lift, kept, improved in halving(trials, score, **rule)]
+    return cache.spark.createDataFrame(rows, "rung int, trial int, depth int, rate double, share double, rounds int, lift_10 double, kept boolean, improved boolean")
+
+
 # --- importances ------------------------------------------------------------------------------
 
 

@@ -230,13 +230,14 @@ def regression(target: str, model: str = "gbt", how: str = "log1p", keep: list[s
     return run
 
 
-def screening(target: str, q: float = 0.9, model: str = "gbt", keep: list[str] = ()) -> FitPredict:
-    """keep, fold, y_value, y and score of being in the top share, whose threshold is the training rows' quantile."""
+def screening(target: str, q: float = 0.9, model: str | Callable = "gbt", keep: list[str] = ()) -> FitPredict:
+    """keep, fold, y_value, y and score of being in the top share, whose threshold is the training rows' quantile.
+    ``model``: a name of ``CLASSIFIERS``, or a function that makes a classifier."""
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
         cut = table_quantiles(train, target, [q])[0]
         label = lambda d: d.withColumn("label", (F.col(target) >= cut).cast("double"))
-        fitted = CLASSIFIERS[model]().fit(label(train))
+        fitted = (CLASSIFIERS[model]() if isinstance(model, str) else model()).fit(label(train))
         p = vector_to_array("probability")[1]
         return fitted.transform(label(test)).select(*keep, "fold", F.col(target).alias("y_value"), F.col("label").cast("int").alias("y"), p.alias("score"))
 
@@ -486,24 +487,6 @@ def rank_models(results: DataFrame) -> DataFrame:
     return results.withColumn("place", F.row_number().over(Window.orderBy(*[F.desc_nulls_last(c) for c in ("lift_10", "auc", "precision_10", "spearman")], "name")))
 
 
-def random_search(df: DataFrame, target: str, features: Callable[[], FoldFeatures], trials: int, k: int = 3, gain: float = 0.01, patience: int = 2, seed: int = 1, key: str = "video_id") -> DataFrame:
-    """Random tree settings by lift at 10 %; stops after ``patience`` trials without a relative gain."""
-    import random
-
-    rng, best, idle, rows = random.Random(seed), 0.0, 0, []
-    for t in range(trials):
-        depth, rounds, rate = rng.choice([2, 3, 4, 5]), rng.choice([5, 10, 15]), rng.choice([0.05, 0.1, 0.2])
-        CLASSIFIERS["_trial"] = lambda d=depth, n=rounds, r=rate: GBTClassifier(maxDepth=d, maxIter=n, stepSize=r, seed=1)
-        lift = screening_summary(screening_cv(df, target, k, features, model="_trial", keep=[key]), key)["lift_10"]
-        better = lift > best * (1 + gain)
-        rows.append((t, depth, rounds, rate, float(lift), better))
-        best, idle = (lift, 0) if better else (best, idle + 1)
-        if idle >= patience:
-            break
-    CLASSIFIERS.pop("_trial", None)
-    return df.sparkSession.createDataFrame(rows, "trial int, depth int, rounds int, rate double, lift_10 double, improved boolean")
-
-
 # --- explanations -----------------------------------------------------------------------------
 
 

@@ -245,15 +245,21 @@ TABLES = {
 _CACHES, _PREDICTED = {}, {}
 
 
-def predicted(spark, sf, table):
-    """Out-of-fold predictions of a comparison; within a session its two queries read the same written table."""
+def cached(spark, sf):
+    """The session's fold cache of these tables."""
     at = (spark.sparkContext.applicationId, sf)
     if at not in _CACHES:
         _CACHES.clear()
         _PREDICTED.clear()
         _CACHES[at] = fold_cache(spark, sf)
+    return _CACHES[at]
+
+
+def predicted(spark, sf, table):
+    """Out-of-fold predictions of a comparison; within a session its two queries read the same written table."""
+    cache = cached(spark, sf)
     if table not in _PREDICTED:
-        _PREDICTED[table] = TABLES[table](_CACHES[at])
+        _PREDICTED[table] = TABLES[table](cache)
     return _PREDICTED[table]
 
 
@@ -336,28 +342,35 @@ def _(spark, sf):
 
 @query("ml09_gain_importances", "SELECT true AS sums_to_one, 0 AS negative")
 def _(spark, sf):
-    predicted(spark, sf, "modality_ladder")
-    found = cmp.gain_importances(_CACHES[spark.sparkContext.applicationId, sf], "wer", columns=[*METADATA, *LABELS])
+    found = cmp.gain_importances(cached(spark, sf), "wer", columns=[*METADATA, *LABELS])
     return found.agg((F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one"), F.count_if(F.col("importance") < 0).alias("negative"))
 
 
 @query("ml09_ml24_importance_families", None)
 def _(spark, sf):
-    predicted(spark, sf, "modality_ladder")
-    found = cmp.gain_importances(_CACHES[spark.sparkContext.applicationId, sf], "wer")
+    found = cmp.gain_importances(cached(spark, sf), "wer")
     families = [(c, f) for f, cs in {"metadata": METADATA, "labels": LABELS, "crosses": CROSSES, "vectors": ["text_vec", "visual_vec", "alignment"], "visual axes": ["visual_format"]}.items() for c in cs]
     return ml.driver_families(found.select("feature", "importance"), spark.createDataFrame(families, "prefix string, family string"))
 
 
 @query("ml26_permutation_importances", None)
 def _(spark, sf):
-    predicted(spark, sf, "modality_ladder")
-    return cmp.permutation_importances(_CACHES[spark.sparkContext.applicationId, sf], "wer", "video_id", "forest")
+    return cmp.permutation_importances(cached(spark, sf), "wer", "video_id", "forest")
+
+
+@query("ml22_random_search", "SELECT 20 AS trials, 1 AS winners, true AS halved, true AS in_range")
+def _(spark, sf):
+    found = settled(cmp.search(cached(spark, sf), "wer", "video_id", 20, [*METADATA, *LABELS]))
+    rungs = found.groupBy("rung").agg(F.count("*").alias("n"), F.count_if("kept").alias("k"))
+    halved = rungs.agg(F.min((F.col("k") == F.greatest(F.lit(1), F.floor(F.col("n") / 2)))).alias("halved"))
+    best = found.agg(F.count_distinct("trial").alias("trials"), F.max("rung").alias("last"), F.min(F.col("lift_10").between(0, 10.5)).alias("in_range"))
+    winners = found.orderBy(F.desc("lift_10"), "trial").limit(1).agg(F.count("*").alias("winners"))
+    return best.crossJoin(halved).crossJoin(winners).select("trials", "winners", "halved", "in_range")  # one row each
 
 
-@query("ml22_random_search", None)
+@query("ml22_search_rungs", None)
 def _(spark, sf):
-    return ml.random_search(ml.author_folds(frame(spark, sf), 2), "wer", plain, 2, 2)
+    return cmp.search(cached(spark, sf), "wer", "video_id", 6, [*METADATA, *LABELS])
 
 
 @query("ml23_ranking", None)

@@ -163,7 +163,7 @@ def vacuum(spark: SparkSession, target: str, keep: int = 3) -> None:
     for i in [i for i in ids if i < done[-keep]]:
         path, fs = _at(spark, f"{target}/manifest/batch={i}")
         fs.delete(path, True)
-    kept = [manifest(spark, target, i + 1) for i in done[-keep:]]
+    kept = [Manifest(**json.loads(r[0])) for r in spark.read.text([f"{target}/manifest/batch={i}" for i in done[-keep:]]).collect()]
     named = {(folder, b) for m in kept for b, folders in m.folders.items() for folder, _ in folders} | {(folder, str(LATE)) for m in kept for folder in m.late}
     whole = {folder for folder, _ in named}
     for folder in _children(spark, f"{target}/data"):

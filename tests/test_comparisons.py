@@ -104,3 +104,25 @@ def test_balanced_folds_of_skewed_authors(spark):
         assert sum(n) == len(rows) and len(n) == 5 and max(n) <= apart * min(n)
         assert out.groupBy(F.coalesce("author_id", F.lit(""))).agg(F.count_distinct("fold").alias("k")).where("k > 1").count() == 0
     assert ml.author_folds(df.limit(0), 3).count() == 0
+
+
+def test_halving_and_its_stop_rule():
+    seen = []
+
+    def rated(alive, effort):
+        seen.append((list(alive), effort))
+        return {t: t * effort for t in alive}
+
+    rows = cmp.halving(20, rated)
+    assert [(len(a), e) for a, e in seen] == [(20, 1), (10, 2), (5, 4), (2, 8), (1, 16)] and seen[-1][0] == [19]
+    assert [r[1] for r in rows if r[5]] == [19] * 5
+    seen.clear()
+    rows = cmp.halving(20, lambda alive, effort: rated(alive, 1))
+    assert [len(a) for a, _ in seen] == [20, 10, 5]  # two rungs without a gain
+    assert sum(r[5] for r in rows) == 1
+
+
+def test_search_over_the_cache(cache):
+    rows = cmp.search(cache, "wer_like", "video_id", 3, ["good", "tags"], 0.75).collect()
+    assert {r.trial for r in rows if r.rung == 0} == {0, 1, 2} and max(r.rounds for r in rows) >= 2
+    assert max(r.lift_10 for r in rows) > 1.5
