@@ -243,3 +243,20 @@ def test_exact_p_by_enumeration(spark):
     got = {r.g: r for r in ts.rank_sums(spark.createDataFrame(rows, "g string, x double, inside boolean"), ["g"], "x", "inside").collect()}
     assert got["a"].p_value == pytest.approx(2 / 35) and got["a"].u == 0
     assert 0 < got["b"].p_value <= 1
+
+
+def test_learners_share_fold_features_and_thresholds(spark):
+    rows = [(str(i), f"a{i % 9}", float(i % 10), (i * 7 % 13) / 13.0 + (i % 10) / 5.0, i % 2) for i in range(160)]
+    df = spark.createDataFrame(rows, "video_id string, author_id string, x double, wer double, fold int")
+    fitted = []
+
+    def features():
+        fitted.append(1)
+        return ml.FoldFeatures(numbers=["x"])
+
+    got = ml.compare(df, "wer", 2, {"a": (features, "logistic"), "b|c": (features, "forest")}, 0.75).orderBy("ord").collect()
+    assert len(fitted) == 2  # once a fold, not once a fold and learner
+    for r, model in zip(got, ("logistic", "forest"), strict=True):
+        want = ml.screening_summary(ml.screening_cv(df, "wer", 2, features, 0.75, model, ["video_id"]))
+        assert {c: r[c] for c in ("lift_5", "lift_10", "lift_20", "precision_10", "auc", "spearman")} == pytest.approx({c: want[c] for c in ("lift_5", "lift_10", "lift_20", "precision_10", "auc", "spearman")})
+    assert [r.name for r in got] == ["a", "b|c"]
