@@ -260,3 +260,30 @@ def test_learners_share_fold_features_and_thresholds(spark):
         want = ml.screening_summary(ml.screening_cv(df, "wer", 2, features, 0.75, model, ["video_id"]))
         assert {c: r[c] for c in ("lift_5", "lift_10", "lift_20", "precision_10", "auc", "spearman")} == pytest.approx({c: want[c] for c in ("lift_5", "lift_10", "lift_20", "precision_10", "auc", "spearman")})
     assert [r.name for r in got] == ["a", "b|c"]
+
+
+@pytest.mark.parametrize("block", [None, 40, 9])
+def test_tiles_against_brute_force(spark, block):
+    """Queries that stand in the pool, many ties, queries with labels only, one author with a third of the pool."""
+    rng = random.Random(5)
+    some = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(4)]
+    vec, labels = lambda: rng.choice([None, *some]), lambda: rng.choice([None, [], ["a"], ["a", "b"], ["c", "a"]])
+    pool = [(f"p{i:03d}", "big" if i % 3 == 0 else rng.choice([*"uvwxyz", None]) if i % 3 == 1 else f"w{i % 40}", vec(), vec(), labels(), rng.choice([None, ["s"], ["t"]])) for i in range(240)]
+    queries = pool[::6] + [(f"q{i}", None, None, None, labels(), None) for i in range(9)]
+    pool += [pool[7], (None, "u", some[0], None, ["a"], None)]
+    schema = "video_id string, author_id string, text_vec array<double>, visual_vec array<double>, strategy array<string>, categories array<string>"
+    got = {}
+    for r in rt.similar(spark.createDataFrame(queries, schema), spark.createDataFrame(pool, schema).repartition(3), 4, block_rows=block).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.video_id, round(r.score, 6)))
+    assert got == {q: rows for q, rows in by_brute_force(queries, pool, 4).items() if rows}
+
+
+def test_a_tile_holds_no_row_per_pair(monkeypatch):
+    """Copies of one query share a comparison: a tile's ties are held once for all of them."""
+    import pandas as pd
+
+    row = lambda n, author: pd.DataFrame({"id": [f"{author}{i:04d}" for i in range(n)], "author_id": [f"{author}{i}" for i in range(n)], "text": None, "visual": None, "strategy": [["a"]] * n, "categories": [["s"]] * n})
+    scored, seen = rt._scored, []
+    monkeypatch.setattr(rt, "_scored", lambda i, *rest: seen.append(len(i)) or scored(i, *rest))
+    got = rt._best_of_tile(row(600, "q"), row(900, "c"), 3)
+    assert sum(seen) == 900 and len(got) == 1800 and set(got["c_id"]) == {"c0000", "c0001", "c0002"}
