@@ -126,3 +126,12 @@ def test_search_over_the_cache(cache):
     rows = cmp.search(cache, "wer_like", "video_id", 3, ["good", "tags"], 0.75).collect()
     assert {r.trial for r in rows if r.rung == 0} == {0, 1, 2} and max(r.rounds for r in rows) >= 2
     assert max(r.lift_10 for r in rows) > 1.5
+
+
+def test_naive_baseline_fits_no_model(spark, monkeypatch):
+    """The query of the brand medians asks for no features and no other recipe."""
+    from tallyloom.plans import q_modeling
+
+    monkeypatch.setattr(q_modeling, "cached", lambda *_: 1 / 0)
+    r = q_modeling.QUERIES["ml21_naive_baseline"](spark, "/root/testdata/sf0.001").first()
+    assert r.n > 0 and 0 <= r.mae <= r.rmse
