@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -23,3 +26,9 @@ def test_some_queries_against_sql(spark, name):
     columns = [d[0] for d in want.description]
     assert sorted(columns) == sorted(got.columns)
     assert sorted(map(repr, want.fetchall())) == sorted(map(repr, map(tuple, got.select(*[f"`{c}`" for c in columns]).collect())))
+
+
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
