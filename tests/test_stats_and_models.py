@@ -100,6 +100,23 @@ def test_fold_features_see_training_rows_only(spark):
     assert len(a) == len(b) and -1.0 in b.toArray().tolist()
 
 
+def test_shared_vectors_give_the_features_of_row_vectors(spark):
+    rng = random.Random(9)
+    vectors = spark.createDataFrame([(i, [rng.gauss(0, 1 + 3 * (j == i % 2)) for j in range(5)]) for i in range(12)] + [(12, [float("nan")] * 5)], "key long, vector array<double>")
+    rows = spark.createDataFrame([(i, i * i % 14 if i % 5 else None, float(i), "xyz"[i % 3], "pq"[i % 2]) for i in range(200)], "id int, k long, n double, c string, d string")
+    wide = rows.join(vectors.withColumnsRenamed({"key": "k", "vector": "v"}), "k", "left")
+    kinds = {"numbers": ["n"], "categories": ["c", "d"], "vectors": {"v": 2}}
+    one = ml.FoldFeatures(**kinds).fit(wide.where("id >= 40"))
+    two = ml.FoldFeatures(**kinds, shared={"v": ("k", vectors)}).fit(rows.where("id >= 40"))
+    a, b = one.transform(wide), two.transform(rows)
+    assert one.names(a) == two.names(b)
+    a, b = ({r.id: r.features.toArray() for r in d.collect()} for d in (a, b))
+    assert a.keys() == b.keys() == set(range(200))
+    signs = [1 if a[1][i] * b[1][i] > 0 else -1 for i in range(2)]  # of a component's axis
+    for i in a:
+        assert list(a[i][:2]) == pytest.approx([s * x for s, x in zip(signs, b[i][:2])]) and list(a[i][2:]) == list(b[i][2:])
+
+
 def test_priors_leave_the_row_out(spark):
     train = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "g string, v double")
     test = spark.createDataFrame([("a", 0.0), ("new", 0.0)], "g string, v double")
