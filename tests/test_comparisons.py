@@ -38,6 +38,17 @@ def test_places_of_a_variant(cache):
     assert train.first().features.size == test.first().features.size == want and train.count() + test.count() == 900
 
 
+def test_rows_with_priors_are_joined_once(cache):
+    """Learners that share priors read the same written rows; other priors make other rows."""
+    prior, other = cmp.author_prior("wer_like", "author_id"), cmp.author_prior("wer_like", "brand")
+    made = [cache.rows(cache.folds[0], ["good"], [p]) for p in (prior, prior, other)]
+    assert made[0][0].inputFiles() == made[1][0].inputFiles() != made[2][0].inputFiles()
+    lazy = cache._rows(cache.folds[0], ["good"], [prior])
+    for written, joined in zip(made[0], lazy):
+        assert "Join" not in written._jdf.queryExecution().optimizedPlan().toString()
+        assert {r.video_id: r.features for r in written.collect()} == {r.video_id: r.features for r in joined.collect()}
+
+
 def test_importances_find_what_matters(cache):
     gains = {r.feature: r.importance for r in cmp.gain_importances(cache, "wer_like", "gbt", "raw").collect()}
     assert sum(gains.values()) == pytest.approx(1) and gains["idle"] < 0.05
