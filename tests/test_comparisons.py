@@ -146,3 +146,21 @@ def test_naive_baseline_fits_no_model(spark, monkeypatch):
     monkeypatch.setattr(q_modeling, "cached", lambda *_: 1 / 0)
     r = q_modeling.QUERIES["ml21_naive_baseline"](spark, "/root/testdata/sf0.001").first()
     assert r.n > 0 and 0 <= r.mae <= r.rmse
+
+
+def test_rows_are_dealt_once_for_all_columns(spark, cache, monkeypatch):
+    """The importances are those of dealing the rows anew for every column, from one deal a fold."""
+    calls, deal = [], cmp.dealt
+    monkeypatch.setattr(cmp, "dealt", lambda *a: calls.append(1) or deal(*a))
+    got = {r.source: r for r in cmp.permutation_importances(cache, "wer_like", "video_id", "forest", "raw").collect()}
+    assert len(calls) == len(cache.folds)
+    grown, base, n = dict.fromkeys(got, 0.0), 0.0, 0
+    for fold in cache.folds:
+        fitted = ml.REGRESSORS["forest"]().fit(fold.train.withColumn("label", F.col("wer_like")))
+        wrong = lambda d: sum(abs(r.wer_like - max(0.0, r.prediction)) for r in fitted.transform(d).select("wer_like", "prediction").collect())  # noqa: B023, E731
+        mine = wrong(fold.test)
+        base, n = base + mine, n + fold.test.count()
+        for source in got:
+            grown[source] += wrong(cmp.shuffled(fold.test, [i for i, (s, _) in enumerate(fold.names) if s == source], "video_id", 11)) - mine
+    for source, r in got.items():
+        assert (r.base, r.importance, r.mae) == pytest.approx((base / n, grown[source] / n, (base + grown[source]) / n), abs=1e-9)
