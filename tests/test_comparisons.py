@@ -164,3 +164,45 @@ def test_rows_are_dealt_once_for_all_columns(spark, cache, monkeypatch):
             grown[source] += wrong(cmp.shuffled(fold.test, [i for i, (s, _) in enumerate(fold.names) if s == source], "video_id", 11)) - mine
     for source, r in got.items():
         assert (r.base, r.importance, r.mae) == pytest.approx((base / n, grown[source] / n, (base + grown[source]) / n), abs=1e-9)
+
+
+def test_names_of_columns_that_begin_alike(spark):
+    rows = spark.createDataFrame([(i, i % 2, "ab"[i % 2], "pq"[i % 3 % 2], float(i)) for i in range(40)], "video_id int, fold int, brand string, brand_x_kind string, n double")
+    cache = cmp.FoldCache(rows, 2, lambda: ml.FoldFeatures(numbers=["n"], categories=["brand", "brand_x_kind"]), ["video_id"])
+    assert {s for s, _ in cache.folds[0].names} == {"n", "brand", "brand_x_kind"}
+    alone, both = (sum(s in c for s, _ in cache.folds[0].names) for c in (["brand"], ["brand", "brand_x_kind"]))
+    assert cache.rows(cache.folds[0], ["brand"])[0].first().features.size == alone < both
+
+
+def test_features_by_brute_force(spark):
+    """Labels that repeat, are null, rare or unknown; categories that are null or unknown."""
+    rng = random.Random(2)
+    rows = [(i, None if i % 11 == 0 else [rng.choice(["u", "v", "w", None]) for _ in range(i % 5)], rng.choice(["x", "y", "z", None]), i % 3 == 0, None if i % 7 == 0 else float(i % 4)) for i in range(120)]
+    rows += [(200, ["rare", "u", "u"], "new", None, 0.0), (201, [], None, True, None)]
+    df = spark.createDataFrame(rows, "id int, tags array<string>, kind string, flag boolean, n double").repartition(3)
+    built = ml.FoldFeatures(numbers=["n"], flags=["flag"], lists=["tags"], categories=["kind"]).fit(df.where("id < 200"))
+    out = built.transform(df, ["id"])
+    assert out.columns == ["id", "features"] and "Arrow" not in out._jdf.queryExecution().toString()
+    names = [n for _, n in built.names()]
+    attributes = out.schema["features"].metadata["ml_attr"]["attrs"]
+    assert [a["name"] for a in sorted(attributes["numeric"] + attributes["binary"], key=lambda a: a["idx"])] == names
+    got = {r.id: r.features for r in out.collect()}
+    assert got.keys() == {r[0] for r in rows}
+    for i, tags, kind, flag, n in rows:
+        want = {"n": -1.0 if n is None else float(np.log1p(n)), "flag": float(bool(flag))}
+        want |= {f"tags={t}": 1.0 for t in tags or [] if t in ("u", "v", "w")}
+        want[f"kind={kind or '__MISSING__'}" if kind != "new" else "kind=__unknown"] = 1.0
+        assert dict(zip(names, got[i].toArray())) == pytest.approx({x: want.get(x, 0.0) for x in names})
+        assert 0.0 not in got[i].values.tolist()
+
+
+def test_learners_without_vectors_write_none(spark, monkeypatch):
+    """A learner that reads no vectors doesn't carry them, and fold rows hold no raw column beside the features."""
+    from tallyloom.plans import q_modeling
+
+    written, fold_rows = [], ml.fold_rows
+    monkeypatch.setattr(ml, "fold_rows", lambda df, *a: written.append((df.columns, fold_rows(df, *a))) or written[-1][1])
+    assert q_modeling.QUERIES["ml09_regression_cv"](spark, "/root/testdata/sf0.001").count() == 3
+    columns, folds = written[0]
+    assert not {"text_vec", "visual_vec"} & set(columns)
+    assert all(set(part.columns) == {"video_id", "wer", "fold", "features"} for fold in folds for part in fold)
