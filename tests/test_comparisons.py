@@ -206,3 +206,21 @@ def test_learners_without_vectors_write_none(spark, monkeypatch):
     columns, folds = written[0]
     assert not {"text_vec", "visual_vec"} & set(columns)
     assert all(set(part.columns) == {"video_id", "wer", "fold", "features"} for fold in folds for part in fold)
+
+
+def test_search_rates_by_lift_alone(spark, cache, monkeypatch):
+    """The trials' lifts are those of the whole table of metrics, but no other metric is computed, and the features of the
+    searched columns are written once."""
+    scored = cmp.screened(cache, "wer_like", "video_id", {"a|b": (["good"], "logistic"), "idle": (["idle"], "logistic")}, 0.75)
+    whole = {r.label: r.lift_10 for r in cmp.screening_metrics(scored, "video_id").collect()}
+    assert cmp.mean_lifts(scored, "video_id", 0.10) == pytest.approx(whole) and len(whole) == 2
+    narrow = cache.narrowed(["good", "tags"])
+    for wide, fold in zip(cache.folds, narrow.folds, strict=True):
+        for all_, part in zip(cache.rows(wide, ["good", "tags"]), (fold.train, fold.test), strict=True):
+            assert "UDF" not in part._jdf.queryExecution().optimizedPlan().toString()
+            assert {r.video_id: r.features for r in part.collect()} == {r.video_id: r.features for r in all_.collect()}
+            assert part.first().features.size == len(fold.names)
+    monkeypatch.setattr(ml, "auc", lambda *a, **k: 1 / 0)
+    monkeypatch.setattr(cmp, "spearman", lambda *a, **k: 1 / 0)
+    found = cmp.search(cache, "wer_like", "video_id", 2, ["good", "tags"], 0.75).collect()
+    assert max(r.lift_10 for r in found) > 1.5
