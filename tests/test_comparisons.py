@@ -1,4 +1,5 @@
 import random
+from copy import copy
 
 import numpy as np
 import pytest
@@ -224,3 +225,30 @@ def test_search_rates_by_lift_alone(spark, cache, monkeypatch):
     monkeypatch.setattr(cmp, "spearman", lambda *a, **k: 1 / 0)
     found = cmp.search(cache, "wer_like", "video_id", 2, ["good", "tags"], 0.75).collect()
     assert max(r.lift_10 for r in found) > 1.5
+
+
+def test_recipes_join_medians_not_rows(spark, rows, cache, monkeypatch):
+    """Every recipe's rows get their fold's and brand's training median without being dealt by their keys."""
+    some = rows.where("brand is null or brand <> 'south' or fold = 0")  # fold 0 has a brand that fold 1 lacks
+    part = copy(cache)
+    part.folds = [cmp.Fold(i, some.where(F.col("fold") != i), some.where(F.col("fold") == i), []) for i in range(2)]
+    fake = lambda *a, **k: lambda train, test: test.select("video_id", "brand", "fold", F.col("wer_like").alias("y"), F.lit(1.0).alias("pred"), F.lit(0.5).alias("p"), F.lit(0).alias("list"), F.lit(0).alias("score"))
+    plain = lambda *a, **k: lambda train, test: fake(0)(train, test).drop("p", "list", "score")
+    monkeypatch.setattr(ml, "regression", plain)
+    monkeypatch.setattr(ml, "two_stage", lambda *a, **k: lambda train, test: fake(0)(train, test).drop("list", "score"))
+    monkeypatch.setattr(ml, "ranking", lambda *a, **k: lambda train, test: fake(0)(train, test).drop("p"))
+    monkeypatch.setattr(part, "out_of_fold", lambda run, columns=None, priors=(): run(None, some))
+    out = cmp.recipes(part, "wer_like", "video_id", "brand", "author_id", "brand")
+    assert set(out.columns) == {"video_id", "fold", "y", "pred", "label", "baseline"}
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    data = some.collect()
+    known = {r.video_id: r for r in data}
+    values = {}
+    for r in data:
+        for at in ((1 - r.fold, r.brand), (1 - r.fold, "all")):
+            values.setdefault(at, []).append(r.wer_like)
+    got = out.collect()
+    assert len(got) == 9 * len(data)
+    for r in got:
+        want = values.get((r.fold, known[r.video_id].brand)) or values[(r.fold, "all")]
+        assert r.baseline == pytest.approx(np.median(want)) and (r.label != "naive brand median" or r.pred == r.baseline)
